@@ -1,0 +1,10 @@
+"""Checked sizes, for the few places where a plan depends on one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def rows_at_most(frame: DataFrame, limit: int) -> bool:
+    """Whether the frame has at most ``limit`` rows; never counts further than that."""
+    return frame.limit(limit + 1).count() <= limit
