@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.joins import BROADCAST_ROWS, lookup_join
+
 
 def active_universe(stocks: DataFrame) -> DataFrame:
     """The stocks a refresh asks for; reports keep showing inactive ones."""
@@ -16,6 +18,18 @@ def one_per_symbol(stocks: DataFrame) -> DataFrame:
     return stocks.groupBy("symbol").agg(F.min("stock_id").alias("stock_id"))
 
 
-def stock_ids(frame: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Add ``stock_id`` by symbol; an unknown symbol gets NULL."""
-    return frame.join(one_per_symbol(stocks), "symbol", "left")
+def stock_ids(
+    frame: DataFrame,
+    stocks: DataFrame,
+    spread_by: Column | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Add ``stock_id`` by symbol; an unknown symbol gets NULL.
+
+    Rows of one symbol are spread by the input split they come from unless the caller names a
+    better column.
+    """
+    spread = F.spark_partition_id() if spread_by is None else spread_by
+    return lookup_join(
+        frame, one_per_symbol(stocks), "symbol", spread, "left", broadcast_rows=broadcast_rows
+    )

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 
 from barloom import schema as S
 from barloom.functions.exact import ratio
+from barloom.operators.joins import BROADCAST_ROWS, lookup_join
 from barloom.operators.rolling import series
-from barloom.operators.sizing import rows_at_most
 
 DEVIATIONS = {"population": F.stddev_pop, "sample": F.stddev_samp}
 
-# A pair list up to this many rows is broadcast (two legs of about 40 bytes each).
-BROADCAST_PAIRS = 200_000
-# Beyond it each stock's bars are spread over this many join keys.
-LEG_SALTS = 32
 
-
-def _legs(pairs: DataFrame) -> DataFrame:
+def legs(pairs: DataFrame) -> DataFrame:
     """Two rows per pair, one for each side."""
     sides = F.array(
         F.struct(F.lit("a").alias("side"), F.col("stock_a_id").alias("stock_id")),
@@ -27,27 +22,20 @@ def _legs(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.inline(sides))
 
 
-def _leg_bars(
-    bars: DataFrame, pairs: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS
-) -> DataFrame:
+def _leg_bars(bars: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """Close of every leg on every date, from one pass over the bars.
 
-    A short pair list is broadcast after its size is checked. A long one is joined by shuffle;
-    there one stock may sit in a large share of all pairs, so its bars are spread over
-    ``LEG_SALTS`` keys by date and every leg is repeated once per key. Each bar still meets each
-    of its legs exactly once.
+    One stock may sit in a large share of all pairs, so a long pair list spreads each stock's
+    bars by date.
     """
     closes = bars.select(*S.BAR_KEY, "close_price")
-    legs = _legs(pairs)
-    if rows_at_most(pairs, broadcast_pairs):
-        return closes.join(F.broadcast(legs), "stock_id")
-    salted_legs = legs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LEG_SALTS - 1))))
-    salt = F.pmod(F.xxhash64("trade_date"), F.lit(LEG_SALTS)).cast("int")
-    return closes.withColumn("salt", salt).join(salted_legs.hint("merge"), ["stock_id", "salt"])
+    return lookup_join(
+        closes, legs(pairs), "stock_id", F.col("trade_date"), broadcast_rows=broadcast_rows
+    )
 
 
 def pair_closes(
-    bars: DataFrame, pairs: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS
+    bars: DataFrame, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Both closes on the dates where both legs traded.
 
@@ -59,7 +47,7 @@ def pair_closes(
         return F.max(F.when(F.col("side") == side, F.col("close_price")))
 
     return (
-        _leg_bars(bars, pairs, broadcast_pairs)
+        _leg_bars(bars, pairs, broadcast_rows)
         .repartition("pair_id")
         .groupBy(*S.PAIR_KEY)
         .agg(close_of("a").alias("close_a"), close_of("b").alias("close_b"))
@@ -67,12 +55,15 @@ def pair_closes(
     )
 
 
+def with_ratio(closes: DataFrame) -> DataFrame:
+    return closes.withColumn("price_ratio", ratio(F.col("close_a"), F.col("close_b")))
+
+
 def pair_ratios(
-    bars: DataFrame, pairs: DataFrame, broadcast_pairs: int = BROADCAST_PAIRS
+    bars: DataFrame, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    closes = pair_closes(bars, pairs, broadcast_pairs)
-    price_ratio = ratio(F.col("close_a"), F.col("close_b"))
-    return closes.select(*S.PAIR_KEY, price_ratio.alias("price_ratio"))
+    closes = pair_closes(bars, pairs, broadcast_rows)
+    return with_ratio(closes).select(*S.PAIR_KEY, "price_ratio")
 
 
 def with_ratio_bands(
@@ -84,12 +75,11 @@ def with_ratio_bands(
     full = F.lit(True) if warmup == "partial" else F.row_number().over(ordered) >= S.RATIO_ROWS
     mean = F.avg("price_ratio").over(frame)
     spread = DEVIATIONS[deviation]("price_ratio").over(frame)
-    price_ratio = F.col("price_ratio")
-    return ratios.select(
-        *S.PAIR_KEY,
-        "price_ratio",
-        F.when(full, mean).alias("ratio_sma_20"),
-        F.when(full, ratio(price_ratio - mean, spread)).alias("z_score"),
+    return ratios.withColumns(
+        {
+            "ratio_sma_20": F.when(full, mean),
+            "z_score": F.when(full, ratio(F.col("price_ratio") - mean, spread)),
+        }
     )
 
 
@@ -98,7 +88,7 @@ def pair_metrics(
     pairs: DataFrame,
     warmup: str = "null",
     deviation: str = "population",
-    broadcast_pairs: int = BROADCAST_PAIRS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The full pair table: one row per pair and joint trading day."""
-    return with_ratio_bands(pair_ratios(bars, pairs, broadcast_pairs), warmup, deviation)
+    return with_ratio_bands(pair_ratios(bars, pairs, broadcast_rows), warmup, deviation)

@@ -21,10 +21,9 @@ from barloom.sources.market import Market
 AsOf = Column | date | str | None
 
 
-def _recent(as_of: Column, days: int) -> Column:
-    """Within the last ``days`` days of ``as_of``, both ends included."""
-    day = F.col("trade_date")
-    return (day >= F.date_sub(as_of, days)) & (day <= as_of)
+def _recent(market: Market, name: str, as_of: Column, days: int) -> DataFrame:
+    """Rows of the last ``days`` days before ``as_of``, both ends included."""
+    return market.between(name, F.date_sub(as_of, days), as_of)
 
 
 def _named(facts: DataFrame, market: Market) -> DataFrame:
@@ -46,10 +45,9 @@ def _with_legs(facts: DataFrame, market: Market) -> DataFrame:
 def latest_bars(market: Market) -> DataFrame:
     """Bars of the newest trading day of the whole market, with their indicators."""
     last_date = market.last_date()
-    prices = market.daily_prices.where(F.col("trade_date") == last_date)
-    return prices.select(*S.BAR_KEY, "close_price").join(
-        market.momentum_indicators.where(F.col("trade_date") == last_date), list(S.BAR_KEY)
-    )
+    prices = market.between("daily_prices", last_date, last_date)
+    averages = market.between("momentum_indicators", last_date, last_date)
+    return prices.select(*S.BAR_KEY, "close_price").join(averages, list(S.BAR_KEY))
 
 
 def market_overview(market: Market) -> DataFrame:
@@ -74,8 +72,8 @@ def _rsi_signals(
     market: Market, hit: Column, as_of: AsOf, days: int, limit: int, order: Column
 ) -> DataFrame:
     today = anchor(as_of)
-    hits = market.momentum_indicators.where(hit & _recent(today, days))
-    prices = market.daily_prices.where(_recent(today, days)).select(*S.BAR_KEY, "close_price")
+    hits = _recent(market, "momentum_indicators", today, days).where(hit)
+    prices = _recent(market, "daily_prices", today, days).select(*S.BAR_KEY, "close_price")
     return (
         _named(hits.select(*S.BAR_KEY, "rsi_14").join(prices, list(S.BAR_KEY)), market)
         .orderBy(F.col("trade_date").desc(), order, "symbol")
@@ -210,7 +208,7 @@ def all_pairs_status(market: Market) -> DataFrame:
 def _pair_signals(
     market: Market, hit: Column, as_of: AsOf, days: int, limit: int, order: Column
 ) -> DataFrame:
-    hits = market.pair_metrics.where(hit & _recent(anchor(as_of), days))
+    hits = _recent(market, "pair_metrics", anchor(as_of), days).where(hit)
     return (
         _with_legs(hits, market)
         .orderBy(F.col("trade_date").desc(), order, "pair_name")
@@ -249,7 +247,7 @@ def pair_history(
 ) -> DataFrame:
     pair = market.stock_pairs.where(F.col("pair_name") == pair_name).select("pair_id", "pair_name")
     return (
-        market.pair_metrics.where(_recent(anchor(as_of), days))
+        _recent(market, "pair_metrics", anchor(as_of), days)
         .join(pair, "pair_id")
         .orderBy(F.col("trade_date").desc())
         .select(

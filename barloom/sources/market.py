@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,8 @@ class Market:
 
     The two derived tables are taken as given when the caller has them stored, and are otherwise
     defined from the prices when a report first asks for them. ``newest`` is a one-row frame with
-    the newest trading day; a source that can read it from less than the whole price table
-    supplies its own.
+    the newest trading day and ``between`` returns the rows of a table for a range of days; a
+    source that can answer either from less than the whole table supplies its own.
     """
 
     def __init__(
@@ -29,6 +30,7 @@ class Market:
         momentum_indicators: DataFrame | None = None,
         pair_metrics: DataFrame | None = None,
         newest: DataFrame | None = None,
+        between: Callable[[str, Column, Column], DataFrame] | None = None,
     ) -> None:
         self.stocks = stocks
         self.daily_prices = daily_prices
@@ -39,6 +41,8 @@ class Market:
             self.pair_metrics = pair_metrics
         if newest is not None:
             self.newest = newest
+        if between is not None:
+            self.between = between
 
     @cached_property
     def momentum_indicators(self) -> DataFrame:
@@ -56,6 +60,10 @@ class Market:
         """The newest trading day as a scalar subquery."""
         return self.newest.scalar()
 
+    def between(self, name: str, first: Column, last: Column) -> DataFrame:
+        """Rows of the days from ``first`` to ``last``, both included."""
+        return getattr(self, name).where(F.col("trade_date").between(first, last))
+
     def create_views(self) -> None:
         """Register the tables under their names for ``spark.sql``."""
         for name in TABLES:

@@ -300,3 +300,210 @@ SELECT symbol, count(b.stock_id) AS records,
 FROM stocks s LEFT JOIN (SELECT * FROM bars WHERE {LATEST}) b ON b.stock_id = s.stock_id
 GROUP BY s.stock_id, symbol""",
 }
+
+BAR_VALUES = """stock_id, trade_date, open_c / 100.0::DOUBLE AS open_price,
+       high_c / 100.0::DOUBLE AS high_price, low_c / 100.0::DOUBLE AS low_price,
+       close_c / 100.0::DOUBLE AS close_price, close_c / 100.0::DOUBLE AS adj_close, volume"""
+
+LATE = """
+stored AS (
+    SELECT * FROM bars WHERE trade_date < (SELECT as_of FROM newest) - INTERVAL 7 DAY
+),
+late AS (
+    SELECT * REPLACE (close_c + 100 AS close_c, (close_c + 100) / 100.0::DOUBLE AS close_price)
+    FROM bars WHERE trade_date >= (SELECT as_of FROM newest) - INTERVAL 14 DAY
+),
+after_load AS (
+    SELECT * FROM late
+    UNION ALL
+    SELECT s.* FROM stored s
+    WHERE NOT EXISTS (SELECT 1 FROM late l
+                      WHERE l.stock_id = s.stock_id AND l.trade_date = s.trade_date)
+)"""
+
+# What becomes of each landed row, from the defect its stock and day give it.
+CHECKED = """
+landed AS (
+    SELECT *, (stock_id * 31 + dayofyear(trade_date)) % 11 AS defect
+    FROM bars JOIN stocks USING (stock_id)
+),
+checked AS (
+    SELECT CASE WHEN defect = 3 THEN 'UNK' || CAST(stock_id AS VARCHAR) ELSE symbol END AS symbol,
+           trade_date, stock_id, is_active, open_c, high_c, low_c,
+           close_c + 100 AS close_c,
+           CASE WHEN defect IN (4, 5) THEN 0 ELSE volume END AS volume,
+           CASE defect WHEN 0 THEN 'open not positive'
+                       WHEN 1 THEN 'high below low'
+                       WHEN 2 THEN 'bad price'
+                       WHEN 3 THEN 'unknown symbol' END AS reason
+    FROM landed
+),
+asked AS (
+    SELECT * FROM checked
+    WHERE (is_active OR reason = 'unknown symbol')
+      AND trade_date >= (SELECT as_of FROM newest) - INTERVAL 14 DAY
+)"""
+
+
+def _after(text: str, table: str) -> str:
+    """The same subqueries over another bar table."""
+    return text.replace("FROM bars", f"FROM {table}").replace("JOIN bars", f"JOIN {table}")
+
+
+MOMENTUM_AFTER = _after(MOMENTUM, "after_load")
+PAIRS_AFTER = _after(PAIR_METRICS, "after_load")
+
+WRITES = {
+    "bar_window": f"""{PRICES}
+SELECT {BAR_VALUES} FROM bars
+WHERE trade_date >= (SELECT as_of FROM newest) - INTERVAL 1000 DAY""",
+    "recent_bars": f"""{PRICES}
+SELECT {BAR_VALUES} FROM bars JOIN stocks USING (stock_id)
+WHERE is_active AND trade_date >= (SELECT as_of FROM newest) - INTERVAL 7 DAY""",
+    "bar_quality": f"""{PRICES},{CHECKED}
+SELECT {BAR_VALUES} FROM checked WHERE reason IS NULL""",
+    "bar_rejects": f"""{PRICES},{CHECKED}
+SELECT symbol, trade_date, reason FROM checked WHERE reason IS NOT NULL""",
+    "load_counts": f"""{PRICES},{CHECKED}
+SELECT s.symbol, count(*) FILTER (WHERE c.symbol IS NOT NULL AND c.reason IS NULL) AS accepted,
+       count(c.reason) AS rejected
+FROM stocks s LEFT JOIN checked c ON c.symbol = s.symbol
+GROUP BY s.symbol""",
+    "refresh_gate": f"""{PRICES},{LATE}
+SELECT (SELECT max(trade_date) FROM stored) AS last_date, as_of,
+       (SELECT max(trade_date) FROM stored) >= as_of AS already_updated
+FROM newest""",
+    "new_rows_global": f"""{PRICES},{LATE}
+SELECT {BAR_VALUES} FROM late WHERE trade_date > (SELECT max(trade_date) FROM stored)""",
+    "new_rows_per_stock": f"""{PRICES},{LATE}
+SELECT {BAR_VALUES} FROM late l
+WHERE trade_date > coalesce((SELECT max(s.trade_date) FROM stored s WHERE s.stock_id = l.stock_id),
+                            DATE '0001-01-01')""",
+    "upsert_bars": f"{PRICES},{LATE} SELECT {BAR_VALUES} FROM after_load",
+    "refresh_result": f"""{PRICES},{LATE},{CHECKED},
+fresh AS (
+    SELECT * FROM asked
+    WHERE reason IS NULL AND trade_date > (SELECT max(trade_date) FROM stored)
+)
+SELECT (SELECT count(*) FROM fresh) > 0 AS success,
+       (SELECT count(*) FROM fresh) AS records_updated,
+       (SELECT count(DISTINCT trade_date) FROM fresh) AS new_trading_days,
+       (SELECT count(*) FROM asked WHERE reason IS NOT NULL) AS errors,
+       false AS already_updated""",
+    "refresh_errors": f"""{PRICES},{CHECKED}
+SELECT symbol, symbol || ': ' || reason AS message, count(*) AS rows
+FROM asked WHERE reason IS NOT NULL
+GROUP BY symbol, reason""",
+    "day_count_change": f"""{PRICES},{LATE}
+SELECT count(DISTINCT s.trade_date) AS old_days,
+       (SELECT count(DISTINCT trade_date) FROM after_load) AS new_days,
+       (SELECT count(DISTINCT trade_date) FROM after_load) - count(DISTINCT s.trade_date)
+           AS days_added
+FROM stored s""",
+    "momentum_tail": f"""{_with(STOCKS, BARS, LATE, MOMENTUM_AFTER)}
+SELECT stock_id, trade_date, {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50,
+       {r2("sma_200")} AS sma_200, {r2("rsi_14")} AS rsi_14
+FROM momentum""",
+    "pair_tail": f"""{_with(STOCKS, PAIRS, BARS, LATE, PAIRS_AFTER)}
+SELECT pair_id, trade_date, {r4("price_ratio")} AS price_ratio,
+       {r4("ratio_sma_20")} AS ratio_sma_20, {r2("z_score")} AS z_score
+FROM pair_metrics""",
+    "stored_overview": READS["market_overview"],
+    "stream_ingest": f"""{PRICES},{LATE},{CHECKED},
+loaded AS (
+    SELECT stock_id, trade_date, close_c, close_c / 100.0::DOUBLE AS close_price, volume
+    FROM checked WHERE reason IS NULL
+    UNION ALL
+    SELECT stock_id, trade_date, close_c, close_price, volume FROM stored s
+    WHERE NOT EXISTS (SELECT 1 FROM checked c WHERE c.reason IS NULL
+                      AND c.stock_id = s.stock_id AND c.trade_date = s.trade_date)
+),{_after(MOMENTUM, "loaded")}
+SELECT m.stock_id, m.trade_date, m.close_price, l.volume,
+       {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50, {r2("sma_200")} AS sma_200,
+       {r2("rsi_14")} AS rsi_14
+FROM momentum m JOIN loaded l ON l.stock_id = m.stock_id AND l.trade_date = m.trade_date""",
+    "csv_export": READS["rsi_patterns"],
+    "sql_view": f"""{PRICES}
+SELECT symbol, count(*) AS bars, max(close_price) AS top_price
+FROM bars JOIN stocks USING (stock_id) WHERE volume >= 40
+GROUP BY symbol""",
+}
+
+STRENGTH = "(sma_50 - sma_200) / nullif(sma_200, 0) * 100"
+
+TRADES = """
+marks AS (
+    SELECT *, CASE WHEN abs(z_score) > 2 THEN 1 WHEN abs(z_score) <= 0.5 THEN 0 END AS mark
+    FROM pair_metrics
+),
+states AS (
+    SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (
+                  PARTITION BY pair_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) AS held
+    FROM marks
+),
+turns AS (
+    SELECT *, lag(held, 1, 0) OVER (PARTITION BY pair_id ORDER BY trade_date) AS was_held
+    FROM states
+),
+entries AS (SELECT * FROM turns WHERE held = 1 AND was_held = 0),
+exits AS (SELECT * FROM turns WHERE held = 0 AND was_held = 1),
+trades AS (
+    SELECT n.pair_id, n.trade_date AS entry_date, x.trade_date AS exit_date,
+           CAST(date_diff('day', n.trade_date, x.trade_date) AS BIGINT) AS holding_days,
+           CASE WHEN n.z_score > 2 THEN 'SHORT A / LONG B' ELSE 'LONG A / SHORT B' END
+               AS trade_signal,
+           n.z_score AS entry_z, n.close_a AS entry_a, n.close_b AS entry_b,
+           x.close_a AS exit_a, x.close_b AS exit_b
+    FROM entries n LEFT JOIN exits x
+      ON x.pair_id = n.pair_id
+     AND x.trade_date = (SELECT min(y.trade_date) FROM exits y
+                         WHERE y.pair_id = n.pair_id AND y.trade_date > n.trade_date)
+)"""
+TRADE_COLUMNS = "pair_id, entry_date, exit_date, holding_days, trade_signal"
+GAIN_A = "(exit_a - entry_a) / entry_a * 100"
+GAIN_B = "(exit_b - entry_b) / entry_b * 100"
+
+RULES = {
+    "trend_strength_bands": f"""{INDICATORS}
+SELECT stock_id, trade_date, {r2(STRENGTH)} AS strength_pct,
+       CASE WHEN abs({STRENGTH}) >= 5 THEN 'strong'
+            WHEN abs({STRENGTH}) >= 2 THEN 'moderate'
+            ELSE 'weak' END
+       || CASE WHEN {STRENGTH} > 0 THEN ' up' ELSE ' down' END AS band
+FROM momentum WHERE sma_200 IS NOT NULL""",
+    "cross_events": f"""{INDICATORS},
+states AS (
+    SELECT stock_id, trade_date, {CROSS} AS trend_signal FROM momentum
+    WHERE sma_200 IS NOT NULL
+)
+SELECT stock_id, trade_date, trend_signal FROM states
+QUALIFY lag(trend_signal) OVER (PARTITION BY stock_id ORDER BY trade_date) <> trend_signal""",
+    "rsi_recoveries": f"""{INDICATORS},
+readings AS (
+    SELECT stock_id, trade_date, rsi_14,
+           CASE WHEN rsi_14 > 80 THEN 'very overbought' WHEN rsi_14 > 70 THEN 'overbought'
+                WHEN rsi_14 < 30 THEN 'oversold' ELSE 'normal' END AS band,
+           last_value(CASE WHEN rsi_14 < 30 THEN 'BUY - Oversold'
+                           WHEN rsi_14 > 70 THEN 'SELL - Overbought' END IGNORE NULLS)
+               OVER (PARTITION BY stock_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)
+               AS last_signal
+    FROM momentum WHERE rsi_14 IS NOT NULL
+)
+SELECT stock_id, trade_date, {r2("rsi_14")} AS rsi_14, band, last_signal,
+       coalesce((last_signal = 'BUY - Oversold' AND rsi_14 > 40)
+                OR (last_signal = 'SELL - Overbought' AND rsi_14 < 60), false) AS passed
+FROM readings""",
+    "pair_excursions": f"""{PAIRED},{TRADES}
+SELECT {TRADE_COLUMNS}, {r2("entry_z")} AS entry_z FROM trades""",
+    "pair_profit": f"""{PAIRED},{TRADES}
+SELECT {TRADE_COLUMNS},
+       {r2(f"CASE WHEN trade_signal = 'SHORT A / LONG B' THEN {GAIN_B} - {GAIN_A} "
+           f"ELSE {GAIN_A} - {GAIN_B} END / 100 * 100000")} AS profit
+FROM trades WHERE exit_date IS NOT NULL""",
+    "pair_correlation": f"""{PAIRED}
+SELECT pair_id, {r4("corr(close_a, close_b)")} AS correlation, count(*) AS days,
+       corr(close_a, close_b) > 0.7 AS tradable
+FROM ratios GROUP BY pair_id""",
+}
+
+ALL = {**READS, **WRITES, **RULES}

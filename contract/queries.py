@@ -8,11 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schema as S
+from barloom.functions import signals
 from barloom.functions.exact import snap_round
-from barloom.operators import indicators, lookup, pairs
-from barloom.plans import reports
+from barloom.operators import (
+    excursions,
+    indicators,
+    lookup,
+    pairs,
+    refresh,
+    regimes,
+    tail,
+    upsert,
+    validate,
+)
+from barloom.plans import maintain, reports
+from barloom.sinks.export import export_csv
+from barloom.sinks.warehouse import Warehouse
 from barloom.sources import ticks
-from barloom.sources.market import Market
+from barloom.sources.market import Market, run_sql
+from barloom.sources.shared import new_folder
+from barloom.streaming.ingest import landed_stream, start_ingest
+from contract import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,3 +115,169 @@ READS: dict[str, Query] = {
     "load_summary": _over_market(reports.load_summary),
     "load_summary_latest": _over_market(load_summary_latest),
 }
+
+
+def _doubled_bars(bars: DataFrame) -> DataFrame:
+    return doubles(bars.select(*S.BAR_KEY, *S.VALUE_COLUMNS), *S.PRICE_COLUMNS)
+
+
+def _new_rows(mode: str) -> Query:
+    return _over_market(
+        lambda m: _doubled_bars(
+            upsert.new_rows(fixtures.raised(m), fixtures.target(m), mode)
+        )
+    )
+
+
+def _refresh_result(m: Market) -> DataFrame:
+    asked = fixtures.asked(m)
+    stored = fixtures.target(m)
+    pending = upsert.new_rows(upsert.one_per_key(validate.accepted(asked)), stored, "global")
+    return refresh.result(pending, validate.rejected(asked), stored, m.last_date())
+
+
+def _day_change(m: Market) -> DataFrame:
+    before = Market(m.stocks, fixtures.target(m), m.stock_pairs)
+    return refresh.day_change(
+        reports.database_stats(before), reports.database_stats(fixtures.updated(m))
+    )
+
+
+def _momentum_tail(m: Market) -> DataFrame:
+    """Stored indicators with the tail of the late changes merged in."""
+    changed = tail.changed_stocks(fixtures.raised(m))
+    stored = indicators.momentum(fixtures.target(m))
+    fresh = tail.momentum_tail(fixtures.merged(m), changed)
+    return rounded(upsert.merge(stored, fresh), **SMA, rsi_14=2)
+
+
+def _pair_tail(m: Market) -> DataFrame:
+    changed = tail.changed_pairs(tail.changed_stocks(fixtures.raised(m)), m.stock_pairs)
+    stored = pairs.pair_metrics(fixtures.target(m), m.stock_pairs)
+    fresh = tail.pair_tail(fixtures.merged(m), m.stock_pairs, changed)
+    merged = upsert.merge(stored, fresh, S.PAIR_KEY)
+    return rounded(merged, price_ratio=4, ratio_sma_20=4, z_score=2)
+
+
+def _warehouse(spark: SparkSession, m: Market, prices: DataFrame, grain: str) -> Warehouse:
+    warehouse = Warehouse(spark, new_folder(spark, "warehouse"), grain)
+    warehouse.write_list("stocks", m.stocks)
+    warehouse.write_list("stock_pairs", m.stock_pairs)
+    warehouse.write("daily_prices", prices)
+    maintain.rebuild_all(warehouse)
+    return warehouse
+
+
+def stored_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The overview from stored tables, read from the newest period alone."""
+    m = ticks.market(spark, folder)
+    warehouse = _warehouse(spark, m, m.daily_prices, "month")
+    return reports.market_overview(warehouse.market())
+
+
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices and indicators after the landed bars streamed into a table that lacks a week."""
+    m = ticks.market(spark, folder)
+    warehouse = _warehouse(spark, m, fixtures.target(m), "year")
+    landing = new_folder(spark, "landing")
+    delivery = fixtures.landed(m).repartitionByRange(4, "ts")
+    delivery.write.parquet(landing)
+    stream = landed_stream(warehouse, landing, files_per_batch=2)
+    start_ingest(warehouse, stream, new_folder(spark, "ingest")).awaitTermination()
+    stored = warehouse.table("daily_prices").select(*S.BAR_KEY, "close_price", "volume")
+    joined = stored.join(warehouse.table("momentum_indicators"), list(S.BAR_KEY), "left")
+    return rounded(doubles(joined, "close_price"), **SMA, rsi_14=2)
+
+
+def csv_export(spark: SparkSession, folder: str) -> DataFrame:
+    """A report written as CSV and read back."""
+    m = ticks.market(spark, folder)
+    report = reports.rsi_patterns(m)
+    path = export_csv(report, new_folder(spark, "export"), "RSI Patterns Analysis")
+    return spark.read.option("header", True).schema(report.schema).csv(path)
+
+
+def _sql_view(spark: SparkSession, folder: str) -> DataFrame:
+    """A hand-written query over the registered tables."""
+    ticks.market(spark, folder).create_views()
+    query = """
+        SELECT s.symbol, count(*) AS bars, CAST(max(p.close_price) AS DOUBLE) AS top_price
+        FROM daily_prices p JOIN stocks s ON s.stock_id = p.stock_id
+        WHERE p.volume >= :volume
+        GROUP BY s.symbol
+    """
+    return run_sql(spark, query, volume=40)
+
+
+def _trend_strength(m: Market) -> DataFrame:
+    strength = signals.trend_strength("sma_50", "sma_200")
+    ready = m.momentum_indicators.where(F.col("sma_200").isNotNull())
+    return ready.select(
+        *S.BAR_KEY,
+        snap_round(strength, 2).alias("strength_pct"),
+        regimes.strength_band(strength).alias("band"),
+    )
+
+
+TRADE_COLUMNS = ("pair_id", "entry_date", "exit_date", "holding_days", "trade_signal")
+
+
+def _excursions(m: Market) -> DataFrame:
+    trades = excursions.excursions(m.daily_prices, m.stock_pairs)
+    return trades.select(*TRADE_COLUMNS, snap_round("entry_z", 2).alias("entry_z"))
+
+
+def _pair_profit(m: Market) -> DataFrame:
+    trades = excursions.excursions(m.daily_prices, m.stock_pairs)
+    return excursions.pair_profit(trades).select(
+        *TRADE_COLUMNS, snap_round("profit", 2).alias("profit")
+    )
+
+
+WRITES: dict[str, Query] = {
+    "bar_window": _over_market(
+        lambda m: _doubled_bars(refresh.history(m.daily_prices, m.last_date(), days=1000))
+    ),
+    "recent_bars": _over_market(
+        lambda m: _doubled_bars(refresh.recent(m.daily_prices, m.stocks, m.last_date()))
+    ),
+    "bar_quality": _over_market(
+        lambda m: _doubled_bars(validate.accepted(fixtures.checked(m)))
+    ),
+    "bar_rejects": _over_market(lambda m: validate.rejected(fixtures.checked(m))),
+    "load_counts": _over_market(
+        lambda m: validate.load_counts(fixtures.checked(m), m.stocks)
+    ),
+    "refresh_gate": _over_market(lambda m: refresh.gate(fixtures.target(m), m.last_date())),
+    "new_rows_global": _new_rows("global"),
+    "new_rows_per_stock": _new_rows("per_stock"),
+    "upsert_bars": _over_market(lambda m: _doubled_bars(fixtures.merged(m))),
+    "refresh_result": _over_market(_refresh_result),
+    "refresh_errors": _over_market(
+        lambda m: refresh.errors(validate.rejected(fixtures.asked(m)))
+    ),
+    "day_count_change": _over_market(_day_change),
+    "momentum_tail": _over_market(_momentum_tail),
+    "pair_tail": _over_market(_pair_tail),
+    "stored_overview": stored_overview,
+    "stream_ingest": stream_ingest,
+    "csv_export": csv_export,
+    "sql_view": _sql_view,
+}
+
+RULES: dict[str, Query] = {
+    "trend_strength_bands": _over_market(_trend_strength),
+    "cross_events": _over_market(lambda m: regimes.cross_events(m.momentum_indicators)),
+    "rsi_recoveries": _over_market(
+        lambda m: rounded(regimes.rsi_recoveries(m.momentum_indicators), rsi_14=2)
+    ),
+    "pair_excursions": _over_market(_excursions),
+    "pair_profit": _over_market(_pair_profit),
+    "pair_correlation": _over_market(
+        lambda m: rounded(
+            excursions.pair_correlation(m.daily_prices, m.stock_pairs), correlation=4
+        )
+    ),
+}
+
+ALL: dict[str, Query] = {**READS, **WRITES, **RULES}
