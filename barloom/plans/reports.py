@@ -26,6 +26,16 @@ def _recent(market: Market, name: str, as_of: Column, days: int) -> DataFrame:
     return market.between(name, F.date_sub(as_of, days), as_of)
 
 
+def _sorted(rows: DataFrame, *order: Column) -> DataFrame:
+    """All rows in order.
+
+    A range sort samples its input before it reads it, which would compute the last stage (often
+    the windows) twice. The small report is passed through an exchange first, so only that is
+    read twice.
+    """
+    return rows.hint("rebalance").orderBy(*order)
+
+
 def _named(facts: DataFrame, market: Market) -> DataFrame:
     return facts.join(market.stocks.select("stock_id", "symbol", "company_name"), "stock_id")
 
@@ -51,20 +61,17 @@ def latest_bars(market: Market) -> DataFrame:
 
 
 def market_overview(market: Market) -> DataFrame:
-    return (
-        _named(latest_bars(market), market)
-        .orderBy(F.col("rsi_14").asc_nulls_first(), "symbol")
-        .select(
-            "symbol",
-            "company_name",
-            snap_round("close_price", 2).alias("price"),
-            snap_round("sma_20", 2).alias("ma_20"),
-            snap_round("sma_50", 2).alias("ma_50"),
-            snap_round("sma_200", 2).alias("ma_200"),
-            snap_round("rsi_14", 2).alias("rsi"),
-            signals.trend("sma_50", "sma_200").alias("trend"),
-            signals.rsi_action("rsi_14").alias("action"),
-        )
+    rows = _named(latest_bars(market), market)
+    return _sorted(rows, F.col("rsi_14").asc_nulls_first(), F.col("symbol")).select(
+        "symbol",
+        "company_name",
+        snap_round("close_price", 2).alias("price"),
+        snap_round("sma_20", 2).alias("ma_20"),
+        snap_round("sma_50", 2).alias("ma_50"),
+        snap_round("sma_200", 2).alias("ma_200"),
+        snap_round("rsi_14", 2).alias("rsi"),
+        signals.trend("sma_50", "sma_200").alias("trend"),
+        signals.rsi_action("rsi_14").alias("action"),
     )
 
 
@@ -104,19 +111,16 @@ def overbought(
 
 
 def long_term_trends(market: Market) -> DataFrame:
-    return (
-        _named(latest_bars(market), market)
-        .select(
-            "symbol",
-            "company_name",
-            snap_round("close_price", 2).alias("price"),
-            snap_round("sma_50", 2).alias("ma_50"),
-            snap_round("sma_200", 2).alias("ma_200"),
-            snap_round(signals.trend_strength("sma_50", "sma_200"), 2).alias("strength_pct"),
-            signals.cross_label("sma_50", "sma_200").alias("trend_signal"),
-        )
-        .orderBy(F.col("strength_pct").desc_nulls_last(), "symbol")
+    rows = _named(latest_bars(market), market).select(
+        "symbol",
+        "company_name",
+        snap_round("close_price", 2).alias("price"),
+        snap_round("sma_50", 2).alias("ma_50"),
+        snap_round("sma_200", 2).alias("ma_200"),
+        snap_round(signals.trend_strength("sma_50", "sma_200"), 2).alias("strength_pct"),
+        signals.cross_label("sma_50", "sma_200").alias("trend_signal"),
     )
+    return _sorted(rows, F.col("strength_pct").desc_nulls_last(), F.col("symbol"))
 
 
 def first_last_in_year(market: Market, from_year: int = S.YEARLY_FROM) -> DataFrame:
@@ -164,19 +168,16 @@ def rsi_patterns(market: Market) -> DataFrame:
         )
     )
     total = F.col("total_days")
-    return (
-        _named(counted, market)
-        .select(
-            "symbol",
-            "total_days",
-            "oversold_count",
-            "overbought_count",
-            snap_round(pct_of(F.col("oversold_count"), total), 2).alias("oversold_pct"),
-            snap_round(pct_of(F.col("overbought_count"), total), 2).alias("overbought_pct"),
-            snap_round("mean_rsi", 2).alias("avg_rsi"),
-        )
-        .orderBy(F.col("oversold_pct").desc(), "symbol")
+    rows = _named(counted, market).select(
+        "symbol",
+        "total_days",
+        "oversold_count",
+        "overbought_count",
+        snap_round(pct_of(F.col("oversold_count"), total), 2).alias("oversold_pct"),
+        snap_round(pct_of(F.col("overbought_count"), total), 2).alias("overbought_pct"),
+        snap_round("mean_rsi", 2).alias("avg_rsi"),
     )
+    return _sorted(rows, F.col("oversold_pct").desc(), F.col("symbol"))
 
 
 def latest_per_pair(market: Market) -> DataFrame:
@@ -190,18 +191,14 @@ def latest_per_pair(market: Market) -> DataFrame:
 
 
 def all_pairs_status(market: Market) -> DataFrame:
-    return (
-        _with_legs(latest_per_pair(market), market)
-        .orderBy(F.abs("z_score").desc_nulls_last(), "pair_name")
-        .select(
-            "pair_name",
-            "stock_a",
-            "stock_b",
-            snap_round("price_ratio", 4).alias("current_ratio"),
-            signals.pair_signal("z_score").alias("trade_signal"),
-            snap_round("z_score", 2).alias("z_score"),
-        )
-        .select("pair_name", "stock_a", "stock_b", "current_ratio", "z_score", "trade_signal")
+    rows = _with_legs(latest_per_pair(market), market)
+    return _sorted(rows, F.abs("z_score").desc_nulls_last(), F.col("pair_name")).select(
+        "pair_name",
+        "stock_a",
+        "stock_b",
+        snap_round("price_ratio", 4).alias("current_ratio"),
+        snap_round("z_score", 2).alias("z_score"),
+        signals.pair_signal("z_score").alias("trade_signal"),
     )
 
 
@@ -246,18 +243,13 @@ def pair_history(
     pair_name: str = S.HISTORY_PAIR,
 ) -> DataFrame:
     pair = market.stock_pairs.where(F.col("pair_name") == pair_name).select("pair_id", "pair_name")
-    return (
-        _recent(market, "pair_metrics", anchor(as_of), days)
-        .join(pair, "pair_id")
-        .orderBy(F.col("trade_date").desc())
-        .select(
-            "pair_name",
-            "trade_date",
-            snap_round("price_ratio", 4).alias("ratio"),
-            signals.pair_trade("z_score").alias("trade_signal"),
-            snap_round("z_score", 2).alias("z_score"),
-        )
-        .select("pair_name", "trade_date", "ratio", "z_score", "trade_signal")
+    rows = _recent(market, "pair_metrics", anchor(as_of), days).join(pair, "pair_id")
+    return _sorted(rows, F.col("trade_date").desc()).select(
+        "pair_name",
+        "trade_date",
+        snap_round("price_ratio", 4).alias("ratio"),
+        snap_round("z_score", 2).alias("z_score"),
+        signals.pair_trade("z_score").alias("trade_signal"),
     )
 
 
@@ -279,14 +271,6 @@ def load_summary(market: Market) -> DataFrame:
     counted = market.daily_prices.groupBy("stock_id").agg(
         F.count("*").alias("bars"), F.min(day).alias("from_date"), F.max(day).alias("to_date")
     )
-    return (
-        market.stocks.select("stock_id", "symbol")
-        .join(counted, "stock_id", "left")
-        .select(
-            "symbol",
-            F.coalesce("bars", F.lit(0).cast("long")).alias("records"),
-            "from_date",
-            "to_date",
-        )
-        .orderBy("symbol")
-    )
+    rows = market.stocks.select("stock_id", "symbol").join(counted, "stock_id", "left")
+    records = F.coalesce("bars", F.lit(0).cast("long")).alias("records")
+    return _sorted(rows.select("symbol", records, "from_date", "to_date"), F.col("symbol"))

@@ -10,14 +10,20 @@ day, however many lines a supplier has.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom import schema as S
 from barloom.operators.rolling import series, with_running_sums
 from barloom.sources.market import Market
 
+LINES = """
+    l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, l_quantity double
+"""
+SUPPLIERS = "s_suppkey long, s_name string, s_acctbal double"
+
 START_CENTS = 1_000_000
 STEP_RANGE = 2001
 
@@ -25,7 +31,7 @@ STEP_RANGE = 2001
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The order lines as ``(stock_id, trade_date, step, quantity)``, steps in cents."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    return spark.read.parquet(f"{folder}/lineitem.parquet").select(
+    return spark.read.schema(LINES).parquet(f"{folder}/lineitem.parquet").select(
         F.col("l_suppkey").alias("stock_id"),
         F.to_date("l_shipdate").alias("trade_date"),
         (cents % STEP_RANGE - STEP_RANGE // 2).alias("step"),
@@ -35,7 +41,7 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def stocks(spark: SparkSession, folder: str) -> DataFrame:
     """One stock per supplier; suppliers in debt count as inactive."""
-    return spark.read.parquet(f"{folder}/supplier.parquet").select(
+    return spark.read.schema(SUPPLIERS).parquet(f"{folder}/supplier.parquet").select(
         F.col("s_suppkey").alias("stock_id"),
         F.concat(F.lit("SYM"), F.col("s_suppkey").cast("string")).alias("symbol"),
         F.col("s_name").alias("company_name"),
@@ -77,7 +83,7 @@ def daily_prices(spark: SparkSession, folder: str) -> DataFrame:
     last = F.lit(START_CENTS) + F.col("move_total")
     zero = F.lit(0)
 
-    def price(cents):
+    def price(cents: Column) -> Column:
         return (cents * F.lit(Decimal("0.01"))).cast(S.PRICE)
 
     return walk.select(
@@ -96,11 +102,25 @@ def newest(spark: SparkSession, folder: str) -> DataFrame:
     return read_lines(spark, folder).agg(F.max("trade_date").alias("last_date"))
 
 
-def market(spark: SparkSession, folder: str) -> Market:
-    listed = stocks(spark, folder)
-    return Market(
-        stocks=listed,
-        daily_prices=daily_prices(spark, folder),
-        stock_pairs=stock_pairs(listed),
-        newest=newest(spark, folder),
-    )
+class TickMarket(Market):
+    """The market of one folder; a table is defined when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark = spark
+        self.folder = folder
+
+    @cached_property
+    def stocks(self) -> DataFrame:
+        return stocks(self.spark, self.folder)
+
+    @cached_property
+    def daily_prices(self) -> DataFrame:
+        return daily_prices(self.spark, self.folder)
+
+    @cached_property
+    def stock_pairs(self) -> DataFrame:
+        return stock_pairs(self.stocks)
+
+    @cached_property
+    def newest(self) -> DataFrame:
+        return newest(self.spark, self.folder)

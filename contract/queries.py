@@ -46,7 +46,7 @@ def rounded(frame: DataFrame, **places: int) -> DataFrame:
 
 
 def _over_market(plan: Callable[[Market], DataFrame]) -> Query:
-    return lambda spark, folder: plan(ticks.market(spark, folder))
+    return lambda spark, folder: plan(ticks.TickMarket(spark, folder))
 
 
 def _symbols_in_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,14 +170,14 @@ def _warehouse(spark: SparkSession, m: Market, prices: DataFrame, grain: str) ->
 
 def stored_overview(spark: SparkSession, folder: str) -> DataFrame:
     """The overview from stored tables, read from the newest period alone."""
-    m = ticks.market(spark, folder)
+    m = ticks.TickMarket(spark, folder)
     warehouse = _warehouse(spark, m, m.daily_prices, "month")
     return reports.market_overview(warehouse.market())
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Prices and indicators after the landed bars streamed into a table that lacks a week."""
-    m = ticks.market(spark, folder)
+    m = ticks.TickMarket(spark, folder)
     warehouse = _warehouse(spark, m, fixtures.target(m), "year")
     landing = new_folder(spark, "landing")
     delivery = fixtures.landed(m).repartitionByRange(4, "ts")
@@ -191,7 +191,7 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     """A report written as CSV and read back."""
-    m = ticks.market(spark, folder)
+    m = ticks.TickMarket(spark, folder)
     report = reports.rsi_patterns(m)
     path = export_csv(report, new_folder(spark, "export"), "RSI Patterns Analysis")
     return spark.read.option("header", True).schema(report.schema).csv(path)
@@ -199,7 +199,7 @@ def csv_export(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sql_view(spark: SparkSession, folder: str) -> DataFrame:
     """A hand-written query over the registered tables."""
-    ticks.market(spark, folder).create_views()
+    ticks.TickMarket(spark, folder).create_views()
     query = """
         SELECT s.symbol, count(*) AS bars, CAST(max(p.close_price) AS DOUBLE) AS top_price
         FROM daily_prices p JOIN stocks s ON s.stock_id = p.stock_id
