@@ -36,18 +36,21 @@ def merge(target: DataFrame, updates: DataFrame, key: Sequence[str] = S.BAR_KEY)
     return both.groupBy(*key).agg(*(F.max_by(name, "side").alias(name) for name in values))
 
 
-def new_rows(updates: DataFrame, target: DataFrame, mode: str = "upsert") -> DataFrame:
+def new_rows(
+    updates: DataFrame, target: DataFrame, mode: str = "upsert", newest: DataFrame | None = None
+) -> DataFrame:
     """The rows of a delivery that a load in ``mode`` stores.
 
     ``upsert`` stores all of them. ``global`` keeps rows after the newest day of the whole
     target, so a stock that lags behind is never filled. ``per_stock`` keeps rows after each
-    stock's own newest day. An empty target makes every row new.
+    stock's own newest day. An empty target makes every row new. ``newest`` is a one-row frame
+    with the target's newest day, where that is known without reading the whole target.
     """
     day = F.col("trade_date")
     if mode == "upsert":
         return updates
     if mode == "global":
-        last = target.agg(F.max(day)).scalar()
+        last = (target.agg(F.max(day)) if newest is None else newest).scalar()
         return updates.where(last.isNull() | (day > last))
     if mode == "per_stock":
         last = target.groupBy("stock_id").agg(F.max(day).alias("last_date"))

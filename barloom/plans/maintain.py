@@ -12,10 +12,10 @@ from barloom.operators import refresh as R
 from barloom.operators import tail, upsert, validate
 from barloom.operators.indicators import momentum
 from barloom.operators.lookup import active_universe
-from barloom.operators.pairs import pair_metrics
+from barloom.operators.pairs import pair_metrics, pair_ratios
 from barloom.plans import reports
 from barloom.sinks.warehouse import Warehouse
-from barloom.sources.shared import discard, new_folder
+from barloom.sources.shared import discard, exists, new_folder
 
 
 def rebuild_all(warehouse: Warehouse) -> None:
@@ -42,19 +42,17 @@ def rebuild_tail(warehouse: Warehouse, loaded: DataFrame, batch: str | None = No
             None if last is None else F.lit(last),
         )
 
+    touched = stock_pairs.join(pairs_changed.select("pair_id"), "pair_id", "left_semi")
+
     def joint(first: date | None, last: date | None) -> DataFrame:
-        return tail.pairs.pair_ratios(bars(first, last), stock_pairs)
+        return pair_ratios(bars(first, last), touched)
 
-    start = tail.context_start(
-        bars, changed, "stock_id", tail.MOMENTUM_CONTEXT, begin, oldest
-    )
+    start = tail.context_start(bars, changed, "stock_id", tail.MOMENTUM_CONTEXT, begin, oldest)
     fresh = tail.momentum_tail(bars(start, None), changed)
     warehouse.upsert("momentum_indicators", fresh, since=begin, batch=batch)
 
-    start = tail.context_start(
-        joint, pairs_changed, "pair_id", tail.PAIR_CONTEXT, begin, oldest
-    )
-    fresh = tail.pair_tail(bars(start, None), stock_pairs, pairs_changed)
+    start = tail.context_start(joint, pairs_changed, "pair_id", tail.PAIR_CONTEXT, begin, oldest)
+    fresh = tail.pair_tail(bars(start, None), touched, pairs_changed)
     warehouse.upsert("pair_metrics", fresh, since=begin, batch=batch)
 
 
@@ -67,7 +65,7 @@ def store(
     repeating a batch changes nothing.
     """
     pending = upsert.new_rows(
-        validate.accepted(checked), warehouse.table("daily_prices"), mode
+        validate.accepted(checked), warehouse.table("daily_prices"), mode, warehouse.newest()
     )
     stored = warehouse.stage("accepted", upsert.one_per_key(pending), batch)
     refused = warehouse.stage("rejects", validate.rejected(checked), batch)
@@ -83,15 +81,20 @@ def bulk_load(
     as_of: date | None = None,
     days: int = S.HISTORY_DAYS,
     zone: str | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
-    """Load landed bars of the last ``days`` days; returns the load summary per stock."""
+    """Load landed bars of the last ``days`` days; returns the load summary per stock.
+
+    A load that broke off is finished by calling it again with the same ``batch`` folder.
+    """
     today = F.lit(as_of or date.today())
     checked = validate.check(landed, warehouse.table("stocks"), zone)
     unplaced = F.col("trade_date").isNull()
     wanted = checked.where(unplaced | R.in_window(days, today))
-    batch = new_folder(warehouse.spark, "load")
-    store(warehouse, wanted, "upsert", batch)
-    discard(warehouse.spark, batch)
+    folder = batch or new_folder(warehouse.spark, "load")
+    store(warehouse, wanted, "upsert", folder)
+    if batch is None:
+        discard(warehouse.spark, folder)
     return reports.load_summary(warehouse.market())
 
 
@@ -102,16 +105,20 @@ def refresh(
     days: int = S.REFRESH_DAYS,
     mode: str = "global",
     zone: str | None = None,
+    batch: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Bring the tables up to date from landed bars of the last days of active stocks.
 
-    Returns the one-row result record and the messages for refused rows.
+    Returns the one-row result record and the messages for refused rows. A refresh that broke
+    off is finished by calling it again with the same ``batch`` folder.
     """
     spark = warehouse.spark
-    today = F.lit(as_of or date.today())
+    day = as_of or date.today()
+    today = F.lit(day)
     stocks = warehouse.table("stocks")
-    newest = warehouse.newest().first()
-    if newest is not None and newest[0] is not None and newest[0] >= (as_of or date.today()):
+    broke_off = batch is not None and exists(spark, f"{batch}/accepted/_SUCCESS")
+    newest = warehouse.newest().first()[0]
+    if newest is not None and newest >= day and not broke_off:
         return R.nothing_to_do(spark)
 
     checked = validate.check(landed, stocks, zone)
@@ -120,8 +127,8 @@ def refresh(
         F.col("stock_id").isNull() | F.col("active")
     )
     wanted = asked.where(F.col("trade_date").isNull() | R.in_window(days, today)).drop("active")
-    batch = new_folder(spark, "refresh")
-    stored, refused = store(warehouse, wanted, mode, batch)
+    folder = batch or new_folder(spark, "refresh")
+    stored, refused = store(warehouse, wanted, mode, folder)
     counts = stored.agg(
         F.count("*").alias("records_updated"),
         F.count_distinct("trade_date").alias("new_trading_days"),
