@@ -75,7 +75,9 @@ def moving_averages(bars: DataFrame, warmup: str = "null") -> DataFrame:
     return sums.select(*S.BAR_KEY, *(_sma(n, warmup) for n in S.SMA_ROWS))
 
 
-def relative_strength(bars: DataFrame, warmup: str = "null", smoothing: str = "simple") -> DataFrame:
+def relative_strength(
+    bars: DataFrame, warmup: str = "null", smoothing: str = "simple"
+) -> DataFrame:
     """RSI over 14 changes; the first value is on row 15, a flat stretch gives NULL."""
     return momentum(bars, warmup, smoothing).select(*S.BAR_KEY, f"rsi_{S.RSI_ROWS}")
 

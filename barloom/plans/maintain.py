@@ -12,7 +12,7 @@ from barloom.operators import refresh as R
 from barloom.operators import tail, upsert, validate
 from barloom.operators.indicators import momentum
 from barloom.operators.lookup import active_universe
-from barloom.operators.pairs import pair_metrics, pair_ratios
+from barloom.operators.pairs import pair_metrics
 from barloom.plans import reports
 from barloom.sinks.warehouse import Warehouse
 from barloom.sources.shared import discard, exists, new_folder
@@ -26,33 +26,36 @@ def rebuild_all(warehouse: Warehouse) -> None:
 
 
 def rebuild_tail(warehouse: Warehouse, loaded: DataFrame, batch: str | None = None) -> None:
-    """Derive the indicator rows that freshly stored bars changed, and merge them in."""
+    """Derive the indicator rows that freshly stored bars changed, and merge them in.
+
+    The derived tables must have been in step with the prices before the load.
+    """
     changed = tail.changed_stocks(loaded)
     begin = changed.agg(F.min("first_date")).first()[0]
     if begin is None:
         return
-    oldest = warehouse.read("daily_prices").agg(F.min("period")).first()[0]
     stock_pairs = warehouse.table("stock_pairs")
     pairs_changed = tail.changed_pairs(changed, stock_pairs)
 
-    def bars(first: date | None, last: date | None) -> DataFrame:
-        return warehouse.between(
-            "daily_prices",
-            None if first is None else F.lit(first),
-            None if last is None else F.lit(last),
+    def since(name: str, touched: DataFrame, key: str, context: int) -> DataFrame:
+        """A table from the day on that gives every changed series its context."""
+        start = tail.context_start(
+            lambda first, last: warehouse.between(name, first, last).select(key, "trade_date"),
+            touched,
+            key,
+            context,
+            begin,
+            warehouse.oldest(name),
         )
+        return warehouse.between(name, start, None)
 
-    touched = stock_pairs.join(pairs_changed.select("pair_id"), "pair_id", "left_semi")
-
-    def joint(first: date | None, last: date | None) -> DataFrame:
-        return pair_ratios(bars(first, last), touched)
-
-    start = tail.context_start(bars, changed, "stock_id", tail.MOMENTUM_CONTEXT, begin, oldest)
-    fresh = tail.momentum_tail(bars(start, None), changed)
+    bars = since("daily_prices", changed, "stock_id", tail.MOMENTUM_CONTEXT)
+    fresh = tail.momentum_tail(bars, changed)
     warehouse.upsert("momentum_indicators", fresh, since=begin, batch=batch)
 
-    start = tail.context_start(joint, pairs_changed, "pair_id", tail.PAIR_CONTEXT, begin, oldest)
-    fresh = tail.pair_tail(bars(start, None), touched, pairs_changed)
+    stored = since("pair_metrics", pairs_changed, "pair_id", tail.PAIR_CONTEXT)
+    bars = warehouse.between("daily_prices", begin, None)
+    fresh = tail.pair_tail(bars, stock_pairs, pairs_changed, stored)
     warehouse.upsert("pair_metrics", fresh, since=begin, batch=batch)
 
 

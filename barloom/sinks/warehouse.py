@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom import schema as S
+from barloom.functions.exact import anchor
 from barloom.operators.upsert import merge
 from barloom.sources.market import Market
 from barloom.sources.shared import discard, exists, new_folder
@@ -56,17 +57,25 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.read(name).drop("period")
 
-    def between(self, name: str, first: Column | None, last: Column | None) -> DataFrame:
+    def between(
+        self, name: str, first: Column | date | None, last: Column | date | None
+    ) -> DataFrame:
         """Rows of the days from ``first`` to ``last``, reading only their periods."""
         rows = self.read(name)
         if first is not None:
+            first = anchor(first)
             rows = rows.where(F.col("period") >= self.period(first))
             rows = rows.where(F.col("trade_date") >= first)
         if last is not None:
+            last = anchor(last)
             rows = rows.where(F.col("period") <= self.period(last))
             rows = rows.where(F.col("trade_date") <= last)
         return rows.drop("period")
 
+    def oldest(self, name: str) -> date | None:
+        """The first day of the oldest period that holds rows."""
+        return self.read(name).agg(F.min("period")).first()[0]
+
     def newest(self) -> DataFrame:
         """The newest stored day, read from the newest period alone."""
         prices = self.read("daily_prices")

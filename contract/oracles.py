@@ -24,7 +24,6 @@ stock_pairs AS (
            a.symbol AS stock_a,
            b.symbol AS stock_b
     FROM stocks a JOIN stocks b ON b.stock_id = a.stock_id + 1
-    WHERE a.stock_id % 2 = 0
 )"""
 
 BARS = """

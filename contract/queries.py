@@ -154,7 +154,7 @@ def _momentum_tail(m: Market) -> DataFrame:
 def _pair_tail(m: Market) -> DataFrame:
     changed = tail.changed_pairs(tail.changed_stocks(fixtures.raised(m)), m.stock_pairs)
     stored = pairs.pair_metrics(fixtures.target(m), m.stock_pairs)
-    fresh = tail.pair_tail(fixtures.merged(m), m.stock_pairs, changed)
+    fresh = tail.pair_tail(fixtures.merged(m), m.stock_pairs, changed, stored)
     merged = upsert.merge(stored, fresh, S.PAIR_KEY)
     return rounded(merged, price_ratio=4, ratio_sma_20=4, z_score=2)
 

@@ -148,9 +148,7 @@ def test_recent_context_is_enough_for_dense_series(spark, warehouse):
     changed = tail.changed_stocks(bars(spark, {1: [1]}, start=LENGTH - 1))
 
     def series(first, last):
-        return warehouse.between(
-            "daily_prices", first and F.lit(first), last and F.lit(last)
-        )
+        return warehouse.between("daily_prices", first, last)
 
     start = tail.context_start(series, changed, "stock_id", 19, day(LENGTH - 1), day(-1000))
     assert start is not None and start <= day(LENGTH - 20)
