@@ -98,7 +98,7 @@ _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12)
 OP9 = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS nr
   FROM documents
 ), keyed AS (
   SELECT *, {_KEY} AS line_key FROM lines
@@ -110,7 +110,7 @@ WITH lines AS (
   FROM keyed k LEFT JOIN frequent f ON k.line_key = f.line_key
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
