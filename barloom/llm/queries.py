@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import linededup, mix, quality, shard, warc
+from barloom.llm import binary, linededup, mix, quality, shard, tokens, warc
 from barloom.llm.common import table
-from pyspark.sql import functions as F
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+TOKEN_LIMIT = 1024
 
 
 def op1_shard_minimax(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,6 +33,15 @@ def op4_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(quality.ledger(table(spark, folder, "documents")), "2")
 
 
+def op5_token_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, folder, "documents"), VOCABULARY)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op6_token_huffman(spark: SparkSession, folder: str) -> DataFrame:
+    return binary.round_trip(spark, table(spark, folder, "documents"), VOCABULARY)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, folder, "documents"), min_chars=1, min_docs=10)
     digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
@@ -44,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_minimax": op1_shard_minimax,
     "op2_mix_curriculum": op2_mix_curriculum,
     "op4_quality_ledger": op4_quality_ledger,
+    "op5_token_transducer": op5_token_transducer,
+    "op6_token_huffman": op6_token_huffman,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc_index_first": op10_warc_index_first,
 }
