@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import binary, linededup, mix, quality, shard, tokens, warc
+from barloom.llm import binary, linededup, mix, quality, shard, tokens, toxicity, warc
 from barloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -42,6 +42,10 @@ def op6_token_huffman(spark: SparkSession, folder: str) -> DataFrame:
     return binary.round_trip(spark, table(spark, folder, "documents"), VOCABULARY)
 
 
+def op8_toxicity_instances(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.dedup_lines(table(spark, folder, "documents"), min_chars=1, min_docs=10)
     digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_ledger": op4_quality_ledger,
     "op5_token_transducer": op5_token_transducer,
     "op6_token_huffman": op6_token_huffman,
+    "op8_toxicity_instances": op8_toxicity_instances,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc_index_first": op10_warc_index_first,
 }
