@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import binary, linededup, mix, quality, shard, tokens, toxicity, warc
+from barloom.llm import binary, decontam, linededup, mix, neardup, quality, shard, tokens, toxicity, warc
 from barloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op2_mix_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
 def op4_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(quality.ledger(table(spark, folder, "documents")), "2")
 
@@ -42,6 +46,13 @@ def op6_token_huffman(spark: SparkSession, folder: str) -> DataFrame:
     return binary.round_trip(spark, table(spark, folder, "documents"), VOCABULARY)
 
 
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contaminated(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
+
+
 def op8_toxicity_instances(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -60,9 +71,11 @@ def op10_warc_index_first(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_minimax": op1_shard_minimax,
     "op2_mix_curriculum": op2_mix_curriculum,
+    "op3_bottom_k": op3_bottom_k,
     "op4_quality_ledger": op4_quality_ledger,
     "op5_token_transducer": op5_token_transducer,
     "op6_token_huffman": op6_token_huffman,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity_instances": op8_toxicity_instances,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc_index_first": op10_warc_index_first,
