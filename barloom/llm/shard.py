@@ -105,6 +105,7 @@ def _even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
         near = int(np.searchsorted(ends, fair))
         if near > 0 and (near == len(ends) or fair - ends[near - 1] <= ends[near] - fair):
             near -= 1
+        near = max(near, at + 1)  # no empty shard while groups are left
         at = max(earliest[shard], at, min(near, most))
         cuts.append(at)
     return cuts

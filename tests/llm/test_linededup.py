@@ -1,0 +1,51 @@
+from __future__ import annotations
+
+from collections import Counter
+
+from barloom.llm import linededup
+from tests.llm.helpers import SPACES, documents, frame, lower, odd_rows, row
+
+
+def brute(rows, min_docs):
+    """Kept text of each ``(key, text)``; equal rows count as one document."""
+    found = Counter()
+    for _, text in set(rows):
+        found.update({lower(line.strip(SPACES)) for line in (text or "").split("\n")})
+    gone = {key for key, n in found.items() if key and n >= min_docs}
+    result = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [line for line in lines if lower(line.strip(SPACES)) not in gone]
+        result.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(result, key=str)
+
+
+def check(spark, rows, min_docs):
+    found = linededup.dedup_lines(frame(spark, rows), min_docs=min_docs).collect()
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found), key=str)
+    assert got == brute([(r[0], r[1]) for r in rows], min_docs)
+
+
+def test_odd_rows(spark):
+    check(spark, odd_rows(), 2)
+    check(spark, odd_rows(), 1)
+    check(spark, odd_rows(), 1000)
+    assert linededup.dedup_lines(frame(spark, [])).collect() == []
+
+
+def test_long_bitmaps_and_a_line_in_every_document(spark):
+    lines = ["HOT  " if n % 3 == 0 else f"own {n}" for n in range(300)]
+    rows = [row(n, "\n".join(lines[n:] + [f"last {n}"])) for n in range(40)]
+    check(spark, rows, 10)
+    check(spark, rows, 40)
+    check(spark, rows, 41)
+
+
+def test_documents(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
+    check(spark, [row(*r) for r in rows], 3)
+
+
+def test_no_python_in_the_plan(spark):
+    plan = linededup.dedup_lines(documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
