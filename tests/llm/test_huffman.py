@@ -1,0 +1,59 @@
+from __future__ import annotations
+
+import heapq
+
+import numpy as np
+import pytest
+
+from barloom.llm.huffman import STEP, Codebook, code_lengths, decode_block, encode_block
+
+
+def plain_lengths(counts):
+    heap = [(count, at, [at]) for at, count in enumerate(counts)]
+    heapq.heapify(heap)
+    depth, fresh = [0] * len(counts), len(counts)
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        for at in a[2] + b[2]:
+            depth[at] += 1
+        heapq.heappush(heap, (a[0] + b[0], fresh, a[2] + b[2]))
+        fresh += 1
+    return np.array(depth)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_lengths_are_optimal_and_bounded(seed):
+    rng = np.random.default_rng(seed)
+    counts = (rng.pareto(0.7, 150) * 10 + 1).astype(np.int64)
+    free = code_lengths(counts, 40)
+    assert (free * counts).sum() == (plain_lengths(counts) * counts).sum()
+    for limit in (8, 9, 12):
+        lengths = code_lengths(counts, limit)
+        assert lengths.max() <= limit
+        assert sum(2.0 ** -int(n) for n in lengths) == 1
+        assert (lengths * counts).sum() >= (free * counts).sum()
+
+
+def test_few_symbols():
+    assert list(code_lengths(np.array([0, 0]), 16)) == [0, 0]
+    assert list(code_lengths(np.array([0, 9]), 16)) == [0, 1]
+    assert list(code_lengths(np.array([1, 9]), 16)) == [1, 1]
+    with pytest.raises(ValueError):
+        code_lengths(np.ones(5, dtype=np.int64), 2)
+
+
+@pytest.mark.parametrize("used", [1, 2, 300, 50_000])
+def test_blocks_round_trip(used):
+    rng = np.random.default_rng(used)
+    counts = np.zeros(max(used, 10), dtype=np.int64)
+    counts[:used] = (rng.pareto(1, used) * 10 + 1).astype(np.int64)
+    book = Codebook.of(code_lengths(counts, 16))
+    table = book.table()
+    chance = counts / counts.sum()
+    for sizes in ([], [0], [1], [STEP], [STEP + 1, 0, 3], [5000, 1, STEP - 1]):
+        ids = [rng.choice(len(counts), size, p=chance) for size in sizes]
+        keys = [None if at == 1 else -at for at in range(len(sizes))]
+        block = encode_block(book, keys, ids)
+        got_keys, got = decode_block(table, book.longest, block)
+        assert got_keys == keys
+        assert [list(part) for part in got] == [list(part) for part in ids]
