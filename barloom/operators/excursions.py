@@ -20,40 +20,58 @@ MIN_CORRELATION = 0.7
 
 def excursions(bars: DataFrame, stock_pairs: DataFrame) -> DataFrame:
     """One row per trade: entered when the z-score leaves the outer band, closed on the first
-    later day it is back inside the inner band, still open while it is not.
+    later day it is back inside the inner band or beyond it on the other side, still open while
+    it is not. A z-score that jumps from one outer band to the other closes a trade and enters
+    the opposite one on the same day.
 
-    The state of a day is the last mark at or before it, so every step is a window over the
-    pair's own series and the final grouping needs no further shuffle.
+    A side is held if the last day that entered or left it entered it, so every step is a window
+    over the pair's own series and the final grouping needs no further shuffle.
     """
     ordered = series("pair_id")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     z = F.col("z_score")
-    mark = F.when(F.abs(z) > S.Z_ENTRY, True).when(F.abs(z) <= Z_EXIT, False)
+    high = F.when(z > S.Z_ENTRY, True).when(z <= Z_EXIT, False)
+    low = F.when(z < -S.Z_ENTRY, True).when(z >= -Z_EXIT, False)
+
+    def held(mark: Column) -> Column:
+        return F.coalesce(F.last(mark, ignorenulls=True).over(so_far), F.lit(False)).cast("int")
+
     banded = with_ratio_bands(with_ratio(pair_closes(bars, stock_pairs)))
-    held = F.coalesce(F.last(mark, ignorenulls=True).over(so_far), F.lit(False))
+    turned = F.col("side") != F.col("was")
     states = (
-        banded.withColumn("held", held)
-        .withColumn("was_held", F.lag("held", 1, False).over(ordered))
-        .withColumn("enters", F.col("held") & ~F.col("was_held"))
-        .withColumn("trade", F.count_if("enters").over(so_far))
-        .where(F.col("held") | F.col("was_held"))
+        banded.withColumn("side", held(high) - held(low))
+        .withColumn("was", F.lag("side", 1, 0).over(ordered))
+        .withColumn("enters", turned & (F.col("side") != 0))
+        .withColumn("leaves", turned & (F.col("was") != 0))
+        .withColumn("entries", F.count_if("enters").over(so_far))
+        .where(turned)
     )
-    closing = ~F.col("held")
-
-    def at_entry(name: str) -> Column:
-        return F.max(F.when(F.col("enters"), F.col(name)))
+    # A day that turns from one side to the other counts for both trades.
+    ends = F.array_compact(
+        F.array(
+            F.when(F.col("enters"), F.struct(F.col("entries").alias("trade"), F.lit(True).alias("entry"))),
+            F.when(
+                F.col("leaves"),
+                F.struct(
+                    (F.col("entries") - F.col("enters").cast("int")).alias("trade"),
+                    F.lit(False).alias("entry"),
+                ),
+            ),
+        )
+    )
+    days = states.select("*", F.inline(ends))
 
-    def at_exit(name: str) -> Column:
-        return F.max(F.when(closing, F.col(name)))
+    def at(entry: bool, name: str) -> Column:
+        return F.max(F.when(F.col("entry") == entry, F.col(name)))
 
     return (
-        states.groupBy("pair_id", "trade")
+        days.groupBy("pair_id", "trade")
         .agg(
-            at_entry("trade_date").alias("entry_date"),
-            at_exit("trade_date").alias("exit_date"),
-            at_entry("z_score").alias("entry_z"),
-            *(at_entry(f"close_{side}").alias(f"entry_{side}") for side in "ab"),
-            *(at_exit(f"close_{side}").alias(f"exit_{side}") for side in "ab"),
+            at(True, "trade_date").alias("entry_date"),
+            at(False, "trade_date").alias("exit_date"),
+            at(True, "z_score").alias("entry_z"),
+            *(at(True, f"close_{side}").alias(f"entry_{side}") for side in "ab"),
+            *(at(False, f"close_{side}").alias(f"exit_{side}") for side in "ab"),
         )
         .withColumn("trade_signal", signals.pair_trade("entry_z"))
         .withColumn("holding_days", F.datediff("exit_date", "entry_date").cast("long"))

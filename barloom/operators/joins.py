@@ -5,35 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A lookup side of up to this many narrow rows is broadcast, some tens of megabytes at most.
-BROADCAST_ROWS = 400_000
-# Beyond it the rows of one key are spread over this many join keys.
+# A salted join spreads the rows of one key over this many join keys.
 SALTS = 32
 
 
-def rows_at_most(frame: DataFrame, limit: int) -> bool:
-    """Whether the frame has at most ``limit`` rows; never counts further than that."""
-    return frame.limit(limit + 1).count() <= limit
-
-
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     key: str,
     spread_by: Column,
     how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
+    salted: bool = False,
 ) -> DataFrame:
     """Join many facts to a narrow lookup on one key.
 
-    The lookup is broadcast after its size is checked. A larger one is joined by shuffle with
-    every lookup row repeated once per salt and every fact given one salt from ``spread_by``,
-    which must not change when a task is run again. A fact meets each of its lookup rows exactly
-    once, and the facts of a frequent key land in many tasks.
+    Spark broadcasts the lookup while its size is under ``spark.sql.autoBroadcastJoinThreshold``
+    and sorts and merges beyond it; nothing is counted while the query is defined. ``salted`` is
+    for a lookup too long for that whose keys are uneven: every lookup row is repeated once per
+    salt and every fact is given one salt from ``spread_by``, which must not change when a task is
+    run again. A fact meets each of its lookup rows exactly once either way.
     """
-    if rows_at_most(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup), key, how)
+    if not salted:
+        return facts.join(lookup, key, how)
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = lookup.withColumn("salt", copies).hint("merge")
-    return facts.withColumn("salt", salt).join(salted, [key, "salt"], how).drop("salt")
+    repeated = lookup.withColumn("salt", copies).hint("merge")
+    return facts.withColumn("salt", salt).join(repeated, [key, "salt"], how).drop("salt")

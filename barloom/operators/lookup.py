@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.joins import BROADCAST_ROWS, lookup_join
+from barloom.operators.joins import lookup_join
 
 
 def active_universe(stocks: DataFrame) -> DataFrame:
@@ -22,14 +22,12 @@ def stock_ids(
     frame: DataFrame,
     stocks: DataFrame,
     spread_by: Column | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    salted: bool = False,
 ) -> DataFrame:
     """Add ``stock_id`` by symbol; an unknown symbol gets NULL.
 
-    Rows of one symbol are spread by the input split they come from unless the caller names a
-    better column.
+    If ``salted``, rows of one symbol are spread by the input split they come from unless the
+    caller names a better column.
     """
     spread = F.spark_partition_id() if spread_by is None else spread_by
-    return lookup_join(
-        frame, one_per_symbol(stocks), "symbol", spread, "left", broadcast_rows=broadcast_rows
-    )
+    return lookup_join(frame, one_per_symbol(stocks), "symbol", spread, "left", salted)

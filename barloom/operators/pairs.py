@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom import schema as S
 from barloom.functions.exact import ratio
-from barloom.operators.joins import BROADCAST_ROWS, lookup_join
+from barloom.operators.joins import lookup_join
 from barloom.operators.rolling import series
 
 DEVIATIONS = {"population": F.stddev_pop, "sample": F.stddev_samp}
@@ -22,20 +22,18 @@ def legs(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.inline(sides))
 
 
-def _leg_bars(bars: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+def _leg_bars(bars: DataFrame, pairs: DataFrame, salted: bool) -> DataFrame:
     """Close of every leg on every date, from one pass over the bars.
 
-    One stock may sit in a large share of all pairs, so a long pair list spreads each stock's
-    bars by date.
+    One stock may sit in a large share of all pairs; a salted join spreads each stock's bars by
+    date.
     """
     closes = bars.select(*S.BAR_KEY, "close_price")
-    return lookup_join(
-        closes, legs(pairs), "stock_id", F.col("trade_date"), broadcast_rows=broadcast_rows
-    )
+    return lookup_join(closes, legs(pairs), "stock_id", F.col("trade_date"), salted=salted)
 
 
 def pair_closes(
-    bars: DataFrame, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    bars: DataFrame, pairs: DataFrame, salted: bool = False
 ) -> DataFrame:
     """Both closes on the dates where both legs traded.
 
@@ -47,7 +45,7 @@ def pair_closes(
         return F.max(F.when(F.col("side") == side, F.col("close_price")))
 
     return (
-        _leg_bars(bars, pairs, broadcast_rows)
+        _leg_bars(bars, pairs, salted)
         .repartition("pair_id")
         .groupBy(*S.PAIR_KEY)
         .agg(close_of("a").alias("close_a"), close_of("b").alias("close_b"))
@@ -60,9 +58,9 @@ def with_ratio(closes: DataFrame) -> DataFrame:
 
 
 def pair_ratios(
-    bars: DataFrame, pairs: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    bars: DataFrame, pairs: DataFrame, salted: bool = False
 ) -> DataFrame:
-    closes = pair_closes(bars, pairs, broadcast_rows)
+    closes = pair_closes(bars, pairs, salted)
     return with_ratio(closes).select(*S.PAIR_KEY, "price_ratio")
 
 
@@ -88,7 +86,7 @@ def pair_metrics(
     pairs: DataFrame,
     warmup: str = "null",
     deviation: str = "population",
-    broadcast_rows: int = BROADCAST_ROWS,
+    salted: bool = False,
 ) -> DataFrame:
     """The full pair table: one row per pair and joint trading day."""
-    return with_ratio_bands(pair_ratios(bars, pairs, broadcast_rows), warmup, deviation)
+    return with_ratio_bands(pair_ratios(bars, pairs, salted), warmup, deviation)

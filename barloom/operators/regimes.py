@@ -20,13 +20,15 @@ RSI_COOLED = 60
 
 
 def strength_band(strength: Column | str) -> Column:
+    """How far the averages are apart and which way; NULL if that is unknown."""
     size = F.abs(as_column(strength))
     band = (
         F.when(size >= STRENGTH_STRONG, "strong")
         .when(size >= STRENGTH_MODERATE, "moderate")
-        .when(size.isNotNull(), "weak")
+        .otherwise("weak")
     )
-    return F.concat_ws(" ", band, F.when(as_column(strength) > 0, "up").otherwise("down"))
+    way = F.when(as_column(strength) > 0, "up").otherwise("down")
+    return F.when(size.isNotNull(), F.concat_ws(" ", band, way))
 
 
 def rsi_band(rsi: Column | str) -> Column:

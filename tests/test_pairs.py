@@ -52,7 +52,7 @@ def many(spark):
 def test_long_pair_lists_give_the_same_rows(spark, many):
     prices, listed = many
     broadcast = pairs.pair_metrics(prices, listed)
-    salted = pairs.pair_metrics(prices, listed, broadcast_rows=0)
+    salted = pairs.pair_metrics(prices, listed, salted=True)
     assert "salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert broadcast.count() == 16 * 60
     assert same(broadcast, salted)
@@ -90,6 +90,17 @@ def test_excursion_from_entry_to_exit(spark):
     assert second.trade_signal == signals.LONG_A
 
 
+def test_a_flip_closes_a_trade_and_enters_the_opposite_one(spark):
+    a = [100 + (n % 2) for n in range(20)] + [125, 60, 40]
+    b = [100] * len(a)
+    listed = stock_pairs(spark, (1, 2))
+    z = [r.z_score for r in pairs.pair_metrics(bars(spark, {1: a, 2: b}), listed).orderBy("trade_date").collect()]
+    assert z[20] > 2 and z[21] < -2
+    first, second = excursions.excursions(bars(spark, {1: a, 2: b}), listed).orderBy("entry_date").collect()
+    assert (first.entry_date, first.exit_date, first.trade_signal) == (day(20), day(21), signals.SHORT_A)
+    assert (second.entry_date, second.exit_date, second.trade_signal) == (day(21), None, signals.LONG_A)
+
+
 def test_profit_of_equal_legs(spark):
     schema = (
         "trade_signal string, exit_date date, entry_a double, exit_a double, entry_b double, exit_b double"
