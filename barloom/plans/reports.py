@@ -36,6 +36,11 @@ def _sorted(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.hint("rebalance").orderBy(*order)
 
 
+def _ranked(rows: DataFrame, limit: int | None, *order: Column) -> DataFrame:
+    """The first rows in order, or all of them."""
+    return _sorted(rows, *order) if limit is None else rows.orderBy(*order).limit(limit)
+
+
 def _named(facts: DataFrame, market: Market) -> DataFrame:
     return facts.join(market.stocks.select("stock_id", "symbol", "company_name"), "stock_id")
 
@@ -76,35 +81,31 @@ def market_overview(market: Market) -> DataFrame:
 
 
 def _rsi_signals(
-    market: Market, hit: Column, as_of: AsOf, days: int, limit: int, order: Column
+    market: Market, hit: Column, as_of: AsOf, days: int, limit: int | None, order: Column
 ) -> DataFrame:
     today = anchor(as_of)
     hits = _recent(market, "momentum_indicators", today, days).where(hit)
     prices = _recent(market, "daily_prices", today, days).select(*S.BAR_KEY, "close_price")
-    return (
-        _named(hits.select(*S.BAR_KEY, "rsi_14").join(prices, list(S.BAR_KEY)), market)
-        .orderBy(F.col("trade_date").desc(), order, "symbol")
-        .limit(limit)
-        .select(
-            "symbol",
-            "company_name",
-            "trade_date",
-            snap_round("close_price", 2).alias("price"),
-            snap_round("rsi_14", 2).alias("rsi"),
-            F.datediff(today, F.col("trade_date")).cast("long").alias("days_ago"),
-        )
+    named = _named(hits.select(*S.BAR_KEY, "rsi_14").join(prices, list(S.BAR_KEY)), market)
+    return _ranked(named, limit, F.col("trade_date").desc(), order, F.col("symbol")).select(
+        "symbol",
+        "company_name",
+        "trade_date",
+        snap_round("close_price", 2).alias("price"),
+        snap_round("rsi_14", 2).alias("rsi"),
+        F.datediff(today, F.col("trade_date")).cast("long").alias("days_ago"),
     )
 
 
 def oversold(
-    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int = S.SIGNAL_LIMIT
+    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int | None = S.SIGNAL_LIMIT
 ) -> DataFrame:
     rsi = F.col("rsi_14")
     return _rsi_signals(market, signals.oversold(rsi), as_of, days, limit, rsi.asc())
 
 
 def overbought(
-    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int = S.SIGNAL_LIMIT
+    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int | None = S.SIGNAL_LIMIT
 ) -> DataFrame:
     rsi = F.col("rsi_14")
     return _rsi_signals(market, signals.overbought(rsi), as_of, days, limit, rsi.desc())
@@ -138,20 +139,17 @@ def first_last_in_year(market: Market, from_year: int = S.YEARLY_FROM) -> DataFr
 
 
 def yearly_performance(
-    market: Market, from_year: int = S.YEARLY_FROM, limit: int = S.YEARLY_LIMIT
+    market: Market, from_year: int = S.YEARLY_FROM, limit: int | None = None
 ) -> DataFrame:
-    return (
-        _named(first_last_in_year(market, from_year), market)
-        .orderBy("symbol", F.col("year").desc())
-        .limit(limit)
-        .select(
-            "symbol",
-            "year",
-            snap_round("first_close", 2).alias("start_price"),
-            snap_round("last_close", 2).alias("end_price"),
-            snap_round(pct_change("first_close", "last_close"), 2).alias("annual_return"),
-            "days_traded",
-        )
+    """Every stock and year; ``limit`` keeps the first rows by symbol and newest year."""
+    years = _named(first_last_in_year(market, from_year), market)
+    return _ranked(years, limit, F.col("symbol"), F.col("year").desc()).select(
+        "symbol",
+        "year",
+        snap_round("first_close", 2).alias("start_price"),
+        snap_round("last_close", 2).alias("end_price"),
+        snap_round(pct_change("first_close", "last_close"), 2).alias("annual_return"),
+        "days_traded",
     )
 
 
@@ -203,34 +201,30 @@ def all_pairs_status(market: Market) -> DataFrame:
 
 
 def _pair_signals(
-    market: Market, hit: Column, as_of: AsOf, days: int, limit: int, order: Column
+    market: Market, hit: Column, as_of: AsOf, days: int, limit: int | None, order: Column
 ) -> DataFrame:
     hits = _recent(market, "pair_metrics", anchor(as_of), days).where(hit)
-    return (
-        _with_legs(hits, market)
-        .orderBy(F.col("trade_date").desc(), order, "pair_name")
-        .limit(limit)
-        .select(
-            "pair_name",
-            "stock_a",
-            "stock_b",
-            "trade_date",
-            snap_round("price_ratio", 4).alias("current_ratio"),
-            snap_round("ratio_sma_20", 4).alias("normal_ratio"),
-            snap_round("z_score", 2).alias("z_score"),
-        )
+    named = _with_legs(hits, market)
+    return _ranked(named, limit, F.col("trade_date").desc(), order, F.col("pair_name")).select(
+        "pair_name",
+        "stock_a",
+        "stock_b",
+        "trade_date",
+        snap_round("price_ratio", 4).alias("current_ratio"),
+        snap_round("ratio_sma_20", 4).alias("normal_ratio"),
+        snap_round("z_score", 2).alias("z_score"),
     )
 
 
 def pairs_high(
-    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int = S.SIGNAL_LIMIT
+    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int | None = S.SIGNAL_LIMIT
 ) -> DataFrame:
     z = F.col("z_score")
     return _pair_signals(market, signals.diverged_high(z), as_of, days, limit, z.desc())
 
 
 def pairs_low(
-    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int = S.SIGNAL_LIMIT
+    market: Market, as_of: AsOf = None, days: int = S.REPORT_DAYS, limit: int | None = S.SIGNAL_LIMIT
 ) -> DataFrame:
     z = F.col("z_score")
     return _pair_signals(market, signals.diverged_low(z), as_of, days, limit, z.asc())

@@ -39,7 +39,6 @@ REPORT_DAYS = 30
 REFRESH_DAYS = 7
 HISTORY_DAYS = 15 * 365
 SIGNAL_LIMIT = 20
-YEARLY_LIMIT = 150
 YEARLY_FROM = 2011
 HISTORY_PAIR = "HDFCBANK-ICICIBANK"
 # ----------------------------------------------------------------------------
