@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom import schema as S
-
-MODES = ("upsert", "global", "per_stock")
+from barloom.operators import validate
 
 
 def one_per_key(rows: DataFrame, key: Sequence[str] = S.BAR_KEY) -> DataFrame:
     """One row per key from a delivery that may repeat keys.
 
-    The highest ``version`` wins; without that column, or between equal versions, the greater
-    values do, so the outcome never depends on the order of rows. Copies are combined before
-    the shuffle, so a key repeated without end still sends one row per task.
+    The highest ``version`` wins, as the sources number the rows in the order of arrival; each
+    value is picked by it, which keeps the aggregate a hash aggregate. Rows without that column
+    have no order of arrival, and the greater values win, so that the outcome never depends on how
+    rows are dealt out. Copies are combined before the shuffle, so a key repeated without end
+    still sends one row per task.
     """
     values = [name for name in rows.columns if name not in (*key, "version")]
-    version = F.col("version") if "version" in rows.columns else F.lit(0)
-    best = F.max(F.struct(version.alias("version"), *values)).alias("best")
+    if "version" in rows.columns:
+        return rows.groupBy(*key).agg(*(F.max_by(name, "version").alias(name) for name in values))
+    best = F.max(F.struct(*values)).alias("best")
     return rows.groupBy(*key).agg(best).select(*key, *(f"best.{name}" for name in values))
 
 
@@ -46,15 +48,7 @@ def new_rows(
     stock's own newest day. An empty target makes every row new. ``newest`` is a one-row frame
     with the target's newest day, where that is known without reading the whole target.
     """
-    day = F.col("trade_date")
-    if mode == "upsert":
-        return updates
-    if mode == "global":
-        last = (target.agg(F.max(day)) if newest is None else newest).scalar()
-        return updates.where(last.isNull() | (day > last))
-    if mode == "per_stock":
-        last = target.groupBy("stock_id").agg(F.max(day).alias("last_date"))
-        joined = updates.join(last, "stock_id", "left")
-        newer = F.col("last_date").isNull() | (day > F.col("last_date"))
-        return joined.where(newer).drop("last_date")
-    raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    marked = validate.newer(
+        updates.withColumn("reason", F.lit(None).cast("string")), target, mode, newest
+    )
+    return marked.where(F.col("reason").isNull()).drop("reason")

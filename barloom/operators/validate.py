@@ -19,6 +19,14 @@ BAD_RANGE = "high below low"
 BAD_VOLUME = "bad volume"
 UNKNOWN_SYMBOL = "unknown symbol"
 
+# Sound rows that a load was not asked for or that are too old for it.
+OUTSIDE_WINDOW = "outside window"
+INACTIVE = "inactive stock"
+NOT_NEWER = "not newer"
+SKIPPED = (OUTSIDE_WINDOW, INACTIVE, NOT_NEWER)
+
+MODES = ("upsert", "global", "per_stock")
+
 REJECT_COLUMNS = ("symbol", "trade_date", "reason")
 
 
@@ -44,18 +52,33 @@ def _number(raw: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
+def _volume(raw: DataFrame) -> Column:
+    """The volume, 0 where it is missing, blank or NaN, NULL where it is no number.
+
+    A column of numbers with gaps is written to text with decimals, so text is read as a double
+    unless it is a whole number.
+    """
+    volume = _number(raw, "volume")
+    if isinstance(raw.schema["volume"].dataType, T.StringType):
+        text = F.trim("volume")
+        double = text.try_cast("double")
+        missing = volume.isNull() | (text == "") | F.isnan(double)
+        whole = F.coalesce(text.try_cast("long"), double.try_cast("long"))
+        return F.when(missing, 0).otherwise(whole).cast("long")
+    return F.when(volume.isNull(), 0).otherwise(volume.try_cast("long")).cast("long")
+
+
 def _with_values(raw: DataFrame, zone: str | None) -> DataFrame:
     prices = {
         name: _number(raw, landed).try_cast(S.PRICE) for name, landed in LANDED.items()
     }
-    volume = _number(raw, "volume")
     kept = [F.col(name) for name in raw.columns if name not in (*LANDED.values(), "volume")]
     return raw.select(
         *kept,
         trading_day(raw, "ts", zone).alias("trade_date"),
         *(value.alias(name) for name, value in prices.items()),
         prices["close_price"].alias("adj_close"),
-        F.when(volume.isNull(), 0).otherwise(volume.try_cast("long")).cast("long").alias("volume"),
+        _volume(raw).alias("volume"),
     ).withColumn("symbol", F.upper(F.trim("symbol")))
 
 
@@ -79,6 +102,51 @@ def check(raw: DataFrame, stocks: DataFrame, zone: str | None = None) -> DataFra
     return resolved.withColumn("reason", _reason())
 
 
+def _skip(checked: DataFrame, unwanted: Column, reason: str) -> DataFrame:
+    """Give sound rows a reason not to be stored; rows that have one keep it."""
+    sound = F.col("reason").isNull()
+    return checked.withColumn("reason", F.when(sound & unwanted, reason).otherwise(F.col("reason")))
+
+
+def asked(
+    checked: DataFrame, as_of: Column, days: int, active: DataFrame | None = None
+) -> DataFrame:
+    """Checked rows, skipping those outside the last ``days`` days and of stocks not ``active``."""
+    rows = _skip(checked, ~in_window(days, as_of), OUTSIDE_WINDOW)
+    if active is None:
+        return rows
+    listed = active.select("stock_id", F.lit(True).alias("is_wanted"))
+    known = rows.join(listed, "stock_id", "left")
+    return _skip(known, F.col("is_wanted").isNull(), INACTIVE).drop("is_wanted")
+
+
+def newer(
+    checked: DataFrame, target: DataFrame, mode: str, newest: DataFrame | None = None
+) -> DataFrame:
+    """Checked rows, skipping those that a load in ``mode`` leaves out as not newer.
+
+    ``newest`` is a one-row frame with the target's newest day, if that is known without reading
+    the whole target.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
+    if mode == "upsert":
+        return checked
+    if mode == "global":
+        last = target.agg(F.max("trade_date")) if newest is None else newest
+        unwanted = F.coalesce(F.col("trade_date") <= last.scalar(), F.lit(False))
+        return _skip(checked, unwanted, NOT_NEWER)
+    last = target.groupBy("stock_id").agg(F.max("trade_date").alias("last_date"))
+    known = checked.join(last, "stock_id", "left")
+    unwanted = F.coalesce(F.col("trade_date") <= F.col("last_date"), F.lit(False))
+    return _skip(known, unwanted, NOT_NEWER).drop("last_date")
+
+
+def in_window(days_back: int, as_of: Column, day: str = "trade_date") -> Column:
+    """Days from ``days_back`` before ``as_of`` up to ``as_of``."""
+    return F.col(day).between(F.date_sub(as_of, days_back), as_of)
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     version = [name for name in ("version",) if name in checked.columns]
     return checked.where(F.col("reason").isNull()).select(
@@ -87,9 +155,15 @@ def accepted(checked: DataFrame) -> DataFrame:
 
 
 def rejected(checked: DataFrame) -> DataFrame:
+    """Every row that was not stored and why, skipped ones included."""
     return checked.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)
 
 
+def refused(rejects: DataFrame) -> DataFrame:
+    """The rejects that are wrong, not merely skipped."""
+    return rejects.where(~F.col("reason").isin(*SKIPPED))
+
+
 def load_counts(checked: DataFrame, stocks: DataFrame) -> DataFrame:
     """Rows stored and refused per listed symbol; a symbol without any rows counts 0."""
     counted = checked.groupBy("symbol").agg(

@@ -60,22 +60,38 @@ def rebuild_tail(warehouse: Warehouse, loaded: DataFrame, batch: str | None = No
 
 
 def store(
-    warehouse: Warehouse, checked: DataFrame, mode: str, batch: str
+    warehouse: Warehouse, judged: DataFrame, batch: str, own: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Store the accepted rows of a delivery; returns what was stored and what was refused.
+    """Store the accepted rows of a delivery; returns what was stored and what was not.
 
-    Both are written to the batch folder first. A run that broke off is finished from there, so
-    repeating a batch changes nothing.
+    Both are written to the batch folder first, and the folder is entered as pending before any
+    table changes. A run that broke off is finished from there by the next load, whoever starts
+    it; repeating a batch changes nothing. A folder that is the load's ``own`` is removed then.
     """
-    pending = upsert.new_rows(
-        validate.accepted(checked), warehouse.table("daily_prices"), mode, warehouse.newest()
-    )
-    stored = warehouse.stage("accepted", upsert.one_per_key(pending), batch)
-    refused = warehouse.stage("rejects", validate.rejected(checked), batch)
+    stored = warehouse.stage("accepted", upsert.one_per_key(validate.accepted(judged)), batch)
+    rejects = warehouse.stage("rejects", validate.rejected(judged), batch)
     if not stored.isEmpty():
-        warehouse.upsert("daily_prices", stored, batch=batch)
-        rebuild_tail(warehouse, stored, batch=batch)
-    return stored, refused
+        warehouse.begin(batch, own)
+        _apply(warehouse, stored, batch)
+        warehouse.finish(batch)
+    return stored, rejects
+
+
+def _apply(warehouse: Warehouse, stored: DataFrame, batch: str) -> None:
+    warehouse.upsert("daily_prices", stored, batch=batch)
+    rebuild_tail(warehouse, stored, batch=batch)
+
+
+def resume(warehouse: Warehouse) -> None:
+    """Finish loads that broke off after they began to change the tables."""
+    spark = warehouse.spark
+    for batch, own in warehouse.pending():
+        stored = spark.read.schema(S.DAILY_PRICES).parquet(f"{batch}/accepted")
+        _apply(warehouse, stored, batch)
+        warehouse.keep_rejects(spark.read.parquet(f"{batch}/rejects"), batch)
+        warehouse.finish(batch)
+        if own:
+            discard(spark, batch)
 
 
 def bulk_load(
@@ -88,14 +104,14 @@ def bulk_load(
 ) -> DataFrame:
     """Load landed bars of the last ``days`` days; returns the load summary per stock.
 
-    A load that broke off is finished by calling it again with the same ``batch`` folder.
+    Rows that were not stored are kept with their reasons in the table of rejects.
     """
-    today = F.lit(as_of or date.today())
+    resume(warehouse)
     checked = validate.check(landed, warehouse.table("stocks"), zone)
-    unplaced = F.col("trade_date").isNull()
-    wanted = checked.where(unplaced | R.in_window(days, today))
+    judged = validate.asked(checked, F.lit(as_of or date.today()), days)
     folder = batch or new_folder(warehouse.spark, "load")
-    store(warehouse, wanted, "upsert", folder)
+    _, rejects = store(warehouse, judged, folder, batch is None)
+    warehouse.keep_rejects(rejects, folder)
     if batch is None:
         discard(warehouse.spark, folder)
     return reports.load_summary(warehouse.market())
@@ -112,35 +128,25 @@ def refresh(
 ) -> tuple[DataFrame, DataFrame]:
     """Bring the tables up to date from landed bars of the last days of active stocks.
 
-    Returns the one-row result record and the messages for refused rows. A refresh that broke
-    off is finished by calling it again with the same ``batch`` folder.
+    Returns the one-row result record and the messages for refused rows. Rows that were not
+    stored, the skipped ones included, are kept with their reasons in the table of rejects.
     """
     spark = warehouse.spark
-    day = as_of or date.today()
-    today = F.lit(day)
+    resume(warehouse)
+    today = F.lit(as_of or date.today())
     stocks = warehouse.table("stocks")
-    broke_off = batch is not None and exists(spark, f"{batch}/accepted/_SUCCESS")
-    newest = warehouse.newest().first()[0]
-    if newest is not None and newest >= day and not broke_off:
+    repeated = batch is not None and exists(spark, f"{batch}/accepted/_SUCCESS")
+    if R.gate(warehouse.newest(), today).first().already_updated and not repeated:
         return R.nothing_to_do(spark)
 
     checked = validate.check(landed, stocks, zone)
-    active = active_universe(stocks).select("stock_id").withColumn("active", F.lit(True))
-    asked = checked.join(active, "stock_id", "left").where(
-        F.col("stock_id").isNull() | F.col("active")
-    )
-    wanted = asked.where(F.col("trade_date").isNull() | R.in_window(days, today)).drop("active")
+    asked = validate.asked(checked, today, days, active_universe(stocks))
+    judged = validate.newer(asked, warehouse.table("daily_prices"), mode, warehouse.newest())
     folder = batch or new_folder(spark, "refresh")
-    stored, refused = store(warehouse, wanted, mode, folder)
-    counts = stored.agg(
-        F.count("*").alias("records_updated"),
-        F.count_distinct("trade_date").alias("new_trading_days"),
-    )
-    record = counts.select(
-        (F.col("records_updated") > 0).alias("success"),
-        "records_updated",
-        "new_trading_days",
-        refused.agg(F.count("*")).scalar().alias("errors"),
-        F.lit(False).alias("already_updated"),
-    )
-    return record, R.errors(refused)
+    stored, rejects = store(warehouse, judged, folder, batch is None)
+    record = R.result(stored, rejects, F.lit(False))
+    found = spark.createDataFrame(record.collect(), record.schema)  # one row
+    kept = warehouse.keep_rejects(rejects, folder)
+    if batch is None:
+        discard(spark, folder)
+    return found, R.errors(kept)

@@ -8,6 +8,7 @@ it touches.
 from __future__ import annotations
 
 from datetime import date
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from barloom import schema as S
 from barloom.functions.exact import anchor
 from barloom.operators.upsert import merge
 from barloom.sources.market import Market
-from barloom.sources.shared import discard, exists, new_folder
+from barloom.sources.shared import discard, exists, new_folder, read_texts, write_text
 
 GRAINS = ("year", "month", "day")
 DATED = {
@@ -28,6 +29,10 @@ DATED = {
 LISTS = {"stocks": S.STOCKS, "stock_pairs": S.STOCK_PAIRS}
 
 
+def _entry(batch: str) -> str:
+    return sha256(batch.encode()).hexdigest()[:32]
+
+
 class Warehouse:
     """A folder with one Parquet table per name."""
 
@@ -141,6 +146,25 @@ class Warehouse:
             rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def keep_rejects(self, rejects: DataFrame, batch: str) -> DataFrame:
+        """Rejects of a batch moved to the table of rejects, which keeps them by batch."""
+        path = f"{self.path('rejects')}/{batch.rstrip('/').rsplit('/', 1)[-1]}"
+        rejects.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rejects.schema).parquet(path)
+
+    def begin(self, batch: str, own: bool = False) -> None:
+        """Enter a batch as pending: from here on its changes must be finished."""
+        entry = f"{self.path('_pending')}/{_entry(batch)}"
+        write_text(self.spark, entry, f"{'own' if own else 'named'} {batch}")
+
+    def finish(self, batch: str) -> None:
+        discard(self.spark, f"{self.path('_pending')}/{_entry(batch)}")
+
+    def pending(self) -> list[tuple[str, bool]]:
+        """Batches that began and were not finished, and whether they are the load's own."""
+        found = (text.split(" ", 1) for text in read_texts(self.spark, self.path("_pending")))
+        return [(batch, kind == "own") for kind, batch in found]
+
     def _schema(self, name: str) -> T.StructType:
         if name in LISTS:
             return LISTS[name]

@@ -42,3 +42,27 @@ def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of staged copies that are no longer needed."""
     files, target = _file_system(spark, path)
     files.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete or absent."""
+    files, target = _file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    out = files.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.rename(part, target)
+
+
+def read_texts(spark: SparkSession, folder: str) -> list[str]:
+    """The contents of a folder's complete small files."""
+    files, target = _file_system(spark, folder)
+    if not files.exists(target):
+        return []
+    found = []
+    for status in files.listStatus(target):
+        if not status.getPath().getName().endswith(".part"):
+            source = files.open(status.getPath())
+            found.append(bytes(source.readAllBytes()).decode())
+            source.close()
+    return found

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom import schema as S
-from barloom.operators import refresh, upsert, validate
+from barloom.operators import upsert, validate
+from barloom.operators.lookup import active_universe
 from barloom.sources.market import Market
 
 # A row's defect follows from its stock and day; most rows have none.
@@ -79,11 +80,33 @@ def checked(market: Market) -> DataFrame:
 
 
 def asked(market: Market) -> DataFrame:
-    """The checked rows a refresh of the last two weeks asks for."""
-    rows = checked(market)
-    active = market.stocks.select("stock_id", "is_active")
-    known = rows.join(active, "stock_id", "left").where(
-        F.col("stock_id").isNull() | F.col("is_active")
-    )
-    return known.where(refresh.in_window(14, market.last_date())).drop("is_active")
+    """The checked rows as a refresh of the last two weeks judges them."""
+    active = active_universe(market.stocks)
+    return validate.asked(checked(market), market.last_date(), 14, active)
+
+
+def repeated(market: Market) -> tuple[DataFrame, DataFrame]:
+    """Two deliveries in the order they land.
+
+    The first has every bar three times in a row, closing 3 higher, 1 higher and 2 higher; the
+    second has the bars of every third stock again, closing 1 lower.
+    """
+    bars = market.daily_prices.join(market.stocks.select("stock_id", "symbol"), "stock_id")
 
+    def closing(rows: DataFrame, step: Column) -> DataFrame:
+        low, high = (F.col(f"{name}_price").cast("double") for name in ("low", "high"))
+        close = F.col("close_price").cast("double") + step
+        return rows.select(
+            "symbol",
+            F.col("trade_date").cast("timestamp_ntz").alias("ts"),
+            F.col("open_price").cast("double").alias("open"),
+            high.alias("high"),
+            low.alias("low"),
+            close.alias("close"),
+            F.col("volume").cast("double").alias("volume"),
+        )
+
+    steps = F.posexplode(F.array(*(F.lit(float(step)) for step in (3, 1, 2)))).alias("nth", "step")
+    first = bars.select("*", steps).repartition("stock_id").sortWithinPartitions(*S.BAR_KEY, "nth")
+    second = bars.where(F.col("stock_id") % 3 == 0)
+    return closing(first, F.col("step")), closing(second, F.lit(-1.0))

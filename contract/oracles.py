@@ -147,7 +147,7 @@ RECENT = """trade_date >= (SELECT as_of FROM newest) - INTERVAL 30 DAY
             AND trade_date <= (SELECT as_of FROM newest)"""
 
 
-def _rsi_list(hit: str, direction: str) -> str:
+def _rsi_list(hit: str, direction: str, limit: str = "LIMIT 20") -> str:
     return f"""{INDICATORS}
 SELECT symbol, company_name, trade_date,
        {r2("close_price")} AS price, {r2("rsi_14")} AS rsi,
@@ -155,10 +155,10 @@ SELECT symbol, company_name, trade_date,
 FROM momentum JOIN stocks USING (stock_id)
 WHERE rsi_14 {hit} AND {RECENT}
 ORDER BY trade_date DESC, rsi_14 {direction}, symbol
-LIMIT 20"""
+{limit}"""
 
 
-def _pair_list(hit: str, direction: str) -> str:
+def _pair_list(hit: str, direction: str, limit: str = "LIMIT 20") -> str:
     return f"""{PAIRED}
 SELECT pair_name, stock_a, stock_b, trade_date,
        {r4("price_ratio")} AS current_ratio, {r4("ratio_sma_20")} AS normal_ratio,
@@ -166,7 +166,7 @@ SELECT pair_name, stock_a, stock_b, trade_date,
 FROM pair_metrics JOIN stock_pairs USING (pair_id)
 WHERE pair_metrics.z_score {hit} AND {RECENT}
 ORDER BY trade_date DESC, pair_metrics.z_score {direction}, pair_name
-LIMIT 20"""
+{limit}"""
 
 
 YEARS = """
@@ -222,8 +222,12 @@ SELECT stock_id, trade_date, {r2("rsi_14")} AS rsi_14 FROM momentum""",
 SELECT stock_id, trade_date, {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50,
        {r2("sma_200")} AS sma_200, {r2("rsi_14")} AS rsi_14
 FROM momentum""",
-    "pair_ratio": f"""{PAIRED}
-SELECT pair_id, trade_date, {r4("price_ratio")} AS price_ratio FROM pair_metrics""",
+    "pair_ratio": f"""{PRICES},{PAIRS}
+SELECT p.pair_id, a.trade_date,
+       {r4("a.close_price / nullif(b.close_price, 0)")} AS price_ratio
+FROM stock_pairs p
+JOIN bars a ON a.stock_id = p.stock_a_id
+JOIN bars b ON b.stock_id = p.stock_b_id AND b.trade_date = a.trade_date""",
     "pair_zscore": f"""{PAIRED}
 SELECT pair_id, trade_date, {r4("price_ratio")} AS price_ratio,
        {r4("ratio_sma_20")} AS ratio_sma_20, {r2("z_score")} AS z_score
@@ -236,6 +240,10 @@ FROM momentum JOIN stocks USING (stock_id)
 WHERE {LATEST}""",
     "oversold": _rsi_list("< 30", "ASC"),
     "overbought": _rsi_list("> 70", "DESC"),
+    "oversold_all": _rsi_list("< 30", "ASC", ""),
+    "overbought_all": _rsi_list("> 70", "DESC", ""),
+    "pairs_high_all": _pair_list("> 2", "DESC", ""),
+    "pairs_low_all": _pair_list("< -2", "ASC", ""),
     "long_term_trends": f"""{INDICATORS}
 SELECT symbol, company_name, {r2("close_price")} AS price, {r2("sma_50")} AS ma_50,
        {r2("sma_200")} AS ma_200,
@@ -248,8 +256,7 @@ SELECT symbol, year, {r2("first_close")} AS start_price, {r2("last_close")} AS e
        {r2("(last_close - first_close) / nullif(first_close, 0) * 100")} AS annual_return,
        days_traded
 FROM year_ends JOIN stocks USING (stock_id)
-ORDER BY symbol, year DESC
-LIMIT 150""",
+ORDER BY symbol, year DESC""",
     "first_last_in_year": f"""{PRICES},{YEARS}
 SELECT stock_id, year, first_close, last_close, days_traded FROM year_ends""",
     "rsi_patterns": f"""{INDICATORS},
@@ -338,10 +345,13 @@ checked AS (
     FROM landed
 ),
 asked AS (
-    SELECT * FROM checked
-    WHERE (is_active OR reason = 'unknown symbol')
-      AND trade_date >= (SELECT as_of FROM newest) - INTERVAL 14 DAY
+    SELECT * REPLACE (
+        CASE WHEN reason IS NOT NULL THEN reason
+             WHEN trade_date < (SELECT as_of FROM newest) - INTERVAL 14 DAY THEN 'outside window'
+             WHEN NOT is_active THEN 'inactive stock' END AS reason)
+    FROM checked
 )"""
+ERRORS = "('open not positive', 'high below low', 'bad price', 'unknown symbol')"
 
 
 def _after(text: str, table: str) -> str:
@@ -352,6 +362,29 @@ def _after(text: str, table: str) -> str:
 MOMENTUM_AFTER = _after(MOMENTUM, "after_load")
 PAIRS_AFTER = _after(PAIR_METRICS, "after_load")
 
+TABLES = f"""
+tables AS (
+    SELECT m.stock_id, m.trade_date, m.close_price, l.volume,
+           {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50, {r2("sma_200")} AS sma_200,
+           {r2("rsi_14")} AS rsi_14, {r4("p.price_ratio")} AS price_ratio,
+           {r4("p.ratio_sma_20")} AS ratio_sma_20, {r2("p.z_score")} AS z_score
+    FROM momentum m
+    JOIN loaded l ON l.stock_id = m.stock_id AND l.trade_date = m.trade_date
+    LEFT JOIN pair_metrics p ON p.pair_id = m.stock_id AND p.trade_date = m.trade_date
+)"""
+
+# The tables after a refresh of the last two weeks into tables that lack a week.
+REFRESHED = f"""{_with(STOCKS, PAIRS, BARS)},{LATE},{CHECKED},
+fresh AS (
+    SELECT * FROM asked
+    WHERE reason IS NULL AND trade_date > (SELECT max(trade_date) FROM stored)
+),
+loaded AS (
+    SELECT stock_id, trade_date, close_c, close_c / 100.0::DOUBLE AS close_price, volume FROM fresh
+    UNION ALL
+    SELECT stock_id, trade_date, close_c, close_price, volume FROM stored
+),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}"""
+
 WRITES = {
     "bar_window": f"""{PRICES}
 SELECT {BAR_VALUES} FROM bars
@@ -387,11 +420,20 @@ fresh AS (
 SELECT (SELECT count(*) FROM fresh) > 0 AS success,
        (SELECT count(*) FROM fresh) AS records_updated,
        (SELECT count(DISTINCT trade_date) FROM fresh) AS new_trading_days,
-       (SELECT count(*) FROM asked WHERE reason IS NOT NULL) AS errors,
+       (SELECT count(*) FROM asked WHERE reason IN {ERRORS}) AS errors,
+       (SELECT count(*) FROM asked WHERE reason NOT IN {ERRORS})
+       + (SELECT count(*) FROM asked WHERE reason IS NULL
+                                       AND trade_date <= (SELECT max(trade_date) FROM stored))
+           AS skipped,
        false AS already_updated""",
+    "refresh_skipped": f"""{PRICES},{LATE},{CHECKED}
+SELECT CASE WHEN reason IS NULL THEN 'not newer' ELSE reason END AS reason, count(*) AS rows
+FROM asked
+WHERE reason IS NOT NULL OR trade_date <= (SELECT max(trade_date) FROM stored)
+GROUP BY 1""",
     "refresh_errors": f"""{PRICES},{CHECKED}
 SELECT symbol, symbol || ': ' || reason AS message, count(*) AS rows
-FROM asked WHERE reason IS NOT NULL
+FROM asked WHERE reason IN {ERRORS}
 GROUP BY symbol, reason""",
     "day_count_change": f"""{PRICES},{LATE}
 SELECT count(DISTINCT s.trade_date) AS old_days,
@@ -421,6 +463,36 @@ SELECT m.stock_id, m.trade_date, m.close_price, l.volume,
        {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50, {r2("sma_200")} AS sma_200,
        {r2("rsi_14")} AS rsi_14
 FROM momentum m JOIN loaded l ON l.stock_id = m.stock_id AND l.trade_date = m.trade_date""",
+    "refresh_stored": f"""{REFRESHED},
+record AS (
+    SELECT (SELECT count(*) FROM fresh) > 0 AS success,
+           (SELECT count(*) FROM fresh) AS records_updated,
+           (SELECT count(DISTINCT trade_date) FROM fresh) AS new_trading_days,
+           (SELECT count(*) FROM asked WHERE reason IN {ERRORS}) AS errors,
+           (SELECT count(*) FROM asked WHERE reason NOT IN {ERRORS})
+           + (SELECT count(*) FROM asked WHERE reason IS NULL
+                                           AND trade_date <= (SELECT max(trade_date) FROM stored))
+               AS skipped,
+           false AS already_updated
+)
+SELECT t.*, record.* FROM tables t, record""",
+    "refresh_resumed": f"{REFRESHED} SELECT * FROM tables",
+    "bulk_load_stored": f"""{_with(STOCKS, PAIRS, BARS)},{CHECKED},
+loaded AS (
+    SELECT stock_id, trade_date, close_c, close_c / 100.0::DOUBLE AS close_price, volume
+    FROM checked
+    WHERE reason IS NULL AND trade_date >= (SELECT as_of FROM newest) - INTERVAL 1000 DAY
+),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}
+SELECT * FROM tables""",
+    "duplicate_delivery": f"""{PRICES}
+SELECT stock_id, trade_date, open_c / 100.0::DOUBLE AS open_price,
+       high_c / 100.0::DOUBLE AS high_price, low_c / 100.0::DOUBLE AS low_price,
+       CASE WHEN stock_id % 3 = 0 THEN (close_c - 100) / 100.0::DOUBLE
+            ELSE (close_c + 200) / 100.0::DOUBLE END AS close_price,
+       CASE WHEN stock_id % 3 = 0 THEN (close_c - 100) / 100.0::DOUBLE
+            ELSE (close_c + 200) / 100.0::DOUBLE END AS adj_close,
+       volume
+FROM bars""",
     "csv_export": READS["rsi_patterns"],
     "sql_view": f"""{PRICES}
 SELECT symbol, count(*) AS bars, max(close_price) AS top_price
@@ -432,20 +504,23 @@ STRENGTH = "(sma_50 - sma_200) / nullif(sma_200, 0) * 100"
 
 TRADES = """
 marks AS (
-    SELECT *, CASE WHEN abs(z_score) > 2 THEN 1 WHEN abs(z_score) <= 0.5 THEN 0 END AS mark
+    SELECT *,
+           CASE WHEN z_score > 2 THEN 1 WHEN z_score <= 0.5 THEN 0 END AS high,
+           CASE WHEN z_score < -2 THEN 1 WHEN z_score >= -0.5 THEN 0 END AS low
     FROM pair_metrics
 ),
 states AS (
-    SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (
-                  PARTITION BY pair_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) AS held
+    SELECT *, coalesce(last_value(high IGNORE NULLS) OVER w, 0)
+              - coalesce(last_value(low IGNORE NULLS) OVER w, 0) AS side
     FROM marks
+    WINDOW w AS (PARTITION BY pair_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING)
 ),
 turns AS (
-    SELECT *, lag(held, 1, 0) OVER (PARTITION BY pair_id ORDER BY trade_date) AS was_held
+    SELECT *, lag(side, 1, 0) OVER (PARTITION BY pair_id ORDER BY trade_date) AS was
     FROM states
 ),
-entries AS (SELECT * FROM turns WHERE held = 1 AND was_held = 0),
-exits AS (SELECT * FROM turns WHERE held = 0 AND was_held = 1),
+entries AS (SELECT * FROM turns WHERE side <> 0 AND side <> was),
+exits AS (SELECT * FROM turns WHERE was <> 0 AND side <> was),
 trades AS (
     SELECT n.pair_id, n.trade_date AS entry_date, x.trade_date AS exit_date,
            CAST(date_diff('day', n.trade_date, x.trade_date) AS BIGINT) AS holding_days,
@@ -505,4 +580,6 @@ SELECT pair_id, {r4("corr(close_a, close_b)")} AS correlation, count(*) AS days,
 FROM ratios GROUP BY pair_id""",
 }
 
+WRITES["bar_quality_csv"] = WRITES["bar_quality"]
+
 ALL = {**READS, **WRITES, **RULES}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from barloom.plans import maintain, reports
 from barloom.sinks.export import export_csv
 from barloom.sinks.warehouse import Warehouse
 from barloom.sources import ticks
+from barloom.sources.landing import read_landed, read_landed_csv
 from barloom.sources.market import Market, run_sql
 from barloom.sources.shared import new_folder
 from barloom.streaming.ingest import landed_stream, start_ingest
@@ -100,6 +102,10 @@ READS: dict[str, Query] = {
     "oversold": _over_market(lambda m: reports.oversold(m, m.last_date())),
     "overbought": _over_market(lambda m: reports.overbought(m, m.last_date())),
     "long_term_trends": _over_market(reports.long_term_trends),
+    "oversold_all": _over_market(lambda m: reports.oversold(m, m.last_date(), limit=None)),
+    "overbought_all": _over_market(lambda m: reports.overbought(m, m.last_date(), limit=None)),
+    "pairs_high_all": _over_market(lambda m: reports.pairs_high(m, m.last_date(), limit=None)),
+    "pairs_low_all": _over_market(lambda m: reports.pairs_low(m, m.last_date(), limit=None)),
     "yearly_performance": _over_market(lambda m: reports.yearly_performance(m, FROM_YEAR)),
     "first_last_in_year": _over_market(
         lambda m: doubles(reports.first_last_in_year(m, FROM_YEAR), "first_close", "last_close")
@@ -129,11 +135,26 @@ def _new_rows(mode: str) -> Query:
     )
 
 
-def _refresh_result(m: Market) -> DataFrame:
-    asked = fixtures.asked(m)
-    stored = fixtures.target(m)
-    pending = upsert.new_rows(upsert.one_per_key(validate.accepted(asked)), stored, "global")
-    return refresh.result(pending, validate.rejected(asked), stored, m.last_date())
+def _newest(bars: DataFrame) -> DataFrame:
+    return bars.agg(F.max("trade_date").alias("last_date"))
+
+
+def _judged(m: Market) -> DataFrame:
+    return validate.newer(fixtures.asked(m), fixtures.target(m), "global")
+
+
+def refresh_result(spark: SparkSession, folder: str) -> DataFrame:
+    """The record of a refresh; its rows are judged once and then counted both ways."""
+    m = ticks.TickMarket(spark, folder)
+    store = Warehouse(spark, new_folder(spark, "judged"))
+    judged = store.stage("judged", _judged(m), new_folder(spark, "batch"))
+    already = refresh.gate(_newest(fixtures.target(m)), m.last_date()).first().already_updated
+    return refresh.result(validate.accepted(judged), validate.rejected(judged), F.lit(already))
+
+
+def _refresh_skipped(m: Market) -> DataFrame:
+    rejects = validate.rejected(_judged(m))
+    return rejects.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
 def _day_change(m: Market) -> DataFrame:
@@ -189,6 +210,80 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(doubles(joined, "close_price"), **SMA, rsi_14=2)
 
 
+def _stored(warehouse: Warehouse) -> DataFrame:
+    """Prices with both derived tables' newest columns, one row per bar."""
+    prices = warehouse.table("daily_prices").select(*S.BAR_KEY, "close_price", "volume")
+    joined = prices.join(warehouse.table("momentum_indicators"), list(S.BAR_KEY), "left")
+    pair = warehouse.table("pair_metrics").withColumnRenamed("pair_id", "stock_id")
+    return rounded(
+        doubles(joined.join(pair, list(S.BAR_KEY), "left"), "close_price"),
+        **SMA,
+        rsi_14=2,
+        price_ratio=4,
+        ratio_sma_20=4,
+        z_score=2,
+    )
+
+
+def _week_behind(spark: SparkSession, folder: str) -> tuple[Warehouse, Market, date]:
+    """Stored tables that lack the last week."""
+    m = ticks.TickMarket(spark, folder)
+    return _warehouse(spark, m, fixtures.target(m), "year"), m, m.newest.first().last_date
+
+
+def refresh_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored tables after a refresh, each row with the record the refresh returned."""
+    warehouse, m, today = _week_behind(spark, folder)
+    record, _ = maintain.refresh(warehouse, fixtures.landed(m), as_of=today, days=14)
+    return _stored(warehouse).crossJoin(record)
+
+
+def refresh_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored tables after a refresh that broke off once the prices were stored, and a plain
+    one after it."""
+    warehouse, m, today = _week_behind(spark, folder)
+    landed = fixtures.landed(m)
+    checked = validate.asked(
+        validate.check(landed, m.stocks), F.lit(today), 14, lookup.active_universe(m.stocks)
+    )
+    judged = validate.newer(checked, warehouse.table("daily_prices"), "global", warehouse.newest())
+    batch = new_folder(spark, "refresh")
+    stored = warehouse.stage("accepted", upsert.one_per_key(validate.accepted(judged)), batch)
+    warehouse.stage("rejects", validate.rejected(judged), batch)
+    warehouse.begin(batch)
+    warehouse.upsert("daily_prices", stored, batch=batch)
+    maintain.refresh(warehouse, landed, as_of=today, days=14)
+    return _stored(warehouse)
+
+
+def bulk_load_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored tables after all landed bars of a thousand days were loaded into empty ones."""
+    m = ticks.TickMarket(spark, folder)
+    warehouse = _warehouse(spark, m, m.daily_prices.limit(0), "year")
+    today = m.newest.first().last_date
+    maintain.bulk_load(warehouse, fixtures.landed(m), as_of=today, days=1000)
+    return _stored(warehouse)
+
+
+def duplicate_delivery(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of two deliveries that repeat keys within a file and across files."""
+    m = ticks.TickMarket(spark, folder)
+    landing = new_folder(spark, "landing")
+    for delivery in fixtures.repeated(m):
+        delivery.write.mode("append").parquet(landing)
+    checked = validate.check(read_landed(spark, landing), m.stocks)
+    return _doubled_bars(upsert.one_per_key(validate.accepted(checked)))
+
+
+def bar_quality_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars checked after a round through CSV, where volumes have decimals, gaps and NaN."""
+    m = ticks.TickMarket(spark, folder)
+    landing = new_folder(spark, "landing-csv")
+    fixtures.landed(m).write.option("header", True).csv(landing)
+    checked = validate.check(read_landed_csv(spark, landing), m.stocks)
+    return _doubled_bars(validate.accepted(checked))
+
+
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     """A report written as CSV and read back."""
     m = ticks.TickMarket(spark, folder)
@@ -248,11 +343,19 @@ WRITES: dict[str, Query] = {
     "load_counts": _over_market(
         lambda m: validate.load_counts(fixtures.checked(m), m.stocks)
     ),
-    "refresh_gate": _over_market(lambda m: refresh.gate(fixtures.target(m), m.last_date())),
+    "refresh_gate": _over_market(
+        lambda m: refresh.gate(_newest(fixtures.target(m)), m.last_date())
+    ),
     "new_rows_global": _new_rows("global"),
     "new_rows_per_stock": _new_rows("per_stock"),
     "upsert_bars": _over_market(lambda m: _doubled_bars(fixtures.merged(m))),
-    "refresh_result": _over_market(_refresh_result),
+    "refresh_result": refresh_result,
+    "refresh_skipped": _over_market(_refresh_skipped),
+    "refresh_stored": refresh_stored,
+    "refresh_resumed": refresh_resumed,
+    "bulk_load_stored": bulk_load_stored,
+    "duplicate_delivery": duplicate_delivery,
+    "bar_quality_csv": bar_quality_csv,
     "refresh_errors": _over_market(
         lambda m: refresh.errors(validate.rejected(fixtures.asked(m)))
     ),

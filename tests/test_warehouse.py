@@ -71,6 +71,7 @@ def test_bulk_load_and_refresh(spark, warehouse):
         "records_updated": 3,
         "new_trading_days": 2,
         "errors": 2,
+        "skipped": 5,
         "already_updated": False,
     }
     assert {r.message for r in messages.collect()} == {
@@ -188,6 +189,38 @@ def test_broken_off_refresh_is_finished(spark, warehouse, monkeypatch):
     consistent(warehouse)
 
 
+@pytest.mark.parametrize("step", [0, 1, 3, 5])
+def test_any_break_heals_with_the_next_load(spark, warehouse, monkeypatch, step):
+    """A refresh that dies at any write, and a plain one of the next day after it."""
+    filled(spark, warehouse)
+    first = raw(spark, *landed(spark, 1, [5, 6], start=LENGTH), *landed(spark, 2, [5, 6], start=LENGTH))
+    write, count = Warehouse._write, iter(range(100))
+
+    def dies(self, rows, path, overwrite):
+        if next(count) == step:
+            raise RuntimeError("lost driver")
+        write(self, rows, path, overwrite)
+
+    monkeypatch.setattr(Warehouse, "_write", dies)
+    try:
+        maintain.refresh(warehouse, first, as_of=day(LENGTH + 1))
+        raise AssertionError("nothing broke")
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(Warehouse, "_write", write)
+    maintain.refresh(warehouse, raw(spark, *landed(spark, 1, [7], start=LENGTH + 2)), as_of=day(LENGTH + 2))
+    assert warehouse.table("daily_prices").count() == 3 * LENGTH + 5
+    assert warehouse.pending() == []
+    consistent(warehouse)
+
+
+def test_rejects_are_kept(spark, warehouse):
+    late = raw(spark, *landed(spark, 1, [3], start=0), *landed(spark, 1, [3], start=400))
+    maintain.bulk_load(warehouse, late, as_of=day(400), days=30)
+    kept = spark.read.parquet(f"{warehouse.path('rejects')}/*")
+    assert [(r.symbol, r.reason) for r in kept.collect()] == [("SYM1", "outside window")]
+
+
 def test_reports_read_stored_tables(spark, warehouse):
     filled(spark, warehouse)
     stored = warehouse.market()
