@@ -18,7 +18,14 @@ from barloom import schema as S
 from barloom.functions.exact import anchor
 from barloom.operators.upsert import merge
 from barloom.sources.market import Market
-from barloom.sources.shared import discard, exists, new_folder, read_texts, write_text
+from barloom.sources.shared import (
+    discard,
+    exists,
+    new_folder,
+    read_texts,
+    subfolders,
+    write_text,
+)
 
 GRAINS = ("year", "month", "day")
 DATED = {
@@ -79,12 +86,17 @@ class Warehouse:
 
     def oldest(self, name: str) -> date | None:
         """The first day of the oldest period that holds rows."""
-        return self.read(name).agg(F.min("period")).first()[0]
+        return min(self.periods(name), default=None)
+
+    def periods(self, name: str) -> list[date]:
+        """The periods of a dated table, from its folders alone."""
+        found = subfolders(self.spark, self.path(name))
+        return [date.fromisoformat(f.removeprefix("period=")) for f in found if f.startswith("period=")]
 
     def newest(self) -> DataFrame:
-        """The newest stored day, read from the newest period alone."""
+        """The newest stored day, read from the newest period alone, which the folders tell."""
         prices = self.read("daily_prices")
-        last_period = prices.agg(F.max("period")).scalar()
+        last_period = F.lit(max(self.periods("daily_prices"), default=None)).cast("date")
         return prices.where(F.col("period") == last_period).agg(
             F.max("trade_date").alias("last_date")
         )

@@ -38,6 +38,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, none if it does not exist."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()]
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder of staged copies that are no longer needed."""
     files, target = _file_system(spark, path)

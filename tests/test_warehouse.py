@@ -133,6 +133,14 @@ def test_windows_prune_periods(spark, warehouse):
     assert "open_price" not in scan.split("ReadSchema")[1]
 
 
+def test_newest_day_reads_one_period(spark, warehouse):
+    assert warehouse.newest().first()[0] is None and warehouse.oldest("daily_prices") is None
+    filled(spark, warehouse)
+    assert warehouse.newest().first()[0] == day(LENGTH - 1)
+    plan = warehouse.newest()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(period" in plan
+
+
 @pytest.mark.parametrize("sparse", [False, True])
 def test_tail_rebuild_equals_full_rebuild(spark, warehouse, sparse, monkeypatch):
     """Also when a rarely traded stock has its context rows far back."""
