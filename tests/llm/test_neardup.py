@@ -83,14 +83,17 @@ def test_documents(spark):
 
 def test_sketches_of_similar_sets_share_enough():
     rng = np.random.default_rng(1)
-    least = neardup.shared_at_least(85)
     for _ in range(2000):
-        size = int(rng.integers(40, 600))
+        size = int(rng.integers(40, 1500))
         union = rng.choice(2**62, size, replace=False)
         cut = int(0.15 * size)
         split = int(rng.integers(0, cut + 1))
         a, b = np.sort(union[split:]), np.sort(np.concatenate([union[:split], union[cut:]]))
-        assert neardup.may_be_similar(a[: neardup.KEEP], b[: neardup.KEEP], least)
+        sent = neardup.SENT
+        least = min(neardup.shared_at_least(len(its), 85, sent) for its in (a, b))
+        assert neardup.may_be_similar(a[:sent], b[:sent], least)
+        shared = len(np.intersect1d(a[: neardup.KEEP], b[: neardup.KEEP]))
+        assert shared >= max(neardup.shared_at_least(len(its), 85) for its in (a, b))
 
 
 def test_components_of_chains_stars_and_loops(spark):
