@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,30 +24,92 @@ from barloom.sources.shared import new_folder
 
 END = 0
 BLOCK_IDS = 1 << 19
-UNITS = 300_000
+UNITS = 400_000
+JOINED = 2_000
 MANIFEST = "part int, file string, offset long, length long, first long, n_ids long"
 
 
 class Encoder:
-    """A tokenizer file and the ids of the units it has met, as little-endian 16 or 32 bits."""
+    """A tokenizer file and the ids of the units it has met, as little-endian 16 or 32 bits.
+
+    Units are remembered in two generations of bounded size: when the younger is full it becomes
+    the older, and what is met again moves up, so that common units stay.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [token.content for token in added.values()]
+        self.mark = min((key for key, token in added.items() if token.special), default=None)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Units that are new are given to the tokenizer together."""
         parts = [units(text) for text in texts]
+        every = list(chain.from_iterable(parts))
         if len(self.known) > UNITS:
-            self.known.clear()
-        new = list({unit for part in parts for unit in part if unit not in self.known})
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for unit, encoding in zip(new, found):
-            self.known[unit] = np.array(encoding.ids, dtype=self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, part)) for part in parts]
+            self.older, self.known = self.known, {}
+        known = self.known
+        cut = {unit: framed(unit) for unit in self._missing(every)}
+        self._learn(self._missing(chain.from_iterable(cut.values())))
+        for unit, pieces in cut.items():
+            if len(pieces) > 1:
+                known[unit] = b"".join(map(known.__getitem__, pieces))
+        return [b"".join(map(known.__getitem__, part)) for part in parts]
+
+    def _missing(self, wanted: Iterable[str]) -> list[str]:
+        """The units that no generation knows; those of the older one move up."""
+        new = []
+        for unit in {unit for unit in wanted if unit not in self.known}:
+            ids = self.older.get(unit)
+            if ids is None:
+                new.append(unit)
+            else:
+                self.known[unit] = ids
+        return new
+
+    def _learn(self, new: list[str]) -> None:
+        """Have the library encode new units: many in one text, set apart by a special string,
+        which it cuts out before it looks at what stands on either side."""
+        plain = [u for u in new if not any(mark in u for mark in self.marks)] if self.marks else []
+        for start in range(0, len(plain) if self.mark is not None else 0, JOINED):
+            some = plain[start : start + JOINED]
+            text = self.tokenizer.id_to_token(self.mark).join(some)
+            ids = self._ids([text])[0]
+            ends = np.flatnonzero(ids == self.mark)
+            data, size = ids.tobytes(), ids.itemsize
+            begins = [0, *((ends + 1) * size).tolist()]
+            for unit, begin, end in zip(some, begins, [*(ends * size).tolist(), len(data)]):
+                self.known[unit] = data[begin:end]
+        rest = [unit for unit in new if unit not in self.known]
+        for unit, ids in zip(rest, self._ids(rest)):
+            self.known[unit] = ids.tobytes()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(encoding.ids, dtype=self.kind) for encoding in found]
+
+
+_FRAMED = re.compile(r"( |\n|)([^\W\d_]+)([^\w\s]*)").fullmatch
+
+
+def framed(unit: str) -> tuple[str, ...]:
+    """A word without the line break before it and the marks behind it, and these.
+
+    The pre-tokenizer cuts behind a line break that a letter follows, and between letters and
+    marks. Units that look otherwise stay whole.
+    """
+    match = _FRAMED(unit)
+    if match is None:
+        return (unit,)
+    before, letters, behind = match.groups()
+    if before == "\n":
+        return ("\n", letters, behind) if behind else ("\n", letters)
+    return (before + letters, behind) if behind else (unit,)
 
 
 def id_type(size: int) -> str:
@@ -113,7 +177,7 @@ def write_tokens(
     """Write every document's ids and an end id in ascending order of the key; returns the manifest.
 
     ``folder`` gets the codebook and one file of blocks per task. Rows without a key come first;
-    rows with equal keys are ordered by their ids. An empty table writes the codebook alone.
+    rows with equal keys are ordered by a hash of their ids. An empty table writes the codebook alone.
     """
     tokens = token_table(docs, vocabulary, text, key)
     size = vocabulary_size(vocabulary)
@@ -157,8 +221,14 @@ def write_tokens(
             columns[0] = columns[0].cast(pa.int32())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    order = ["doc_id", "ids"]
-    blocks = tokens.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST)
+    order = ["doc_id", "same"]
+    blocks = (
+        tokens.withColumn("same", F.xxhash64("ids"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "ids")
+        .mapInArrow(write, MANIFEST)
+    )
     return staged(blocks, "token-manifest")
 
 
@@ -194,6 +264,7 @@ def read_tokens(manifest: DataFrame, folder: str, stretch: int = 16 << 20) -> Da
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("its_ids"))
     starts = parts.select("part", F.coalesce(F.sum("its_ids").over(earlier), F.lit(0)).alias("before"))
+    tasks = (manifest.agg(F.sum("length")).first()[0] or 0) // (stretch // 4) + 1
     return (
         manifest.join(starts, "part")
         .select(
@@ -201,9 +272,9 @@ def read_tokens(manifest: DataFrame, folder: str, stretch: int = 16 << 20) -> Da
             "offset",
             "length",
             (F.col("first") + F.col("before")).alias("start"),
-            F.floor(F.col("offset") / stretch).alias("place"),
+            F.floor(F.col("offset") / (stretch // 4)).alias("place"),
         )
-        .repartition("file", "place")
+        .repartition(tasks, "file", "place")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
