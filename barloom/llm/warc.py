@@ -177,7 +177,7 @@ def write_archives(
 def read_records(
     index: DataFrame,
     folder: str,
-    stretch: int = 16 << 20,
+    stretch: int = 4 << 20,
     gap: int = 64 << 10,
     payloads: bool = True,
 ) -> DataFrame:
@@ -230,9 +230,10 @@ def read_records(
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     place = F.floor(F.col("offset") / stretch).alias("place")
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // stretch + 1
     return (
         index.select("file", "offset", "length", place)
-        .repartition("file", "place")
+        .repartition(tasks, "file", "place")
         .sortWithinPartitions("file", "offset")
         .select("file", "offset", "length")
         .mapInArrow(read, RECORDS)
