@@ -1,9 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A window found in a text with at most k edits
+A window begins at every byte of a benchmark item. A window found in a text with at most k edits
 shares at least ``length - q + 1 - k q`` of its q-grams with it, and those lie on diagonals at
-most k apart. Hits are counted in bands of diagonals that overlap by k; bands that reach the bound
-are verified by an alignment that stays inside the band.
+most k apart. Hits are sorted by band of diagonals, overlapping by k, and place in the item; where
+so many places lie within a window, the windows that hold them are verified by an alignment.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from barloom.llm.common import ship, staged
 
 Q = 10
 WINDOW = 96
-STRIDE = 24
+#: A window begins at every byte.
+STRIDE = 1
 #: Edits allowed for each hundred bytes of a window.
 EDITS = 6
 #: Items with fewer bytes say too little to call a text contaminated.
@@ -28,10 +29,13 @@ SHORTEST = 32
 #: Benchmarks are searched in blocks of about so many bytes.
 BLOCK = 1 << 19
 #: Texts are searched together up to so many bytes.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
+#: So many hits are met at once, or those of four windows.
+TOGETHER_HITS = 1 << 22
 BAND = 8
 FILTER_BITS = 20
-GAP = b"\n" * Q
+#: Wider than all that a window may reach beyond its text.
+GAP = b"\n" * (2 * WINDOW)
 
 
 def normal(text: str) -> bytes:
@@ -52,98 +56,138 @@ def grams(data: bytes) -> np.ndarray:
     return mixed * np.uint64(0xD6E8FEB86659FD93)
 
 
+def allowed(size):
+    """Edits allowed in windows of a size, a number or an array."""
+    return size * EDITS // 100
+
+
 def edits(window: bytes) -> int:
-    return len(window) * EDITS // 100
+    return allowed(len(window))
 
 
 @dataclass(frozen=True)
 class Index:
-    """The windows of a block of items and the places of their q-grams, sorted by code."""
+    """A block of items, laid behind each other, and the places of their q-grams, sorted by code.
 
-    windows: list[bytes]
+    A window begins at every byte of an item. Items are a window apart, so that places of two
+    items never lie in one window.
+    """
+
+    data: bytes
     item: np.ndarray
-    needed: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
     codes: np.ndarray
-    window_at: np.ndarray
     place_at: np.ndarray
     seen: np.ndarray
 
     @staticmethod
     def of(texts: list[str]) -> Index:
-        windows, item = [], []
-        for number, text in enumerate(texts):
-            data = normal(text)
-            if len(data) < SHORTEST:
-                continue
-            last = max(len(data) - WINDOW, 0)
-            for start in sorted({*range(0, last, STRIDE), last}):
-                windows.append(data[start : start + WINDOW])
-                item.append(number)
-        codes = [grams(window) for window in windows]
-        counts = [len(its) for its in codes]
-        every = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint64)
+        kept = [(n, data) for n, data in enumerate(map(normal, texts)) if len(data) >= SHORTEST]
+        length = np.array([len(data) for _, data in kept], dtype=np.int64)
+        first = np.cumsum(length + WINDOW) - length - WINDOW
+        codes = [grams(data) for _, data in kept]
+        places = [start + np.arange(len(its)) for start, its in zip(first, codes)]
+        every = np.concatenate([np.zeros(0, dtype=np.uint64), *codes])
         order = np.argsort(every, kind="stable")
         seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         seen[every >> np.uint64(64 - FILTER_BITS)] = True
-        needed = [len(w) - Q + 1 - edits(w) * Q for w in windows]
         return Index(
-            windows,
-            np.array(item, dtype=np.int64),
-            np.array(needed, dtype=np.int64),
+            b"".join(data + bytes(WINDOW) for _, data in kept),
+            np.array([n for n, _ in kept], dtype=np.int64),
+            first,
+            length,
             every[order],
-            np.repeat(np.arange(len(windows)), counts)[order],
-            np.concatenate([np.arange(n) for n in counts] or [np.zeros(0, int)])[order],
+            np.concatenate([np.zeros(0, dtype=np.int64), *places])[order],
             seen,
         )
 
     def search(self, texts: list[bytes]) -> list[list[int]]:
         """For each normalised text the numbers of the items found in it."""
-        found: list[list[int]] = [[] for _ in texts]
-        sizes = np.array([len(text) + Q for text in texts], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        data = GAP.join([*texts, b""])
+        found: list[set[int]] = [set() for _ in texts]
+        sizes = np.array([len(text) + len(GAP) for text in texts], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes + len(GAP)
+        data = GAP + GAP.join([*texts, b""])
         codes = grams(data)
         at = np.flatnonzero(self.seen[codes >> np.uint64(64 - FILTER_BITS)])
         low = np.searchsorted(self.codes, codes[at], "left")
         many = np.searchsorted(self.codes, codes[at], "right") - low
-        total = int(many.sum())
-        if not total:
-            return found
-        hit = np.repeat(low, many) + np.arange(total) - np.repeat(np.cumsum(many) - many, many)
-        where = np.repeat(at, many)
-        window, place = self.window_at[hit], self.place_at[hit]
-        text = np.searchsorted(starts, where, "right") - 1
-        # Diagonals are shifted by a window's length, so that none is negative.
-        diagonal = where - starts[text] - place + WINDOW
-        band = diagonal // BAND
-        widest = WINDOW * EDITS // 100
+        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        upto = np.cumsum(many)
+        begin = 0
+        while begin < len(at):
+            # Hits are met in bounded numbers; the parts overlap by more than a window and its edits.
+            stop = np.searchsorted(upto, upto[begin] - many[begin] + TOGETHER_HITS, "right")
+            stop = max(int(stop), int(np.searchsorted(at, at[begin] + 4 * WINDOW)))
+            part = slice(begin, stop)
+            where, item = self.met(data, at[part], low[part], many[part])
+            # A place that is known but for its band still lies behind the gap's first half.
+            text = np.searchsorted(starts - WINDOW, where, "right") - 1
+            for t, n in zip(text.tolist(), self.item[item].tolist()):
+                found[t].add(n)
+            if stop >= len(at):
+                break
+            begin = int(np.searchsorted(at, at[stop] - 2 * WINDOW))
+        return [sorted(its) for its in found]
+
+    def met(
+        self, data: bytes, at: np.ndarray, low: np.ndarray, many: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """About where in the data which items are found, from the q-grams they have in common."""
+        hit = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        place = self.place_at[hit]
+        # Diagonals are shifted, so that none is negative.
+        diagonal = np.repeat(at, many) - place + len(self.data)
+        widest = allowed(WINDOW)
         lower = diagonal % BAND < widest  # these lie in the overlap with the band before, too
-        text, window, place, band = (
-            np.concatenate([a, b])
-            for a, b in (
-                (text, text[lower]),
-                (window, window[lower]),
-                (place, place[lower]),
-                (band, band[lower] - 1),
-            )
-        )
-        # Each place of a window counts once in a band.
-        span = int(band.max()) + 2
-        region = (text * len(self.windows) + window) * span + band + 1
-        pairs = np.unique(region * WINDOW + place) // WINDOW
-        region, counts = np.unique(pairs, return_counts=True)
-        band, rest = region % span - 1, region // span
-        window, text = rest % len(self.windows), rest // len(self.windows)
-        enough = counts >= self.needed[window]
-        done = set()
-        for t, w, b in zip(text[enough].tolist(), window[enough].tolist(), band[enough].tolist()):
-            item = int(self.item[w])
-            if (t, item) not in done and aligned(
-                self.windows[w], texts[t], b * BAND - WINDOW, (b + 1) * BAND + widest - WINDOW
-            ):
-                done.add((t, item))
-                found[t].append(item)
-        return found
+        span = len(self.data) + WINDOW
+        band = diagonal // BAND + 1
+        keys = np.concatenate([band * span + place, (band[lower] - 1) * span + place[lower]])
+        keys.sort()
+        # Each place of an item counts once in a band.
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+        least = int(self.needed(self.length).min())
+        one = np.flatnonzero(keys[least - 1 :] - keys[: max(len(keys) - least + 1, 0)] <= WINDOW - Q)
+        item = np.searchsorted(self.first, keys[one] % span, "right") - 1
+        needed = self.needed(self.length[item])
+        last = keys[np.minimum(one + needed - 1, len(keys) - 1)]
+        enough = (one + needed <= len(keys)) & (last - keys[one] <= WINDOW - Q)
+        one, item, last = one[enough], item[enough], last[enough]
+        band, place, last = keys[one] // span - 1, keys[one] % span, last % span
+        # The windows that hold all these places begin at from_ to to; none is looked at twice.
+        size = np.minimum(self.length[item], WINDOW)
+        from_ = np.maximum(last + Q - size, self.first[item])
+        to = np.minimum(place, self.first[item] + self.length[item] - size)
+        same = (band[1:] == band[:-1]) & (item[1:] == item[:-1])
+        from_[1:] = np.where(same, np.maximum(from_[1:], to[:-1] + 1), from_[1:])
+        some = from_ <= to
+        band, place, item, from_, to = (x[some] for x in (band, place, item, from_, to))
+        nearest = band * BAND - len(self.data)
+        sure = self.confirmed(data, nearest, item, from_, to)
+        return (nearest + place)[sure], item[sure]
+
+    @staticmethod
+    def needed(length: np.ndarray) -> np.ndarray:
+        size = np.minimum(length, WINDOW)
+        return size - Q + 1 - allowed(size) * Q
+
+    def confirmed(
+        self, data: bytes, nearest: np.ndarray, item: np.ndarray, from_: np.ndarray, to: np.ndarray
+    ) -> np.ndarray:
+        """Which rows have a window that begins at from_ to to and is found near the diagonals."""
+        sure = np.zeros(len(item), dtype=bool)
+        high = BAND + allowed(WINDOW)
+        for row in range(len(item)):
+            size = min(int(self.length[item[row]]), WINDOW)
+            for start in range(int(from_[row]), int(to[row]) + 1):
+                begin = max(int(nearest[row]) + start - high, 0)
+                text = data[begin : begin + size + 3 * high]
+                diagonal = int(nearest[row]) + start - begin
+                window = self.data[start : start + size]
+                if window in text or aligned(window, text, diagonal, diagonal + high):
+                    sure[row] = True
+                    break
+        return sure
 
 
 def aligned(window: bytes, text: bytes, low: int, high: int) -> bool:

@@ -66,6 +66,18 @@ def test_same_as_brute_force(seed):
     assert [sorted(its) for its in found] == [brute(text, items) for text in texts]
 
 
+def test_quotes_that_begin_at_any_byte():
+    """By plain search for every 96 bytes in a row."""
+    rng = random.Random(11)
+    item = prose(rng, 60)[:240]
+    data = decontam.normal(item)
+    every = [data[at : at + 96] for at in range(len(data) - 95)]
+    index = decontam.Index.of(["a" * 40, item, prose(rng, 40)])
+    texts = [b"zz " * 20 + data[at : at + size] + b" yy" * 20 for size in (96, 100, 104) for at in range(len(data) - size)]
+    assert all(any(window in text for window in every) for text in texts)
+    assert index.search(texts) == [[1]] * len(texts)
+
+
 BENCHMARK = "item_id long, text string, lang string"
 
 
