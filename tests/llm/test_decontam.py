@@ -78,6 +78,43 @@ def test_quotes_that_begin_at_any_byte():
     assert index.search(texts) == [[1]] * len(texts)
 
 
+def reworded(data: bytes, every: int) -> bytes:
+    """With one word of six to twelve bytes replaced in each so many bytes."""
+    out, last = [], 20
+    for word in data.split(b" "):
+        last += len(word) + 1
+        if last >= every and 6 <= len(word) <= 12:
+            word, last = b"q" * len(word), 0
+        out.append(word)
+    return b" ".join(out)
+
+
+def test_partial_and_reworded_passages():
+    rng = random.Random(12)
+    items = [prose(rng, 60) for _ in range(4)]
+    datas = [decontam.normal(item) for item in items]
+    index = decontam.Index.of(items)
+    for n, data in enumerate(datas):
+        before, after = (decontam.normal(prose(rng, 30)) for _ in range(2))
+        quotes = [data[at : at + size] for size in (48, 60, 90) for at in range(0, len(data) - size, 5)]
+        quotes += [reworded(data, every) for every in (60, 75, 90)]
+        assert all(quote not in data for quote in quotes[-3:])
+        texts = [before + b" " + quote + b" " + after for quote in quotes]
+        assert index.search(texts) == [[n]] * len(texts)
+    others = [decontam.normal(prose(rng, 200)) for _ in range(20)]
+    assert index.search(others) == [[]] * len(others)
+
+
+def test_bounded_hits_give_the_same(monkeypatch):
+    rng = random.Random(13)
+    items = [prose(rng, 50) for _ in range(5)] + ["a" * 400]
+    texts = [decontam.normal(prose(rng, 150) + " " + item[30:90] + " " + prose(rng, 150)) for item in items]
+    texts += [b"a" * 3000, b""]
+    whole = decontam.Index.of(items).search(texts)
+    monkeypatch.setattr(decontam, "TOGETHER_HITS", 100)
+    assert decontam.Index.of(items).search(texts) == whole == [[0], [1], [2], [3], [4], [5], [5], []]
+
+
 BENCHMARK = "item_id long, text string, lang string"
 
 
