@@ -24,15 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    copies = found.where(~F.col("kept")).select("doc_id").distinct()
-    single = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    return (
-        single.dropDuplicates(["doc_id"])
-        .unionByName(docs.where("doc_id IS NULL"))
-        .select(*COLUMNS)
+    """One row of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows are compared one by one, whatever their keys: texts that share a key are near copies only
+    if they are alike, and rows without a key can be copies, too. The row with the smallest key
+    stays, and one of the rows without a key, as those pass through all stages. Rows without words
+    are near nothing; of those with a key one row per key and text stays.
+    """
+    rows = staged(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows, width=5, percent=80, key="row_id").select(
+        F.col("doc_id").alias("row_id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component")
     )
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    others = [name for name in COLUMNS if name not in ("doc_id", "text")]
+    placed = rows.select("row_id", "doc_id", text_hash, *others).join(found, "row_id")
+    wordless = F.col("component").isNull()
+    chosen = placed.groupBy(
+        "component",
+        F.col("doc_id").isNull().alias("keyless"),
+        F.when(wordless, F.col("doc_id")).alias("its_key"),
+        F.when(wordless, F.col("text_hash")).alias("its_text"),
+        F.when(wordless & F.col("doc_id").isNull(), F.col("row_id")).alias("its_row"),
+    ).agg(F.min(F.struct("doc_id", "text_hash", *others, "row_id")).alias("first"))
+    return rows.join(chosen.select("first.row_id"), "row_id", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barloom.llm import decontam, mix, neardup, toxicity
-from tests.llm.helpers import documents, frame, odd_rows
+from tests.llm.helpers import documents, frame, odd_rows, prose, row
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,6 +65,20 @@ def test_odd_rows_pass_every_stage(spark):
     assert corpus_pipeline.write_token_files(spark, docs, FOLDER).count() == docs.count()
 
 
+def test_near_copies_by_row(spark):
+    """Keys that repeat over different texts, and copies without a key."""
+    rng = random.Random(21)
+    copied, own, other, keyless = (prose(rng, 60) for _ in range(4))
+    rows = [row(1, copied), row(2, copied), row(2, own), row(2, own), row(3, other)]
+    rows += [row(None, keyless), row(None, keyless), row(None, other), row(None, ""), row(None, "")]
+    rows += [row(4, ""), row(4, ""), row(4, None, source="b")]
+    rows += [row(6, keyless + " more", source="b"), row(6, keyless + " more", source="a")]
+    kept = corpus_pipeline.drop_near_copies(spark, frame(spark, rows), FOLDER).collect()
+    got = sorted(((r.doc_id or 0, r.text or "", r.source) for r in kept))
+    want = [(1, copied, "a"), (2, own, "a"), (3, other, "a"), (6, keyless + " more", "a")]
+    assert got == sorted([*want, (0, keyless, "a"), (0, other, "a"), (0, "", "a"), (0, "", "a"), (4, "", "a")])
+
+
 def test_empty_table_stays_empty(spark):
     docs = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
