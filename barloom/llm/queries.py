@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import binary, decontam, linededup, mix, neardup, quality, shard, tokens, toxicity, warc
+from barloom.llm import (
+    binary,
+    decontam,
+    dialogue,
+    language,
+    linededup,
+    mix,
+    neardup,
+    phrases,
+    quality,
+    shard,
+    tokens,
+    toxicity,
+    warc,
+)
 from barloom.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +82,20 @@ def op10_warc_index_first(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    pieces = dialogue.repair(dialogue.damaged(rows))
+    return dialogue.with_lost(dialogue.reported(pieces), rows)
+
+
+def op12_phrase_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op13_language_models(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shard_minimax": op1_shard_minimax,
     "op2_mix_curriculum": op2_mix_curriculum,
@@ -79,4 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity_instances": op8_toxicity_instances,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc_index_first": op10_warc_index_first,
+    "op11_dialogue_repair": op11_dialogue_repair,
+    "op12_phrase_stripes": op12_phrase_stripes,
+    "op13_language_models": op13_language_models,
 }
