@@ -4,145 +4,250 @@ Counts are kept as stripes: every prefix of one, two, ... words has an associati
 words that follow it, with the empty word for none. Tasks fill stripes from whole texts, equal
 prefixes are merged elementwise, and one merged structure answers everything asked of it: an entry
 is the count of the extended phrase, the sum of a stripe that of its prefix, the greatest entry
-what covers the prefix from the right; turned around, the same entries cover it from the left.
+what covers the prefix from the right; turned around, the same entries cover it from the left. The
+empty prefix counts all words.
 
-A phrase is only as frequent as its parts, so the stripes of a level are filled only for prefixes
-that the level before found frequent. Tasks ask that of a bit table of fixed size, which may say
-yes wrongly but never no; the counts are exact either way.
+Nearly all phrases are rare, and no stripe needs them. So phrases are counted first by a hash, in
+a table of bounded size: what falls into a slot that was met too rarely is rare itself. Tasks ask
+the table before they fill a stripe; it may say yes wrongly but never no, and the stripes' own
+counts are exact.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.llm.common import ship, staged
 
-#: Letters A-Z become small, what ends a piece becomes a line break, and a tab a space.
+#: Letters A-Z become small, what ends a piece becomes a byte that no text holds, a tab a space.
 _UPPER = bytes(range(65, 91))
-_BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
-FOLD = bytes.maketrans(_UPPER + _BREAKS + b"\t", _UPPER.lower() + b"\n" * len(_BREAKS) + b" ")
-
-#: Bits of the table that tells frequent phrases: 8 MB, however many phrases there are.
-FILTER_BITS = 1 << 26
-#: A stripe is merged in so many parts, by its next word, so that no task has all of a hot prefix;
-#: that of the empty prefix, which all words follow, in more.
-PARTS, FIRST_PARTS = 16, 1 << 12
-#: A task sends its stripes on when it holds so many entries.
-ENTRIES = 300_000
-#: The first lists are chosen in so many parts of a language.
-SHARES = 32
-
-STRIPES = "lang string, prefix string, part int, stripe map<string, bigint>"
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of every piece of a text, in UTF-8."""
-    return map(bytes.split, text.translate(FOLD).split(b"\n"))
-
-
-def _slot(seed: int, phrase: bytes) -> int:
-    return zlib.crc32(phrase, seed) % FILTER_BITS
-
-
-class Known(dict):
-    """Whether phrases of a language may be frequent, asked of the bit table once each."""
-
-    def __init__(self, bits: np.ndarray, lang: str) -> None:
-        super().__init__()
-        self.bits, self.seed = bits, zlib.crc32(lang.encode())
-
-    def __missing__(self, phrase: bytes) -> bool:
-        if len(self) >= ENTRIES:
-            self.clear()
-        slot = _slot(self.seed, phrase)
-        found = self[phrase] = bool(self.bits[slot >> 3] >> (slot & 7) & 1)
-        return found
-
-
-def _packed(lang: str, counts: Counter) -> Iterator[pa.RecordBatch]:
-    """Counted ``(prefix, next)`` as stripes, a row for each prefix and part."""
-    stripes: dict[tuple[bytes, int], list] = {}
-    for (prefix, word), n in counts.items():
-        part = zlib.crc32(word) % (PARTS if prefix else FIRST_PARTS)
-        stripes.setdefault((prefix, part), []).append((word, n))
-    rows = list(stripes.items())
-    for start in range(0, len(rows), 50_000):
-        some = rows[start : start + 50_000]
-        entries = [entry for _, stripe in some for entry in stripe]
-        offsets = np.cumsum([0, *(len(stripe) for _, stripe in some)], dtype=np.int32)
-        words = pa.array([word for word, _ in entries], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(some), pa.string()),
-                pa.array([prefix for (prefix, _), _ in some], pa.binary()).cast(pa.string()),
-                pa.array([part for (_, part), _ in some], pa.int32()),
-                pa.MapArray.from_arrays(
-                    pa.array(offsets), words, pa.array([n for _, n in entries], pa.int64())
-                ),
-            ],
-            names=["lang", "prefix", "part", "stripe"],
-        )
-
+_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+END = b"\xff"
+FOLD = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + END * len(_ENDS) + b" ")
+
+#: The hash table has a slot for every four bytes of text, between these powers of two: its bits
+#: take 128 MB at most, and are sent to every task.
+LEAST_BITS, MOST_BITS = 16, 30
+BLOCK_BITS = 16
+#: A stripe is merged in so many parts, by its next word, so that no task has all of a hot prefix.
+PARTS = 16
+#: Words a task gathers before it counts them, and bytes of a text it cuts into words at once.
+HELD, SLICE = 1 << 21, 1 << 20
+#: The first phrases of a language are chosen in so many shares, then in fewer.
+SHARES = (64, 8)
+
+STRIPES = "lang string, size int, prefix string, part int, stripe map<string, bigint>"
+
+
+def slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, ``END`` between its pieces and behind the last."""
+    text = text.translate(FOLD)
+    start = 0
+    while start < len(text):
+        end = text.find(END, start + SLICE)
+        end = len(text) if end < 0 else end
+        yield text[start:end].replace(END, b" \xff ").split() + [END]
+        start = end + 1
+
+
+class Vocabulary(dict):
+    """Numbers of the words a task has met, and their hashes; 0 stands for the end of a piece."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+        self.hashes = [0]
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
+
+    def texts(self) -> pa.Array:
+        """The words by number, as text; that of 0 is empty."""
+        return pa.array([b"", *list(self)[1:]], pa.binary()).cast(pa.string())
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def phrase_slots(
+    words: np.ndarray, hashes: np.ndarray, lang: str, longest: int, bits: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 1, 2, ... words at every place: their slots, and whether they lie in a piece."""
+    its, inside = hashes[words], words != 0
+    value = _mixed(its ^ np.uint64(xxhash.xxh64_intdigest(lang)))
+    whole = inside
+    for size in range(1, longest + 1):
+        if size > 1:
+            value = _mixed(value[:-1] + its[size - 1 :])
+            whole = whole[:-1] & inside[size - 1 :]
+        yield value >> np.uint64(64 - bits), whole
+
+
+class Gathered:
+    """Words of texts by language, as numbers, until there are enough to count them."""
+
+    def __init__(self) -> None:
+        self.vocabulary = Vocabulary()
+        self.held: dict[str, list[np.ndarray]] = {}
+        self.size = 0
+
+    def add(self, lang: str, text: bytes) -> Iterator[None]:
+        """Take a text; yields whenever the words should be counted and dropped."""
+        for words in slices(text):
+            numbers = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
+            self.held.setdefault(lang, []).append(numbers)
+            self.size += len(words)
+            if self.size >= HELD:
+                yield
+
+    def taken(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        hashes = np.array(self.vocabulary.hashes, dtype=np.uint64)
+        for lang, parts in self.held.items():
+            yield lang, np.concatenate(parts), hashes
+        self.held, self.size = {}, 0
+        if len(self.vocabulary) >= HELD // 4:
+            self.vocabulary = Vocabulary()
+
+
+def _gather(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
+    """What ``count`` makes of all words of the texts, some of them at a time."""
+    gathered = Gathered()
+    for batch in batches:
+        for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body")):
+            for _ in gathered.add(lang, body.as_py()):
+                yield from count(gathered)
+    if gathered.held:
+        yield from count(gathered)
+
+
+def frequent_slots(texts: DataFrame, longest: int, least: int, bits: int) -> bytes:
+    """A bit for every slot whose phrases were met ``least`` times together.
+
+    Tasks send the slots they met by blocks, two bytes and a small count each; a block is added up
+    by one task, and its bits are gathered: at most ``2 ** MOST_BITS``.
+    """
+    ship(texts.sparkSession)
+    kind = np.dtype("u1" if least < 256 else "<u4")
+
+    def count(gathered: Gathered) -> Iterator[pa.RecordBatch]:
+        met = [
+            slots[whole].astype(np.uint32)
+            for lang, words, hashes in gathered.taken()
+            for slots, whole in phrase_slots(words, hashes, lang, longest, bits)
+        ]
+        slots, n = np.unique(np.concatenate(met), return_counts=True)
+        if not len(slots):
+            return
+        blocks = slots >> np.uint32(BLOCK_BITS)
+        starts = np.flatnonzero(np.diff(blocks, prepend=np.int64(-1)))
+        ends = np.append(starts, len(slots))
+        counts = np.minimum(n, np.iinfo(kind).max).astype(kind)
+        columns = [pa.array(blocks[starts].astype(np.int64))]
+        for values, width in ((slots.astype("<u2"), 2), (counts, kind.itemsize)):
+            buffers = [None, pa.py_buffer((ends * width).astype("<i4")), pa.py_buffer(values.tobytes())]
+            columns.append(pa.Array.from_buffers(pa.binary(), len(starts), buffers))
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "slots", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+        for block, same in groupby(rows, itemgetter(0)):
+            _, slots, counts = zip(*same)
+            total = np.bincount(
+                np.frombuffer(b"".join(slots), "<u2"),
+                np.frombuffer(b"".join(counts), kind),
+                minlength=1 << BLOCK_BITS,
+            )
+            found = np.packbits(total >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([found])], names=["block", "bits"])
+
+    met = texts.mapInArrow(lambda batches: _gather(batches, count), "block bigint, slots binary, counts binary")
+    dealt = met.repartition("block").sortWithinPartitions("block")
+    gathered = dealt.mapInArrow(added, "block bigint, bits binary").toArrow()
+    step = 1 << BLOCK_BITS - 3
+    table = bytearray(1 << bits - 3)
+    for block, found in zip(*(gathered.column(name).to_pylist() for name in ("block", "bits"))):
+        table[block * step : (block + 1) * step] = found
+    return bytes(table)
+
+
+def _numbered(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """One number for each row of some columns of numbers, in the order of the columns."""
+    code, used = columns[0], bits
+    for column in columns[1:]:
+        if used + bits > 63:
+            known, code = np.unique(code, return_inverse=True)
+            used = len(known).bit_length()
+        code, used = code << bits | column, used + bits
+    return code
+
+
+def _stripe_batches(
+    lang: str, size: int, prefix: list[np.ndarray], word: np.ndarray, hashes: np.ndarray, texts: pa.Array
+) -> Iterator[pa.RecordBatch]:
+    """Prefixes and the words behind them, counted, as stripes: a row for each prefix and part."""
+    bits = len(hashes).bit_length()
+    code, first, n = np.unique(_numbered([*prefix, word], bits), return_index=True, return_counts=True)
+    before, behind = code >> bits, word[first]
+    part = (hashes[behind] % np.uint64(PARTS)).astype(np.int32)
+    order = np.lexsort((part, before))
+    before, behind, part, n, first = (values[order] for values in (before, behind, part, n, first))
+    begins = np.flatnonzero((np.diff(before, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    offsets = np.append(begins, len(before)).astype(np.int32)
+    names = [texts.take(pa.array(column[first[begins]])) for column in prefix]
+    joined = pc.binary_join_element_wise(*names, " ") if len(names) > 1 else names[0]
+    stripes = pa.MapArray.from_arrays(pa.array(offsets), texts.take(pa.array(behind)), pa.array(n))
+    rows = len(begins)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([lang] * rows, pa.string()), pa.array([size] * rows, pa.int32()), joined, pa.array(part[begins]), stripes],
+        names=["lang", "size", "prefix", "part", "stripe"],
+    )
+    return (batch.slice(start, 20_000) for start in range(0, rows, 20_000))
 
-def _extended(words: list[bytes], length: int, known: Known) -> Iterator[tuple[bytes, bytes]]:
-    """Every frequent phrase of ``length`` words in a piece, with the word behind it.
 
-    The word is left out where the phrase that it ends is not frequent: no phrase that holds it is.
-    """
-    if length == 1:
-        phrases = words
-    else:
-        phrases = [b" ".join(words[at : at + length]) for at in range(len(words) - length + 1)]
-    if not phrases:
-        return iter(())
-    frequent = [known[phrase] for phrase in phrases]
-    following = [word if yes else b"" for word, yes in zip(words[length:], frequent[1:])]
-    following.append(b"")
-    return (pair for pair, yes in zip(zip(phrases, following), frequent) if yes)
-
-
-def stripes_of(texts: DataFrame, length: int, bits: bytes | None) -> DataFrame:
-    """The stripes of all prefixes of ``length`` words, merged: ``(lang, prefix, part, word, n)``.
-
-    Without words (``length`` 0) there is one prefix, the empty one, and its stripe counts words.
-    """
+def stripes_of(texts: DataFrame, longest: int, bits: int, table: bytes) -> DataFrame:
+    """The stripes of all prefixes that may be frequent, merged: ``(lang, size, prefix, part, word, n)``."""
     spark = texts.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(bits) if length else None
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, dtype=np.uint8) if length else None
-        counts: dict[str, Counter] = {}
-        known: dict[str, Known] = {}
-
-        def sent(langs: list[str]) -> Iterator[pa.RecordBatch]:
-            for lang in langs:
-                its = counts.pop(lang)
-                yield from _packed(lang, its if length else {(b"", word): n for word, n in its.items()})
-
-        for batch in batches:
-            for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body")):
-                asked = known.setdefault(lang, Known(table, lang)) if length else None
-                for words in pieces(body.as_py()):
-                    its = counts.setdefault(lang, Counter())
-                    its.update(_extended(words, length, asked) if length else words)
-                    if len(its) >= ENTRIES:
-                        yield from sent([lang])
-                if sum(map(len, counts.values())) >= ENTRIES:
-                    yield from sent(list(counts))
-        yield from sent(list(counts))
-
-    rows = texts.mapInArrow(fill, STRIPES)
-    keys = ("lang", "prefix", "part")
+    shared = spark.sparkContext.broadcast(table)
+
+    def count(gathered: Gathered) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(shared.value, dtype=np.uint8)
+        texts = gathered.vocabulary.texts()
+        for lang, words, hashes in gathered.taken():
+            may = []
+            for slots, whole in phrase_slots(words, hashes, lang, longest, bits):
+                found = known[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1
+                may.append(whole & found.astype(bool))
+            n = pa.array([np.count_nonzero(words)], pa.int64())
+            total = pa.MapArray.from_arrays(pa.array([0, 1], pa.int32()), pa.array([""]), n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([0], pa.int32()), total],
+                names=["lang", "size", "prefix", "part", "stripe"],
+            )
+            for size in range(1, longest):
+                at = np.flatnonzero(may[size - 1])
+                if len(at):
+                    extended = np.append(may[size], False)[at]
+                    behind = np.where(extended, words[np.minimum(at + size, len(words) - 1)], 0)
+                    prefix = [words[at + k] for k in range(size)]
+                    yield from _stripe_batches(lang, size, prefix, behind, hashes, texts)
+
+    rows = texts.mapInArrow(lambda batches: _gather(batches, count), STRIPES)
+    keys = ("lang", "size", "prefix", "part")
     # Dealt by parts of prefixes, so that the merge below needs no further exchange.
     return (
         rows.repartition(*keys)
@@ -156,32 +261,15 @@ def merged(entries: DataFrame, least: int) -> DataFrame:
     """Stripes with the sum of all their entries and the frequent ones: ``(.., total, stripe)``."""
     frequent = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
     return (
-        entries.groupBy("lang", "prefix", "part")
+        entries.groupBy("lang", "size", "prefix", "part")
         .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(frequent)).alias("stripe"))
     )
 
 
-def bit_table(phrases: DataFrame) -> bytes:
-    """The bit table of ``(lang, phrase)``; its blocks are gathered, at most 2**20 numbers."""
-    ship(phrases.sparkSession)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
-        for batch in batches:
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                slot = _slot(zlib.crc32(lang.encode()), phrase.encode())
-                table[slot >> 3] |= 1 << (slot & 7)
-        blocks = table.view("<i8")
-        used = np.flatnonzero(blocks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int64()), pa.array(blocks[used], pa.int64())], names=["block", "bits"]
-        )
-
-    rows = phrases.select("lang", "phrase").mapInArrow(placed, "block bigint, bits bigint")
-    gathered = rows.groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS >> 6, dtype="<i8")
-    table[gathered.column("block").to_numpy()] = gathered.column("bits").to_numpy()
-    return table.tobytes()
+def table_bits(texts: DataFrame) -> int:
+    """Enough bits for the slots of all phrases, as far as the bound allows."""
+    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    return min(max((size // 4).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def _entries(stripes: DataFrame) -> DataFrame:
@@ -219,22 +307,21 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("body")
     ).where("body IS NOT NULL")
-    words = staged(merged(stripes_of(texts, 0, None), least), "words")
-    sizes = words.groupBy("lang").agg(F.sum("total").alias("n"))
-    frequent = _entries(words).select("lang", F.col("word").alias("phrase"))
-
-    counted: list[DataFrame] = []
-    entries: list[DataFrame] = []
-    for length in range(1, longest):
-        stripes = staged(merged(stripes_of(texts, length, bit_table(frequent)), least), f"stripes-{length}")
-        totals = stripes.groupBy("lang", "prefix").agg(F.sum("total").alias("f")).where(F.col("f") >= least)
-        counted.append(totals.withColumnRenamed("prefix", "phrase"))
-        entries.append(_entries(stripes))
-        frequent = entries[-1].select("lang", _joined_words("prefix", "word").alias("phrase"))
-
+    bits = table_bits(texts)
+    table = frequent_slots(texts, longest, least, bits)
+    stripes = staged(merged(stripes_of(texts, longest, bits, table), least), "stripes")
+    sizes = stripes.where("size = 0").select("lang", F.col("total").alias("n"))
+    totals = [
+        stripes.where(F.col("size") == size)
+        .groupBy("lang", F.col("prefix").alias("phrase"))
+        .agg(F.sum("total").alias("f"))
+        .where(F.col("f") >= least)
+        for size in range(1, longest)
+    ]
+    entries = [_entries(stripes.where(F.col("size") == size)) for size in range(1, longest)]
     found = []
     for length in range(2, longest + 1):
-        phrases = _scored(entries[length - 2], counted, length)
+        phrases = _scored(entries[length - 2], totals, length)
         if length < longest:
             phrases = phrases.join(_covering(entries[length - 1], length), ["lang", "phrase"], "left")
             free = F.col("covering").isNull() | (100 * F.col("covering") < covered_percent * F.col("a"))
@@ -284,15 +371,12 @@ def _covering(longer: DataFrame, length: int) -> DataFrame:
 
 
 def _first(phrases: DataFrame, top: int) -> DataFrame:
-    """The first phrases of every language, chosen in shares and then among their first ones."""
+    """The first phrases of every language, chosen in shares, in fewer shares, and among these."""
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    share = Window.partitionBy("lang", "share").orderBy(*order)
+    for shares in SHARES:
+        share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+        nth = F.row_number().over(Window.partitionBy("lang", share).orderBy(*order))
+        phrases = phrases.withColumn("nth", nth).where(F.col("nth") <= top)
     whole = Window.partitionBy("lang").orderBy(*order)
-    return (
-        phrases.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
-        .withColumn("nth", F.row_number().over(share))
-        .where(F.col("nth") <= top)
-        .withColumn("rank", F.row_number().over(whole).cast("long"))
-        .where(F.col("rank") <= top)
-        .drop("share", "nth")
-    )
+    ranked = phrases.withColumn("rank", F.row_number().over(whole).cast("long"))
+    return ranked.where(F.col("rank") <= top).drop("nth")
