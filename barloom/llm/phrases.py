@@ -1,11 +1,10 @@
 """Phrases whose words keep company: contiguous words found together more often than apart.
 
-Counts are kept as stripes: every prefix of one, two, ... words has an associative counter of the
-words that follow it, with the empty word for none. Tasks fill stripes from whole texts, equal
-prefixes are merged elementwise, and one merged structure answers everything asked of it: an entry
-is the count of the extended phrase, the sum of a stripe that of its prefix, the greatest entry
-what covers the prefix from the right; turned around, the same entries cover it from the left. The
-empty prefix counts all words.
+Counts are kept as stripes: every prefix of no, one, two, ... words has an associative counter of
+the words that follow it. Tasks fill stripes from whole texts, equal prefixes are merged
+elementwise, and one merged structure answers everything asked of it: an entry is the count of the
+extended phrase, and that is the total of the prefix it makes; the greatest entry of a stripe is
+what covers its prefix from the right, and turned around the same entries cover it from the left.
 
 Nearly all phrases are rare, and no stripe needs them. So phrases are counted first by a hash, in
 a table of bounded size: what falls into a slot that was met too rarely is rare itself. Tasks ask
@@ -15,6 +14,7 @@ counts are exact.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, groupby
@@ -42,12 +42,14 @@ LEAST_BITS, MOST_BITS = 16, 30
 BLOCK_BITS = 16
 #: A stripe is merged in so many parts, by its next word, so that no task has all of a hot prefix.
 PARTS = 16
+#: Stripes travel in bundles, one for so many bytes of text, and at most so many.
+BUNDLE, MOST_BUNDLES = 1 << 21, 1 << 20
 #: Words a task gathers before it counts them, and bytes of a text it cuts into words at once.
 HELD, SLICE = 1 << 21, 1 << 20
 #: The first phrases of a language are chosen in so many shares, then in fewer.
 SHARES = (64, 8)
 
-STRIPES = "lang string, size int, prefix string, part int, stripe map<string, bigint>"
+STRIPES = "lang string, size int, prefix string, stripe map<string, bigint>"
 
 
 def slices(text: bytes) -> Iterator[list[bytes]]:
@@ -134,10 +136,14 @@ def _gather(batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch
         yield from count(gathered)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    return chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+
+
 def frequent_slots(texts: DataFrame, longest: int, least: int, bits: int) -> bytes:
     """A bit for every slot whose phrases were met ``least`` times together.
 
-    Tasks send the slots they met by blocks, two bytes and a small count each; a block is added up
+    Tasks send the slots they met by blocks, as packed steps and small counts; a block is added up
     by one task, and its bits are gathered: at most ``2 ** MOST_BITS``.
     """
     ship(texts.sparkSession)
@@ -154,27 +160,32 @@ def frequent_slots(texts: DataFrame, longest: int, least: int, bits: int) -> byt
             return
         blocks = slots >> np.uint32(BLOCK_BITS)
         starts = np.flatnonzero(np.diff(blocks, prepend=np.int64(-1)))
-        ends = np.append(starts, len(slots))
+        ends = np.append(starts[1:], len(slots))
+        steps = np.diff(slots, prepend=np.uint32(0))
+        steps[starts] = slots[starts]
+        bytes_of = steps.astype("<u2").view("u1")
         counts = np.minimum(n, np.iinfo(kind).max).astype(kind)
-        columns = [pa.array(blocks[starts].astype(np.int64))]
-        for values, width in ((slots.astype("<u2"), 2), (counts, kind.itemsize)):
-            buffers = [None, pa.py_buffer((ends * width).astype("<i4")), pa.py_buffer(values.tobytes())]
-            columns.append(pa.Array.from_buffers(pa.binary(), len(starts), buffers))
-        yield pa.RecordBatch.from_arrays(columns, names=["block", "slots", "counts"])
+        packed = [
+            pa.compress(
+                bytes_of[2 * a : 2 * b : 2].tobytes() + bytes_of[2 * a + 1 : 2 * b : 2].tobytes() + counts[a:b].tobytes(),
+                "zstd", asbytes=True,
+            )
+            for a, b in zip(starts.tolist(), ends.tolist())
+        ]
+        columns = [pa.array(blocks[starts].astype(np.int64)), pa.array(ends - starts), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "n", "packed"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
-        for block, same in groupby(rows, itemgetter(0)):
-            _, slots, counts = zip(*same)
-            total = np.bincount(
-                np.frombuffer(b"".join(slots), "<u2"),
-                np.frombuffer(b"".join(counts), kind),
-                minlength=1 << BLOCK_BITS,
-            )
+        for block, same in groupby(_rows(batches), itemgetter(0)):
+            total = np.zeros(1 << BLOCK_BITS, dtype=np.int64)
+            for _, n, packed in same:
+                data = pa.decompress(packed, n * (2 + kind.itemsize), "zstd", asbytes=True)
+                low, high = (np.frombuffer(data, "u1", n, at).astype(np.int64) for at in (0, n))
+                total[np.cumsum(low + (high << 8))] += np.frombuffer(data, kind, n, 2 * n)
             found = np.packbits(total >= least, bitorder="little").tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([found])], names=["block", "bits"])
 
-    met = texts.mapInArrow(lambda batches: _gather(batches, count), "block bigint, slots binary, counts binary")
+    met = texts.mapInArrow(lambda batches: _gather(batches, count), "block bigint, n bigint, packed binary")
     dealt = met.repartition("block").sortWithinPartitions("block")
     gathered = dealt.mapInArrow(added, "block bigint, bits binary").toArrow()
     step = 1 << BLOCK_BITS - 3
@@ -195,75 +206,112 @@ def _numbered(columns: list[np.ndarray], bits: int) -> np.ndarray:
     return code
 
 
-def _stripe_batches(
-    lang: str, size: int, prefix: list[np.ndarray], word: np.ndarray, hashes: np.ndarray, texts: pa.Array
-) -> Iterator[pa.RecordBatch]:
-    """Prefixes and the words behind them, counted, as stripes: a row for each prefix and part."""
+def _counted(
+    prefix: list[np.ndarray], word: np.ndarray, hashes: np.ndarray, texts: pa.Array
+) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Prefixes with the words behind them: each phrase once with a line break, its count and place.
+
+    The place, a number of 64 bits, is that of the prefix and the part of its stripe.
+    """
     bits = len(hashes).bit_length()
     code, first, n = np.unique(_numbered([*prefix, word], bits), return_index=True, return_counts=True)
-    before, behind = code >> bits, word[first]
-    part = (hashes[behind] % np.uint64(PARTS)).astype(np.int32)
-    order = np.lexsort((part, before))
-    before, behind, part, n, first = (values[order] for values in (before, behind, part, n, first))
-    begins = np.flatnonzero((np.diff(before, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-    offsets = np.append(begins, len(before)).astype(np.int32)
-    names = [texts.take(pa.array(column[first[begins]])) for column in prefix]
+    columns = [column[first] for column in (*prefix, word)]
+    place = hashes[columns[-1]] % np.uint64(PARTS)
+    for column in columns[:-1]:
+        place = _mixed(place + hashes[column])
+    names = [texts.take(pa.array(column)) for column in columns]
     joined = pc.binary_join_element_wise(*names, " ") if len(names) > 1 else names[0]
-    stripes = pa.MapArray.from_arrays(pa.array(offsets), texts.take(pa.array(behind)), pa.array(n))
-    rows = len(begins)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([lang] * rows, pa.string()), pa.array([size] * rows, pa.int32()), joined, pa.array(part[begins]), stripes],
-        names=["lang", "size", "prefix", "part", "stripe"],
-    )
-    return (batch.slice(start, 20_000) for start in range(0, rows, 20_000))
+    return pc.binary_join_element_wise(joined, "", "\n"), n, _mixed(place)
 
 
-def stripes_of(texts: DataFrame, longest: int, bits: int, table: bytes) -> DataFrame:
-    """The stripes of all prefixes that may be frequent, merged: ``(lang, size, prefix, part, word, n)``."""
+def _bundles(
+    lang: str, counted: list[tuple[pa.Array, np.ndarray, np.ndarray]], bundle_bits: int
+) -> Iterator[pa.RecordBatch]:
+    """Counted phrases by bundle; those of one stripe stand together."""
+    phrases = pa.concat_arrays([phrase for phrase, _, _ in counted])
+    n = np.concatenate([n for _, n, _ in counted])
+    place = np.concatenate([place for _, _, place in counted])
+    order = np.argsort(place, kind="stable")
+    bundle = (place[order] >> np.uint64(64 - bundle_bits)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bundle, prepend=-1))
+    ends = np.append(starts[1:], len(bundle))
+    phrases, n = phrases.take(pa.array(order)), n[order].astype("<i8")
+    _, offsets, data = phrases.buffers()
+    offsets, data = np.frombuffer(offsets, "<i4")[: len(n) + 1].tolist(), memoryview(data)
+    raw = [n[a:b].tobytes() + bytes(data[offsets[a] : offsets[b]]) for a, b in zip(starts.tolist(), ends.tolist())]
+    columns = [
+        pa.array([lang] * len(raw), pa.string()),
+        pa.array(bundle[starts]),
+        pa.array(ends - starts),
+        pa.array([len(part) for part in raw], pa.int64()),
+        pa.array([pa.compress(part, "zstd", asbytes=True) for part in raw], pa.binary()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["lang", "bundle", "n", "length", "packed"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The stripes of a bundle added up; the total of the language is a stripe of size -1."""
+    for (lang, _), same in groupby(_rows(batches), itemgetter(0, 1)):
+        stripes: dict[bytes, Counter] = {}
+        for _, _, n, length, packed in same:
+            data = pa.decompress(packed, length, "zstd", asbytes=True)
+            counts = np.frombuffer(data, "<i8", n).tolist()
+            for phrase, count in zip(data[8 * n :].split(b"\n"), counts):
+                prefix, _, word = phrase.rpartition(b" ")
+                stripes.setdefault(prefix, Counter())[word] += count
+        rows = []
+        for prefix, stripe in stripes.items():
+            if b"" in stripe:
+                rows.append((-1, b"", [(b"", stripe.pop(b""))]))
+            frequent = [(word, count) for word, count in stripe.items() if count >= least]
+            if frequent:
+                rows.append((prefix.count(b" ") + 1 if prefix else 0, prefix, frequent))
+        for start in range(0, len(rows), 5_000):
+            sizes, prefixes, entries = zip(*rows[start : start + 5_000])
+            flat = [entry for stripe in entries for entry in stripe]
+            offsets = np.cumsum([0, *map(len, entries)], dtype=np.int32)
+            words = pa.array([word for word, _ in flat], pa.binary()).cast(pa.string())
+            columns = [
+                pa.array([lang] * len(sizes), pa.string()),
+                pa.array(sizes, pa.int32()),
+                pa.array(prefixes, pa.binary()).cast(pa.string()),
+                pa.MapArray.from_arrays(pa.array(offsets), words, pa.array([n for _, n in flat], pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "prefix", "stripe"])
+
+
+def stripes_of(texts: DataFrame, longest: int, least: int, bits: int) -> DataFrame:
+    """The frequent entries of the stripes of all prefixes shorter than ``longest``.
+
+    ``(lang, size, prefix, stripe)``, a prefix in up to ``PARTS`` rows; one row of size -1 for each
+    language counts its words.
+    """
     spark = texts.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(frequent_slots(texts, longest, least, bits))
+    size = texts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bundle_bits = (min(size // BUNDLE, MOST_BUNDLES) + 1).bit_length()
 
     def count(gathered: Gathered) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, dtype=np.uint8)
         texts = gathered.vocabulary.texts()
         for lang, words, hashes in gathered.taken():
-            may = []
-            for slots, whole in phrase_slots(words, hashes, lang, longest, bits):
-                found = known[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1
-                may.append(whole & found.astype(bool))
-            n = pa.array([np.count_nonzero(words)], pa.int64())
-            total = pa.MapArray.from_arrays(pa.array([0, 1], pa.int32()), pa.array([""]), n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([0], pa.int32()), total],
-                names=["lang", "size", "prefix", "part", "stripe"],
-            )
-            for size in range(1, longest):
-                at = np.flatnonzero(may[size - 1])
+            total = np.array([np.count_nonzero(words)])
+            found = [(pa.array(["\n"]), total, np.zeros(1, dtype=np.uint64))]
+            slots_of = phrase_slots(words, hashes, lang, longest, bits)
+            for length, (slots, whole) in enumerate(slots_of):
+                met = known[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & 1
+                at = np.flatnonzero(whole & met.astype(bool))
                 if len(at):
-                    extended = np.append(may[size], False)[at]
-                    behind = np.where(extended, words[np.minimum(at + size, len(words) - 1)], 0)
-                    prefix = [words[at + k] for k in range(size)]
-                    yield from _stripe_batches(lang, size, prefix, behind, hashes, texts)
-
-    rows = texts.mapInArrow(lambda batches: _gather(batches, count), STRIPES)
-    keys = ("lang", "size", "prefix", "part")
-    # Dealt by parts of prefixes, so that the merge below needs no further exchange.
-    return (
-        rows.repartition(*keys)
-        .select(*keys, F.explode("stripe").alias("word", "n"))
-        .groupBy(*keys, "word")
-        .agg(F.sum("n").alias("n"))
-    )
-
+                    prefix = [words[at + k] for k in range(length)]
+                    found.append(_counted(prefix, words[at + length], hashes, texts))
+            yield from _bundles(lang, found, bundle_bits)
 
-def merged(entries: DataFrame, least: int) -> DataFrame:
-    """Stripes with the sum of all their entries and the frequent ones: ``(.., total, stripe)``."""
-    frequent = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
-    return (
-        entries.groupBy("lang", "size", "prefix", "part")
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(frequent)).alias("stripe"))
+    rows = texts.mapInArrow(
+        lambda batches: _gather(batches, count), "lang string, bundle bigint, n bigint, length bigint, packed binary"
     )
+    keys = ("lang", "bundle")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(lambda batches: _merged(batches, least), STRIPES)
 
 
 def table_bits(texts: DataFrame) -> int:
@@ -277,7 +325,7 @@ def _entries(stripes: DataFrame) -> DataFrame:
 
 
 def _joined_words(prefix: str, word: str) -> Column:
-    return F.concat(F.col(prefix), F.lit(" "), F.col(word))
+    return F.when(F.col(prefix) == "", F.col(word)).otherwise(F.concat(F.col(prefix), F.lit(" "), F.col(word)))
 
 
 def _first_words(phrase: Column, n: int) -> Column:
@@ -307,23 +355,18 @@ def collocations(
     texts = docs.select(
         F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("body")
     ).where("body IS NOT NULL")
-    bits = table_bits(texts)
-    table = frequent_slots(texts, longest, least, bits)
-    stripes = staged(merged(stripes_of(texts, longest, bits, table), least), "stripes")
-    sizes = stripes.where("size = 0").select("lang", F.col("total").alias("n"))
+    stripes = staged(stripes_of(texts, longest, least, table_bits(texts)), "stripes")
+    sizes = stripes.where("size = -1").select("lang", F.element_at("stripe", "").alias("n"))
+    entries = [_entries(stripes.where(F.col("size") == size)) for size in range(longest)]
     totals = [
-        stripes.where(F.col("size") == size)
-        .groupBy("lang", F.col("prefix").alias("phrase"))
-        .agg(F.sum("total").alias("f"))
-        .where(F.col("f") >= least)
-        for size in range(1, longest)
+        rows.select("lang", _joined_words("prefix", "word").alias("phrase"), F.col("n").alias("f"))
+        for rows in entries[:-1]
     ]
-    entries = [_entries(stripes.where(F.col("size") == size)) for size in range(1, longest)]
     found = []
     for length in range(2, longest + 1):
-        phrases = _scored(entries[length - 2], totals, length)
+        phrases = _scored(entries[length - 1], totals, length)
         if length < longest:
-            phrases = phrases.join(_covering(entries[length - 1], length), ["lang", "phrase"], "left")
+            phrases = phrases.join(_covering(entries[length], length), ["lang", "phrase"], "left")
             free = F.col("covering").isNull() | (100 * F.col("covering") < covered_percent * F.col("a"))
             phrases = phrases.where(free).drop("covering")
         found.append(phrases)
