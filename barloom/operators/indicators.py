@@ -6,8 +6,9 @@ sort for the whole table.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import schema as S
@@ -17,6 +18,8 @@ from barloom.operators.rolling import series, trailing_sum, with_running_sums
 KEY = "stock_id"
 SMOOTHINGS = ("simple", "wilder")
 UNITS = 10**S.PRICE.scale
+# Rows that recursive smoothing folds into one map.
+BLOCK_ROWS = 64
 
 
 def price_deltas(bars: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def price_deltas(bars: DataFrame) -> DataFrame:
     return bars.withColumn("delta", F.col("close_price") - previous)
 
 
-def _price_units(bars: DataFrame) -> DataFrame:
+def _price_units(bars: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Closes as whole numbers of the smallest price step.
 
     Whole numbers make every sum and difference exact, and every quotient the double nearest to
@@ -33,7 +36,7 @@ def _price_units(bars: DataFrame) -> DataFrame:
     stays inside a long for any calendar-long series of prices up to hundreds of millions.
     """
     units = (F.col("close_price") * UNITS).cast("long")
-    return bars.select(*S.BAR_KEY, units.alias("units"))
+    return bars.select(*S.BAR_KEY, units.alias("units"), *carried)
 
 
 def _with_moves(units: DataFrame) -> DataFrame:
@@ -82,44 +85,85 @@ def relative_strength(
     return momentum(bars, warmup, smoothing).select(*S.BAR_KEY, f"rsi_{S.RSI_ROWS}")
 
 
-def momentum(bars: DataFrame, warmup: str = "null", smoothing: str = "simple") -> DataFrame:
-    """The full indicator table: one row per bar."""
+def momentum(
+    bars: DataFrame, warmup: str = "null", smoothing: str = "simple", carried: Sequence[str] = ()
+) -> DataFrame:
+    """The full indicator table: one row per bar, with the columns of the bars that are ``carried``."""
     if smoothing not in SMOOTHINGS:
         raise ValueError(f"smoothing must be one of {SMOOTHINGS}, not {smoothing!r}")
-    moves = _with_moves(_price_units(bars))
+    moves = _with_moves(_price_units(bars, carried))
     sums = with_running_sums(moves, KEY, ["units", "gain", "loss"])
-    simple = sums.select(*S.BAR_KEY, *(_sma(n, warmup) for n in S.SMA_ROWS), _rsi(warmup))
+    averages = [_sma(n, warmup) for n in S.SMA_ROWS]
+    simple = sums.select(*S.BAR_KEY, *averages, _rsi(warmup), *carried)
     if smoothing == "simple":
         return simple
-    smoothed = _wilder_rsi(moves)
+    smoothed = wilder_rsi(moves)
     return simple.drop(f"rsi_{S.RSI_ROWS}").join(smoothed, list(S.BAR_KEY))
 
 
-def _wilder_rsi(moves: DataFrame) -> DataFrame:
-    """RSI with recursive smoothing.
+def wilder_rsi(moves: DataFrame) -> DataFrame:
+    """RSI with recursive smoothing, from the gain and loss of every row.
 
-    Each value depends on the one before it, which no bounded frame expresses, so a stock's
-    series (bounded by the calendar) is folded in one vectorised pass.
+    Each mean is ``a * mean + b`` of the one before it. Such maps compose, so rows are folded in
+    blocks: a block becomes one map, the maps of a stock are composed in order (both are bounded by
+    the calendar), and the rows of every block are unrolled from the mean it begins with. The first
+    mean is the plain one of 14 changes; before it, and on a flat stretch, the value is NULL.
     """
     rows = S.RSI_ROWS
-    name = f"rsi_{rows}"
-
-    def smooth(values: pd.Series) -> pd.Series:
-        seed = values.iloc[1 : rows + 1].mean()
-        tail = values.iloc[rows:].copy()
-        tail.iloc[0] = seed
-        return tail.ewm(alpha=1.0 / rows, adjust=False).mean()
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("trade_date", ignore_index=True)
-        out = frame[list(S.BAR_KEY)].assign(**{name: float("nan")})
-        if len(frame) > rows:
-            gain, loss = smooth(frame["gain"]), smooth(frame["loss"])
-            moved = gain + loss
-            out.loc[rows:, name] = (100.0 * gain / moved).where(moved > 0)
-        return out
-
-    folded = moves.select(*S.BAR_KEY, "gain", "loss").groupBy("stock_id").applyInPandas(
-        fold, f"stock_id long, trade_date date, {name} double"
+    keep, sides = 1.0 - 1.0 / rows, ("gain", "loss")
+    numbered = moves.select(*S.BAR_KEY, *sides, F.row_number().over(series(KEY)).alias("number"))
+    first = F.col("number") <= rows + 1
+    # Block 0 is the stretch of the first mean; all others hold BLOCK_ROWS rows.
+    block = F.when(first, 0).otherwise(F.floor((F.col("number") - rows - 2) / BLOCK_ROWS) + 1)
+    entry = F.struct("trade_date", *(F.col(side).cast("double").alias(side) for side in sides))
+    blocks = (
+        numbered.withColumn("block", block.cast("int"))
+        .groupBy(KEY, "block")
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    )
+
+    def step(state: Column, entry: Column) -> Column:
+        return F.struct(*((state[s] * keep + entry[s] / rows).alias(s) for s in sides))
+
+    def folded(start: Column) -> Column:
+        return F.aggregate("entries", start, step)
+
+    nothing = F.struct(*(F.lit(0.0).alias(side) for side in sides))
+    plain = F.aggregate(
+        F.filter("entries", lambda entry: entry["gain"].isNotNull()),
+        nothing,
+        lambda state, entry: F.struct(*((state[s] + entry[s] / rows).alias(s) for s in sides)),
+    )
+    full = F.size("entries") == rows + 1
+    moved = F.when(F.col("block") == 0, F.when(full, plain)).otherwise(folded(nothing))
+    shrunk = F.when(F.col("block") == 0, F.lit(0.0)).otherwise(F.pow(F.lit(keep), F.size("entries")))
+    maps = blocks.withColumn("map", F.struct(shrunk.alias("a"), moved.alias("b")))
+
+    earlier = Window.partitionBy(KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.aggregate(
+        F.collect_list("map").over(earlier),
+        nothing,
+        lambda state, its: F.struct(*((its["a"] * state[s] + its["b"][s]).alias(s) for s in sides)),
+    )
+    each = F.struct(F.lit(None).cast("date").alias("trade_date"), *(F.lit(0.0).alias(s) for s in sides))
+
+    def append(done: Column, entry: Column) -> Column:
+        state = step(F.element_at(done, -1), entry)
+        return F.concat(done, F.array(F.struct(entry["trade_date"], *(state[s].alias(s) for s in sides))))
+
+    start = F.struct(each["trade_date"].alias("trade_date"), *(F.col("begun")[s].alias(s) for s in sides))
+    unrolled = F.slice(
+        F.aggregate("entries", F.array(start), append), 2, BLOCK_ROWS
+    )
+    last = F.struct(F.element_at("entries", -1)["trade_date"].alias("trade_date"), *(F.col("map.b")[s].alias(s) for s in sides))
+    before = F.transform(
+        F.col("entries"),
+        lambda entry: F.struct(entry["trade_date"].alias("trade_date"), *(F.lit(None).cast("double").alias(s) for s in sides)),
+    )
+    ready = F.concat(F.slice(before, 1, F.size("entries") - 1), F.array(last))
+    means = F.when(F.col("block") > 0, unrolled).when(full, ready).otherwise(before)
+    return (
+        maps.withColumn("begun", begun)
+        .select(KEY, F.inline(means))
+        .select(*S.BAR_KEY, ratio(F.col("gain") * 100, F.col("gain") + F.col("loss")).alias(f"rsi_{rows}"))
     )
-    return folded.withColumn(name, F.when(~F.isnan(name), F.col(name)))

@@ -25,38 +25,47 @@ def rebuild_all(warehouse: Warehouse) -> None:
     warehouse.write("pair_metrics", pair_metrics(bars, warehouse.table("stock_pairs")))
 
 
-def rebuild_tail(warehouse: Warehouse, loaded: DataFrame, batch: str | None = None) -> None:
+def rebuild_touched(warehouse: Warehouse, loaded: DataFrame, batch: str | None = None) -> None:
     """Derive the indicator rows that freshly stored bars changed, and merge them in.
 
-    The derived tables must have been in step with the prices before the load.
+    The derived tables must have been in step with the prices before the load. A changed bar
+    reaches a bounded number of later rows, so that only the stretches around the changed days are
+    read and only the periods of the rows they reach are rewritten, however old the days are.
     """
-    changed = tail.changed_stocks(loaded)
-    begin = changed.agg(F.min("first_date")).first()[0]
-    if begin is None:
-        return
-    stock_pairs = warehouse.table("stock_pairs")
-    pairs_changed = tail.changed_pairs(changed, stock_pairs)
+    folder = batch or new_folder(warehouse.spark, "touched")
+    changed = tail.changed_days(loaded)
+    spans = ((period, warehouse.period_end(period)) for period in warehouse.periods_of(loaded))
+    for number, (first, last) in enumerate(tail.clusters(spans)):
+        its = changed.where(F.col("trade_date").between(first, last))
+        _rebuild_near(warehouse, its, first, last, f"{folder}/{number}")
+    if batch is None:
+        discard(warehouse.spark, folder)
+
 
-    def since(name: str, touched: DataFrame, key: str, context: int) -> DataFrame:
-        """A table from the day on that gives every changed series its context."""
-        start = tail.context_start(
-            lambda first, last: warehouse.between(name, first, last).select(key, "trade_date"),
-            touched,
-            key,
-            context,
-            begin,
-            warehouse.oldest(name),
-        )
-        return warehouse.between(name, start, None)
+def _rebuild_near(warehouse: Warehouse, changed: DataFrame, first: date, last: date, folder: str) -> None:
+    def around(name: str, days: DataFrame, key: str, reach: int) -> DataFrame:
+        """The rows of a table that the changed series need and reach."""
 
-    bars = since("daily_prices", changed, "stock_id", tail.MOMENTUM_CONTEXT)
-    fresh = tail.momentum_tail(bars, changed)
-    warehouse.upsert("momentum_indicators", fresh, since=begin, batch=batch)
+        def stored(start: date | None, end: date | None) -> DataFrame:
+            return warehouse.between(name, start, end).select(key, "trade_date")
 
-    stored = since("pair_metrics", pairs_changed, "pair_id", tail.PAIR_CONTEXT)
-    bars = warehouse.between("daily_prices", begin, None)
-    fresh = tail.pair_tail(bars, stock_pairs, pairs_changed, stored)
-    warehouse.upsert("pair_metrics", fresh, since=begin, batch=batch)
+        newest = max(warehouse.periods(name), default=None)
+        start = tail.context_start(stored, days, key, reach, first, warehouse.oldest(name))
+        end = tail.reach_end(stored, days, key, reach, last, newest)
+        return warehouse.between(name, start, end)
+
+    def merge_in(name: str, fresh: DataFrame) -> None:
+        rows = warehouse.stage(f"fresh-{name}", fresh, folder)
+        warehouse.upsert(name, rows, batch=folder)
+
+    bars = around("daily_prices", changed, "stock_id", tail.MOMENTUM_REACH)
+    merge_in("momentum_indicators", tail.momentum_tail(bars, changed))
+
+    stock_pairs = warehouse.table("stock_pairs")
+    pairs_changed = tail.changed_pairs(changed, stock_pairs)
+    stored = around("pair_metrics", pairs_changed, "pair_id", tail.PAIR_REACH)
+    bars = warehouse.between("daily_prices", first, last)
+    merge_in("pair_metrics", tail.pair_tail(bars, stock_pairs, pairs_changed, stored))
 
 
 def store(
@@ -79,7 +88,7 @@ def store(
 
 def _apply(warehouse: Warehouse, stored: DataFrame, batch: str) -> None:
     warehouse.upsert("daily_prices", stored, batch=batch)
-    rebuild_tail(warehouse, stored, batch=batch)
+    rebuild_touched(warehouse, stored, batch=batch)
 
 
 def resume(warehouse: Warehouse) -> None:

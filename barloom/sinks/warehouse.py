@@ -7,7 +7,8 @@ it touches.
 
 from __future__ import annotations
 
-from datetime import date
+from collections.abc import Iterable
+from datetime import date, timedelta
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,6 +70,15 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.read(name).drop("period")
 
+    def of_periods(self, name: str, periods: Iterable[date]) -> DataFrame:
+        """The rows of some periods of a dated table; no other folder is listed."""
+        known = set(self.periods(name)).intersection(periods)
+        if not known:
+            return self.spark.createDataFrame([], self._schema(name))
+        paths = [f"{self.path(name)}/period={period.isoformat()}" for period in sorted(known)]
+        reader = self.spark.read.schema(self._schema(name)).option("basePath", self.path(name))
+        return reader.parquet(*paths)
+
     def between(
         self, name: str, first: Column | date | None, last: Column | date | None
     ) -> DataFrame:
@@ -123,26 +133,19 @@ class Warehouse:
         self,
         name: str,
         updates: DataFrame,
-        since: date | None = None,
         batch: str | None = None,
     ) -> None:
         """Merge updates (one row per key) into a dated table, period by period.
 
-        Only the periods of the updates are read and rewritten, or, when the caller knows that
-        no update is older than ``since``, the periods from there on. The merged periods are
-        first written beside the table and only then replace the old ones, so the table is never
-        read and overwritten at once. With a ``batch`` folder, a run that broke off in between is
+        Only the periods of the updates are read and rewritten. The merged periods are first
+        written beside the table and only then replace the old ones, so the table is never read
+        and overwritten at once. With a ``batch`` folder, a run that broke off in between is
         finished from its complete copy when it is run again.
         """
         key = DATED[name][1]
         staged = f"{batch}/{name}" if batch else new_folder(self.spark, f"staged-{name}")
         if not exists(self.spark, f"{staged}/_SUCCESS"):
-            current = self.read(name)
-            if since is not None:
-                touched = F.col("period") >= self.period(F.lit(since))
-            else:
-                touched = F.col("period").isin(self._periods(updates))
-            current = current.where(touched).drop("period")
+            current = self.of_periods(name, self.periods_of(updates)).drop("period")
             merged = merge(current, updates.select(current.columns), key)
             self._write(self._placed(name, merged), staged, "static")
         rows = self.spark.read.schema(self._schema(name)).parquet(staged)
@@ -182,7 +185,15 @@ class Warehouse:
             return LISTS[name]
         return T.StructType([*DATED[name][0], T.StructField("period", T.DateType())])
 
-    def _periods(self, rows: DataFrame) -> list[date]:
+    def period_end(self, period: date) -> date:
+        """The last day of a period, given by its first."""
+        if self.grain == "day":
+            return period
+        if self.grain == "year":
+            return period.replace(month=12, day=31)
+        return (period.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+
+    def periods_of(self, rows: DataFrame) -> list[date]:
         """The periods of some rows: no more than their calendar span holds."""
         periods = rows.select(self.period(F.col("trade_date")).alias("period")).distinct()
         return [row.period for row in periods.collect()]

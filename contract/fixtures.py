@@ -85,6 +85,25 @@ def asked(market: Market) -> DataFrame:
     return validate.asked(checked(market), market.last_date(), 14, active)
 
 
+def is_late() -> Column:
+    """The bars of every third stock on days of two stretches some years apart."""
+    early = F.col("trade_date").between("1995-03-01", "1995-03-20")
+    later = F.col("trade_date").between("1999-11-01", "1999-11-10")
+    return (F.col("stock_id") % 3 == 0) & (early | later)
+
+
+def delivered(market: Market, bars: DataFrame) -> DataFrame:
+    """Sound bars as they land."""
+    known = bars.join(market.stocks.select("stock_id", "symbol"), "stock_id")
+    landed_as = {"open": "open_price", "high": "high_price", "low": "low_price", "close": "close_price"}
+    return known.select(
+        "symbol",
+        F.col("trade_date").cast("timestamp_ntz").alias("ts"),
+        *(F.col(name).cast("double").alias(landed) for landed, name in landed_as.items()),
+        F.col("volume").cast("double").alias("volume"),
+    )
+
+
 def repeated(market: Market) -> tuple[DataFrame, DataFrame]:
     """Two deliveries in the order they land.
 

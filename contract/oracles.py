@@ -481,8 +481,11 @@ SELECT t.*, record.* FROM tables t, record""",
 loaded AS (
     SELECT stock_id, trade_date, close_c, close_c / 100.0::DOUBLE AS close_price, volume
     FROM checked
-    WHERE reason IS NULL AND trade_date >= (SELECT as_of FROM newest) - INTERVAL 1000 DAY
+    WHERE reason IS NULL
 ),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}
+SELECT * FROM tables""",
+    "late_bar_stored": f"""{_with(STOCKS, PAIRS, BARS)},
+loaded AS (SELECT * FROM bars),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}
 SELECT * FROM tables""",
     "duplicate_delivery": f"""{PRICES}
 SELECT stock_id, trade_date, open_c / 100.0::DOUBLE AS open_price,

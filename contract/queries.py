@@ -166,14 +166,14 @@ def _day_change(m: Market) -> DataFrame:
 
 def _momentum_tail(m: Market) -> DataFrame:
     """Stored indicators with the tail of the late changes merged in."""
-    changed = tail.changed_stocks(fixtures.raised(m))
+    changed = tail.changed_days(fixtures.raised(m))
     stored = indicators.momentum(fixtures.target(m))
     fresh = tail.momentum_tail(fixtures.merged(m), changed)
     return rounded(upsert.merge(stored, fresh), **SMA, rsi_14=2)
 
 
 def _pair_tail(m: Market) -> DataFrame:
-    changed = tail.changed_pairs(tail.changed_stocks(fixtures.raised(m)), m.stock_pairs)
+    changed = tail.changed_pairs(tail.changed_days(fixtures.raised(m)), m.stock_pairs)
     stored = pairs.pair_metrics(fixtures.target(m), m.stock_pairs)
     fresh = tail.pair_tail(fixtures.merged(m), m.stock_pairs, changed, stored)
     merged = upsert.merge(stored, fresh, S.PAIR_KEY)
@@ -257,11 +257,21 @@ def refresh_resumed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bulk_load_stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored tables after all landed bars of a thousand days were loaded into empty ones."""
+    """The stored tables after all landed bars were loaded into empty ones."""
     m = ticks.TickMarket(spark, folder)
     warehouse = _warehouse(spark, m, m.daily_prices.limit(0), "year")
     today = m.newest.first().last_date
-    maintain.bulk_load(warehouse, fixtures.landed(m), as_of=today, days=1000)
+    maintain.bulk_load(warehouse, fixtures.landed(m), as_of=today)
+    return _stored(warehouse)
+
+
+def late_bar_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored tables after bars that were missing in the middle of the history landed late."""
+    m = ticks.TickMarket(spark, folder)
+    missing = fixtures.is_late()
+    warehouse = _warehouse(spark, m, m.daily_prices.where(~missing), "month")
+    today = m.newest.first().last_date
+    maintain.bulk_load(warehouse, fixtures.delivered(m, m.daily_prices.where(missing)), as_of=today)
     return _stored(warehouse)
 
 
@@ -354,6 +364,7 @@ WRITES: dict[str, Query] = {
     "refresh_stored": refresh_stored,
     "refresh_resumed": refresh_resumed,
     "bulk_load_stored": bulk_load_stored,
+    "late_bar_stored": late_bar_stored,
     "duplicate_delivery": duplicate_delivery,
     "bar_quality_csv": bar_quality_csv,
     "refresh_errors": _over_market(

@@ -188,7 +188,7 @@ def test_broken_off_refresh_is_finished(spark, warehouse, monkeypatch):
     filled(spark, warehouse)
     batch = new_folder(spark, "batch")
     fresh = raw(spark, *landed(spark, 1, [5, 6], start=LENGTH), *landed(spark, 2, [5, 6], start=LENGTH))
-    monkeypatch.setattr(maintain, "rebuild_tail", lambda *a, **k: 1 / 0)
+    monkeypatch.setattr(maintain, "rebuild_touched", lambda *a, **k: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         maintain.refresh(warehouse, fresh, as_of=day(LENGTH + 1), batch=batch)
     monkeypatch.undo()
