@@ -12,6 +12,7 @@ from barloom.operators import lookup
 
 LANDED = {"open_price": "open", "high_price": "high", "low_price": "low", "close_price": "close"}
 
+BAD_ROW = "bad row"
 BAD_DATE = "bad date"
 BAD_PRICE = "bad price"
 BAD_OPEN = "open not positive"
@@ -82,12 +83,13 @@ def _with_values(raw: DataFrame, zone: str | None) -> DataFrame:
     ).withColumn("symbol", F.upper(F.trim("symbol")))
 
 
-def _reason() -> Column:
+def _reason(malformed: Column) -> Column:
     missing = F.col("open_price").isNull()
     for name in ("high_price", "low_price", "close_price"):
         missing = missing | F.col(name).isNull()
     return (
-        F.when(F.col("trade_date").isNull(), BAD_DATE)
+        F.when(malformed, BAD_ROW)
+        .when(F.col("trade_date").isNull(), BAD_DATE)
         .when(missing, BAD_PRICE)
         .when(F.col("open_price") <= 0, BAD_OPEN)
         .when(F.col("high_price") < F.col("low_price"), BAD_RANGE)
@@ -97,9 +99,13 @@ def _reason() -> Column:
 
 
 def check(raw: DataFrame, stocks: DataFrame, zone: str | None = None) -> DataFrame:
-    """Landed rows as table rows, with ``reason`` set on those that must not be stored."""
+    """Landed rows as table rows, with ``reason`` set on those that must not be stored.
+
+    Rows that a reader could not make out come with their text in ``bad_row``.
+    """
     resolved = lookup.stock_ids(_with_values(raw, zone), stocks)
-    return resolved.withColumn("reason", _reason())
+    malformed = F.col("bad_row").isNotNull() if "bad_row" in raw.columns else F.lit(False)
+    return resolved.withColumn("reason", _reason(malformed))
 
 
 def _skip(checked: DataFrame, unwanted: Column, reason: str) -> DataFrame:

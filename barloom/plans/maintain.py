@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from barloom.operators.lookup import active_universe
 from barloom.operators.pairs import pair_metrics
 from barloom.plans import reports
 from barloom.sinks.warehouse import Warehouse
-from barloom.sources.shared import discard, exists, new_folder
+from barloom.sources.landing import landed_files, read_landed
+from barloom.sources.shared import discard, exists, new_folder, shared_root
 
 
 def rebuild_all(warehouse: Warehouse) -> None:
@@ -98,6 +100,8 @@ def resume(warehouse: Warehouse) -> None:
         stored = spark.read.schema(S.DAILY_PRICES).parquet(f"{batch}/accepted")
         _apply(warehouse, stored, batch)
         warehouse.keep_rejects(spark.read.parquet(f"{batch}/rejects"), batch)
+        if exists(spark, f"{batch}/files/_SUCCESS"):
+            warehouse.take(spark.read.schema(S.LANDED_FILES).parquet(f"{batch}/files"), batch)
         warehouse.finish(batch)
         if own:
             discard(spark, batch)
@@ -159,3 +163,57 @@ def refresh(
     if batch is None:
         discard(spark, folder)
     return found, R.errors(kept)
+
+
+def untaken(warehouse: Warehouse, folder: str) -> tuple[list[str], str] | None:
+    """The files of a landing folder that were not taken in yet, and the batch folder they make.
+
+    A file counts by path, time and length, so one that was written anew is taken in again. The
+    batch is named by its files: repeated after a break it is the same batch.
+    """
+    spark = warehouse.spark
+    known = ["path", "modificationTime", "length"]
+    files = landed_files(spark, folder).join(warehouse.taken(), known, "left_anti")
+    rows = sorted(files.collect())  # the names that the reader is given anyway
+    if not rows:
+        return None
+    name = sha256("\n".join("|".join(map(str, row)) for row in rows).encode()).hexdigest()[:32]
+    batch = f"{shared_root(spark)}/intake-{name}"
+    warehouse.stage("files", spark.createDataFrame(rows, S.LANDED_FILES), batch)
+    return [row.path for row in rows], batch
+
+
+def _taken_in(warehouse: Warehouse, batch: str) -> None:
+    warehouse.take(warehouse.spark.read.schema(S.LANDED_FILES).parquet(f"{batch}/files"), batch)
+    discard(warehouse.spark, batch)
+
+
+def refresh_folder(
+    warehouse: Warehouse, folder: str, fmt: str = "parquet", **how: object
+) -> tuple[DataFrame, DataFrame]:
+    """``refresh`` from the files of a landing folder that no load has taken in yet.
+
+    Every file is read by one load, and its rows are rejected at most once. Files that land while
+    the tables are up to date wait for the next load.
+    """
+    resume(warehouse)
+    found = untaken(warehouse, folder)
+    if found is None:
+        return R.nothing_to_do(warehouse.spark)
+    paths, batch = found
+    landed = read_landed(warehouse.spark, paths, fmt)
+    record, messages = refresh(warehouse, landed, batch=batch, **how)
+    if not record.first().already_updated:
+        _taken_in(warehouse, batch)
+    return record, messages
+
+
+def bulk_load_folder(warehouse: Warehouse, folder: str, fmt: str = "parquet", **how: object) -> DataFrame:
+    """``bulk_load`` from the files of a landing folder that no load has taken in yet."""
+    resume(warehouse)
+    found = untaken(warehouse, folder)
+    if found is not None:
+        paths, batch = found
+        bulk_load(warehouse, read_landed(warehouse.spark, paths, fmt), batch=batch, **how)
+        _taken_in(warehouse, batch)
+    return reports.load_summary(warehouse.market())

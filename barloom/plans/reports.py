@@ -180,12 +180,7 @@ def rsi_patterns(market: Market) -> DataFrame:
 
 def latest_per_pair(market: Market) -> DataFrame:
     """Every pair's own newest row."""
-    day = F.col("trade_date")
-    return market.pair_metrics.groupBy("pair_id").agg(
-        F.max(day).alias("trade_date"),
-        F.max_by("price_ratio", day).alias("price_ratio"),
-        F.max_by("z_score", day).alias("z_score"),
-    )
+    return market.latest("pair_metrics", "pair_id").select(*S.PAIR_KEY, "price_ratio", "z_score")
 
 
 def all_pairs_status(market: Market) -> DataFrame:
@@ -249,9 +244,21 @@ def pair_history(
 
 def database_stats(market: Market) -> DataFrame:
     """Stocks, trading days and date range over the bars of listed stocks."""
-    listed = market.daily_prices.join(market.stocks.select("stock_id"), "stock_id", "left_semi")
+    listed = market.stocks.select("stock_id")
+    if market.summaries is not None:
+        rows = market.summaries.join(listed, "stock_id", "left_semi")
+        words = [f"days_{n}" for n in range(S.DAY_WORDS)]
+        together = rows.groupBy("period").agg(*(F.bit_or(word).alias(word) for word in words))
+        each = sum((F.bit_count(word) for word in words), F.lit(0))
+        days = together.agg(F.coalesce(F.sum(each), F.lit(0)).cast("long")).scalar()
+        return rows.agg(
+            F.count_distinct("stock_id").alias("stocks"),
+            F.first(days).alias("days"),
+            F.min("first_date").alias("from_date"),
+            F.max("last_date").alias("to_date"),
+        )
     day = F.col("trade_date")
-    return listed.agg(
+    return market.daily_prices.join(listed, "stock_id", "left_semi").agg(
         F.count_distinct("stock_id").alias("stocks"),
         F.count_distinct(day).alias("days"),
         F.min(day).alias("from_date"),
@@ -259,12 +266,22 @@ def database_stats(market: Market) -> DataFrame:
     )
 
 
-def load_summary(market: Market) -> DataFrame:
-    """Bars per listed stock; a stock without bars counts 0."""
+def _counted(market: Market) -> DataFrame:
+    """Bars per stock and the days of the first and the last, from the summaries if there are any."""
+    if market.summaries is not None:
+        return market.summaries.groupBy("stock_id").agg(
+            F.sum("bars").alias("bars"),
+            F.min("first_date").alias("from_date"),
+            F.max("last_date").alias("to_date"),
+        )
     day = F.col("trade_date")
-    counted = market.daily_prices.groupBy("stock_id").agg(
+    return market.daily_prices.groupBy("stock_id").agg(
         F.count("*").alias("bars"), F.min(day).alias("from_date"), F.max(day).alias("to_date")
     )
-    rows = market.stocks.select("stock_id", "symbol").join(counted, "stock_id", "left")
+
+
+def load_summary(market: Market) -> DataFrame:
+    """Bars per listed stock; a stock without bars counts 0."""
+    rows = market.stocks.select("stock_id", "symbol").join(_counted(market), "stock_id", "left")
     records = F.coalesce("bars", F.lit(0).cast("long")).alias("records")
     return _sorted(rows.select("symbol", records, "from_date", "to_date"), F.col("symbol"))

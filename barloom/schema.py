@@ -95,6 +95,28 @@ PAIR_METRICS = T.StructType(
     ]
 )
 
+# One row per stock and period: bars, their first and last day, and a bit for each day of the year.
+DAY_WORDS = 6
+SUMMARIES = T.StructType(
+    [
+        T.StructField("stock_id", T.LongType(), False),
+        T.StructField("bars", T.LongType()),
+        T.StructField("first_date", T.DateType()),
+        T.StructField("last_date", T.DateType()),
+        *(T.StructField(f"days_{n}", T.LongType()) for n in range(DAY_WORDS)),
+        T.StructField("period", T.DateType()),
+    ]
+)
+
+# Landed files that were taken in.
+LANDED_FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType(), False),
+        T.StructField("modificationTime", T.TimestampType(), False),
+        T.StructField("length", T.LongType(), False),
+    ]
+)
+
 # Bars as they land, before any check: every field may be missing or malformed.
 RAW_BARS = T.StructType(
     [

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from barloom import schema as S
 from barloom.functions.exact import anchor
 from barloom.operators.upsert import merge
-from barloom.sources.market import Market
+from barloom.sources.market import Market, newest_rows
 from barloom.sources.shared import (
     discard,
     exists,
@@ -120,14 +120,62 @@ class Warehouse:
             pair_metrics=self.table("pair_metrics"),
             newest=self.newest(),
             between=self.between,
+            latest=lambda name, key: self.latest(name, self.table("stock_pairs").select(key)),
+            summaries=self.summaries(),
         )
 
+    def latest(self, name: str, keys: DataFrame) -> DataFrame:
+        """The newest row of every key that has one, read from the newest period backwards.
+
+        Every step reads twice as many periods as the one before, of the keys not found yet only;
+        the walk ends when none is missing. What a step finds is written to shared storage, a row
+        per key. A key without rows makes the walk go on to the oldest period, once.
+        """
+        key = DATED[name][1][0]
+        missing, found = keys.select(key).distinct(), self.table(name).where(F.lit(False))
+        periods, folder = sorted(self.periods(name), reverse=True), new_folder(self.spark, "latest")
+        step = 1
+        while periods:
+            rows = self.of_periods(name, periods[:step]).drop("period").join(missing, key, "left_semi")
+            part = self.stage(str(step), newest_rows(rows, key), folder)
+            found = found.unionByName(part)
+            missing = missing.join(part, key, "left_anti")
+            if missing.isEmpty():
+                break
+            periods, step = periods[step:], 2 * step
+        return found
+
+    def summaries(self) -> DataFrame | None:
+        """The table of summaries, if the prices have one."""
+        if not exists(self.spark, self.path("summaries")):
+            return None
+        return self.spark.read.schema(S.SUMMARIES).parquet(self.path("summaries"))
+
+    def _summarise(self, prices: DataFrame, overwrite: str) -> None:
+        """Replace the summaries of the periods of some stored prices, which are all of them."""
+        day = F.dayofyear("trade_date") - 1
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), day % 64)
+
+        def word(n: int) -> Column:
+            return F.bit_or(F.when(F.floor(day / 64) == n, bit).otherwise(F.lit(0).cast("long")))
+
+        summed = prices.groupBy("stock_id", "period").agg(
+            F.count("*").alias("bars"),
+            F.min("trade_date").alias("first_date"),
+            F.max("trade_date").alias("last_date"),
+            *(word(n).alias(f"days_{n}") for n in range(S.DAY_WORDS)),
+        )
+        rows = summed.select(S.SUMMARIES.names).hint("rebalance", "period")
+        self._write(rows, self.path("summaries"), overwrite)
+
     def write_list(self, name: str, rows: DataFrame) -> None:
         rows.select(LISTS[name].names).write.mode("overwrite").parquet(self.path(name))
 
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace a whole dated table, which must not be an input of ``rows``."""
         self._write(self._placed(name, rows), self.path(name), "static")
+        if name == "daily_prices":
+            self._summarise(self.read(name), "static")
 
     def upsert(
         self,
@@ -150,6 +198,8 @@ class Warehouse:
             self._write(self._placed(name, merged), staged, "static")
         rows = self.spark.read.schema(self._schema(name)).parquet(staged)
         self._write(rows.sortWithinPartitions("period", *key), self.path(name), "dynamic")
+        if name == "daily_prices":
+            self._summarise(rows, "dynamic")
         if not batch:
             discard(self.spark, staged)
 
@@ -167,6 +217,16 @@ class Warehouse:
         rejects.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rejects.schema).parquet(path)
 
+    def taken(self) -> DataFrame:
+        """The landed files that were taken in."""
+        if not exists(self.spark, self.path("landed_files")):
+            return self.spark.createDataFrame([], S.LANDED_FILES)
+        return self.spark.read.schema(S.LANDED_FILES).parquet(f"{self.path('landed_files')}/*")
+
+    def take(self, files: DataFrame, batch: str) -> None:
+        """Enter the files of a batch as taken in; to enter them again changes nothing."""
+        files.write.mode("overwrite").parquet(f"{self.path('landed_files')}/{_entry(batch)}")
+
     def begin(self, batch: str, own: bool = False) -> None:
         """Enter a batch as pending: from here on its changes must be finished."""
         entry = f"{self.path('_pending')}/{_entry(batch)}"

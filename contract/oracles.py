@@ -222,12 +222,13 @@ SELECT stock_id, trade_date, {r2("rsi_14")} AS rsi_14 FROM momentum""",
 SELECT stock_id, trade_date, {r2("sma_20")} AS sma_20, {r2("sma_50")} AS sma_50,
        {r2("sma_200")} AS sma_200, {r2("rsi_14")} AS rsi_14
 FROM momentum""",
-    "pair_ratio": f"""{PRICES},{PAIRS}
-SELECT p.pair_id, a.trade_date,
-       {r4("a.close_price / nullif(b.close_price, 0)")} AS price_ratio
-FROM stock_pairs p
-JOIN bars a ON a.stock_id = p.stock_a_id
-JOIN bars b ON b.stock_id = p.stock_b_id AND b.trade_date = a.trade_date""",
+    "pair_ratio": f"""{PRICES},{PAIRS},
+leg_a AS MATERIALIZED (
+    SELECT p.pair_id, p.stock_b_id AS stock_id, a.trade_date, a.close_price AS close_a
+    FROM stock_pairs p JOIN bars a ON a.stock_id = p.stock_a_id
+)
+SELECT pair_id, trade_date, {r4("close_a / nullif(close_price, 0)")} AS price_ratio
+FROM leg_a JOIN bars USING (stock_id, trade_date)""",
     "pair_zscore": f"""{PAIRED}
 SELECT pair_id, trade_date, {r4("price_ratio")} AS price_ratio,
        {r4("ratio_sma_20")} AS ratio_sma_20, {r2("z_score")} AS z_score
@@ -584,5 +585,41 @@ FROM ratios GROUP BY pair_id""",
 }
 
 WRITES["bar_quality_csv"] = WRITES["bar_quality"]
+WRITES["landed_once"] = WRITES["refresh_skipped"]
+WRITES["csv_rejects"] = f"""{PRICES},{CHECKED}
+SELECT reason, count(*) AS rows FROM checked WHERE reason IS NOT NULL GROUP BY reason
+UNION ALL
+SELECT 'bad row', 2 * count(*) FROM checked WHERE symbol LIKE '%1'"""
+
+# The reports give the same from stored tables.
+STORED = {
+    "stored_oversold": READS["oversold"],
+    "stored_overbought": READS["overbought"],
+    "stored_trends": READS["long_term_trends"],
+    "stored_performance": READS["yearly_performance"],
+    "stored_rsi_patterns": READS["rsi_patterns"],
+    "stored_pairs_status": READS["all_pairs_status"],
+    "stored_pairs_high": READS["pairs_high"],
+    "stored_pairs_low": READS["pairs_low"],
+    "stored_pair_history": READS["pair_history"],
+    "stored_stats": READS["database_stats"],
+    "stored_summary": READS["load_summary"],
+}
+READS["yearly_performance_first"] = READS["yearly_performance"] + " LIMIT 150"
+READS["rsi_wilder"] = f"""{PRICES.replace("WITH ", "WITH RECURSIVE ", 1)},
+moves AS MATERIALIZED (
+    SELECT stock_id, trade_date, row_number() OVER w AS n, close_c - lag(close_c) OVER w AS d
+    FROM bars WINDOW w AS (PARTITION BY stock_id ORDER BY trade_date)
+),
+smoothed AS (
+    SELECT stock_id, 15::BIGINT AS n, sum(greatest(d, 0))::DOUBLE / 14 AS gain,
+           sum(greatest(-d, 0))::DOUBLE / 14 AS loss
+    FROM moves WHERE n BETWEEN 2 AND 15 GROUP BY stock_id HAVING count(*) = 14
+    UNION ALL
+    SELECT m.stock_id, m.n, (s.gain * 13 + greatest(m.d, 0)) / 14, (s.loss * 13 + greatest(-m.d, 0)) / 14
+    FROM smoothed s JOIN moves m ON m.stock_id = s.stock_id AND m.n = s.n + 1
+)
+SELECT m.stock_id, m.trade_date, {r2("100 * gain / nullif(gain + loss, 0)")} AS rsi_14
+FROM moves m LEFT JOIN smoothed s ON s.stock_id = m.stock_id AND s.n = m.n"""
 
-ALL = {**READS, **WRITES, **RULES}
+ALL = {**READS, **WRITES, **STORED, **RULES}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # The driver's bars cover 1995 to 2001.
 FROM_YEAR = 1996
 PAIR_NAME = "SYM0-SYM1"
+YEARLY_LIMIT = 150
 
 
 def doubles(frame: DataFrame, *names: str) -> DataFrame:
@@ -91,6 +92,11 @@ READS: dict[str, Query] = {
         )
     ),
     "rsi": _over_market(lambda m: rounded(indicators.relative_strength(m.daily_prices), rsi_14=2)),
+    "rsi_wilder": _over_market(
+        lambda m: rounded(
+            indicators.relative_strength(m.daily_prices, smoothing="wilder"), rsi_14=2
+        )
+    ),
     "momentum": _over_market(lambda m: rounded(m.momentum_indicators, **SMA, rsi_14=2)),
     "pair_ratio": _over_market(
         lambda m: rounded(pairs.pair_ratios(m.daily_prices, m.stock_pairs), price_ratio=4)
@@ -107,6 +113,9 @@ READS: dict[str, Query] = {
     "pairs_high_all": _over_market(lambda m: reports.pairs_high(m, m.last_date(), limit=None)),
     "pairs_low_all": _over_market(lambda m: reports.pairs_low(m, m.last_date(), limit=None)),
     "yearly_performance": _over_market(lambda m: reports.yearly_performance(m, FROM_YEAR)),
+    "yearly_performance_first": _over_market(
+        lambda m: reports.yearly_performance(m, FROM_YEAR, limit=YEARLY_LIMIT)
+    ),
     "first_last_in_year": _over_market(
         lambda m: doubles(reports.first_last_in_year(m, FROM_YEAR), "first_close", "last_close")
     ),
@@ -189,6 +198,22 @@ def _warehouse(spark: SparkSession, m: Market, prices: DataFrame, grain: str) ->
     return warehouse
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _stored_market(spark: SparkSession, folder: str) -> Market:
+    """The stored tables of all bars, by month; made once in a session."""
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _stores:
+        m = ticks.TickMarket(spark, folder)
+        _stores[name] = _warehouse(spark, m, m.daily_prices, "month").root
+    return Warehouse(spark, _stores[name], "month").market()
+
+
+def _over_stored(plan: Callable[[Market], DataFrame]) -> Query:
+    return lambda spark, folder: plan(_stored_market(spark, folder))
+
+
 def stored_overview(spark: SparkSession, folder: str) -> DataFrame:
     """The overview from stored tables, read from the newest period alone."""
     m = ticks.TickMarket(spark, folder)
@@ -275,6 +300,17 @@ def late_bar_stored(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(warehouse)
 
 
+def landed_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The rejects after two refreshes over one landing folder, which takes each file in once."""
+    warehouse, m, today = _week_behind(spark, folder)
+    landing = new_folder(spark, "landing")
+    fixtures.landed(m).repartitionByRange(4, "ts").write.parquet(landing)
+    maintain.refresh_folder(warehouse, landing, as_of=today, days=14)
+    maintain.refresh_folder(warehouse, landing, as_of=today + timedelta(days=1), days=14)
+    rejects = spark.read.parquet(f"{warehouse.path('rejects')}/*")
+    return rejects.groupBy("reason").agg(F.count("*").alias("rows"))
+
+
 def duplicate_delivery(spark: SparkSession, folder: str) -> DataFrame:
     """Bars of two deliveries that repeat keys within a file and across files."""
     m = ticks.TickMarket(spark, folder)
@@ -286,14 +322,24 @@ def duplicate_delivery(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bar_quality_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Bars checked after a round through CSV, where volumes have decimals, gaps and NaN."""
+    """Bars checked after a round through CSV files in three column orders, with malformed rows
+    between them; volumes have decimals, gaps and NaN."""
     m = ticks.TickMarket(spark, folder)
     landing = new_folder(spark, "landing-csv")
-    fixtures.landed(m).write.option("header", True).csv(landing)
+    fixtures.land_csv(m, landing)
     checked = validate.check(read_landed_csv(spark, landing), m.stocks)
     return _doubled_bars(validate.accepted(checked))
 
 
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows of CSV files in three column orders are refused, and why."""
+    m = ticks.TickMarket(spark, folder)
+    landing = new_folder(spark, "landing-csv")
+    fixtures.land_csv(m, landing)
+    rejects = validate.rejected(validate.check(read_landed(spark, landing, "csv"), m.stocks))
+    return rejects.groupBy("reason").agg(F.count("*").alias("rows"))
+
+
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     """A report written as CSV and read back."""
     m = ticks.TickMarket(spark, folder)
@@ -367,6 +413,8 @@ WRITES: dict[str, Query] = {
     "late_bar_stored": late_bar_stored,
     "duplicate_delivery": duplicate_delivery,
     "bar_quality_csv": bar_quality_csv,
+    "csv_rejects": csv_rejects,
+    "landed_once": landed_once,
     "refresh_errors": _over_market(
         lambda m: refresh.errors(validate.rejected(fixtures.asked(m)))
     ),
@@ -394,4 +442,20 @@ RULES: dict[str, Query] = {
     ),
 }
 
-ALL: dict[str, Query] = {**READS, **WRITES, **RULES}
+STORED: dict[str, Query] = {
+    "stored_oversold": _over_stored(lambda m: reports.oversold(m, m.last_date())),
+    "stored_overbought": _over_stored(lambda m: reports.overbought(m, m.last_date())),
+    "stored_trends": _over_stored(reports.long_term_trends),
+    "stored_performance": _over_stored(lambda m: reports.yearly_performance(m, FROM_YEAR)),
+    "stored_rsi_patterns": _over_stored(reports.rsi_patterns),
+    "stored_pairs_status": _over_stored(reports.all_pairs_status),
+    "stored_pairs_high": _over_stored(lambda m: reports.pairs_high(m, m.last_date())),
+    "stored_pairs_low": _over_stored(lambda m: reports.pairs_low(m, m.last_date())),
+    "stored_pair_history": _over_stored(
+        lambda m: reports.pair_history(m, m.last_date(), days=365, pair_name=PAIR_NAME)
+    ),
+    "stored_stats": _over_stored(reports.database_stats),
+    "stored_summary": _over_stored(reports.load_summary),
+}
+
+ALL: dict[str, Query] = {**READS, **WRITES, **STORED, **RULES}
