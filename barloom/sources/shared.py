@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -23,9 +25,25 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_listeners: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_root(spark)}/{purpose}-{uuid4().hex}"
+    path = f"{shared_root(spark)}/{purpose}-{uuid4().hex}"
+    for names in _listeners:
+        names.append(path)
+    return path
+
+
+@contextmanager
+def recorded_folders(names: list[str]) -> Iterator[None]:
+    """Add the folders made meanwhile to ``names``, so that who asked for the work can discard them."""
+    _listeners.append(names)
+    try:
+        yield
+    finally:
+        _listeners.remove(names)
 
 
 def _file_system(spark: SparkSession, path: str):
