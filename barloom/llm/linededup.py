@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import SPACES, let
+from barloom.llm.common import SPACES, let, staged
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BITS = 64
+SALTS = 64
 DOCUMENT = ("doc_id", "text_hash")
 
 
@@ -46,7 +47,7 @@ def dropped_lines(
     is a key and a text: repeated rows count once, null keys with different texts are different
     documents. Null and empty texts are one empty line, which is never dropped.
     """
-    lines = (
+    hashes = (
         _named(docs, text, key)
         .select(*DOCUMENT, F.posexplode(F.split("body", "\n")).alias("at", "line"))
         .select(*DOCUMENT, "at", line_key(F.col("line")).alias("line_key"))
@@ -57,6 +58,10 @@ def dropped_lines(
             *DOCUMENT,
             "at",
         )
+    )
+    # Texts are split and hashed once; sampling, counting and marking read the hashes.
+    lines = (
+        staged(hashes, "lines")
         .repartitionByRange("h1", *DOCUMENT)
         .sortWithinPartitions("h1", "h2", *DOCUMENT, "at")
     )
@@ -68,9 +73,13 @@ def dropped_lines(
         .agg(F.count("*").alias("documents"))
         .where(F.col("documents") >= min_docs)
     )
+    # A line that a third of all documents share is marked by several tasks.
+    spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.col("text_hash"), F.lit(SALTS)).cast("int")
     word = (F.col("at") / BITS).cast("int")
     return (
-        lines.join(frequent, ["h1", "h2"], "left_semi")
+        lines.withColumn("salt", salt)
+        .join(spread, ["h1", "h2", "salt"], "left_semi")
         .withColumn("word", word)
         .withColumn("bit", F.expr(f"shiftleft(1L, at % {BITS})"))
         .groupBy(*DOCUMENT, "word")
