@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import chain
 
@@ -24,16 +24,30 @@ from barloom.sources.shared import new_folder
 
 END = 0
 BLOCK_IDS = 1 << 19
-UNITS = 400_000
+UNITS = 600_000
 JOINED = 2_000
 MANIFEST = "part int, file string, offset long, length long, first long, n_ids long"
 
 
+class Numbers(dict):
+    """Units by number; new ones get the next number and wait to be learned."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.waiting.append(unit)
+        return number
+
+
 class Encoder:
     """A tokenizer file and the ids of the units it has met, as little-endian 16 or 32 bits.
 
-    Units are remembered in two generations of bounded size: when the younger is full it becomes
-    the older, and what is met again moves up, so that common units stay.
+    Texts become the numbers of their units, one look-up each; the ids of all units lie in one
+    pool, from which those of a batch are gathered at once. When ``UNITS`` are known the encoder
+    starts anew.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,51 +58,84 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.marks = [token.content for token in added.values()]
         self.mark = min((key for key, token in added.items() if token.special), default=None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        # Byte-level tokens have one character for each byte they stand for.
+        self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.widths[number] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = Numbers()
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pool = np.empty(0, dtype=self.kind)
+        self.starts, self.lengths = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Units that are new are given to the tokenizer together."""
+        if len(self.numbers) >= UNITS:
+            self._forget()
         parts = [units(text) for text in texts]
-        every = list(chain.from_iterable(parts))
-        if len(self.known) > UNITS:
-            self.older, self.known = self.known, {}
+        sizes = np.array([len(part) for part in parts], dtype=np.int64)
+        every = map(self.numbers.__getitem__, chain.from_iterable(parts))
+        numbers = np.fromiter(every, dtype=np.int64, count=int(sizes.sum()))
+        self._grow()
+        lengths = self.lengths[numbers]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        shift = np.repeat(self.starts[numbers] - ends[:-1], lengths)
+        data = self.pool[shift + np.arange(len(shift))].tobytes()
+        borders = (ends[np.concatenate([[0], np.cumsum(sizes)])] * self.pool.itemsize).tolist()
+        return [data[begin:end] for begin, end in zip(borders, borders[1:])]
+
+    def _grow(self) -> None:
+        """Learn the units that wait, and put their ids into the pool."""
+        new, self.numbers.waiting = self.numbers.waiting, []
+        if not new:
+            return
+        cut = [framed(unit) for unit in new]
         known = self.known
-        cut = {unit: framed(unit) for unit in self._missing(every)}
-        self._learn(self._missing(chain.from_iterable(cut.values())))
-        for unit, pieces in cut.items():
-            if len(pieces) > 1:
-                known[unit] = b"".join(map(known.__getitem__, pieces))
-        return [b"".join(map(known.__getitem__, part)) for part in parts]
-
-    def _missing(self, wanted: Iterable[str]) -> list[str]:
-        """The units that no generation knows; those of the older one move up."""
-        new = []
-        for unit in {unit for unit in wanted if unit not in self.known}:
-            ids = self.older.get(unit)
-            if ids is None:
-                new.append(unit)
-            else:
-                self.known[unit] = ids
-        return new
+        self._learn(list(set(chain.from_iterable(cut)).difference(known)))
+        ids = [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        lengths = np.array([len(part) for part in ids], dtype=np.int64) // self.pool.itemsize
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), dtype=self.kind))
 
     def _learn(self, new: list[str]) -> None:
-        """Have the library encode new units: many in one text, set apart by a special string,
-        which it cuts out before it looks at what stands on either side."""
-        plain = [u for u in new if not any(mark in u for mark in self.marks)] if self.marks else []
+        """Have the library encode new units: many in one text, parted again by the bytes of its
+        tokens.
+
+        Words behind one blank are parts of their own to the pre-tokenizer, so they need nothing
+        between them; other units are set apart by a special string, which it cuts out before it
+        looks at what stands on either side.
+        """
+        words = [unit for unit in new if is_word(unit)]
+        for start in range(0, len(words), JOINED):
+            some = words[start : start + JOINED]
+            ids = self._ids(["".join(some)])[0]
+            at = np.cumsum(self.widths[ids])
+            wanted = np.cumsum([len(word.encode()) for word in some])
+            ends = np.searchsorted(at, wanted)
+            if at[-1] != wanted[-1] or not np.array_equal(at[ends], wanted):
+                continue  # parted otherwise than supposed: left to the plain way below
+            self._keep(some, ids, np.append(0, ends[:-1] + 1), ends + 1)
+        plain = [unit for unit in new if unit not in self.known]
+        plain = [u for u in plain if not any(mark in u for mark in self.marks)] if self.marks else []
         for start in range(0, len(plain) if self.mark is not None else 0, JOINED):
             some = plain[start : start + JOINED]
             text = self.tokenizer.id_to_token(self.mark).join(some)
             ids = self._ids([text])[0]
             ends = np.flatnonzero(ids == self.mark)
-            data, size = ids.tobytes(), ids.itemsize
-            begins = [0, *((ends + 1) * size).tolist()]
-            for unit, begin, end in zip(some, begins, [*(ends * size).tolist(), len(data)]):
-                self.known[unit] = data[begin:end]
+            self._keep(some, ids, np.append(0, ends + 1), np.append(ends, len(ids)))
         rest = [unit for unit in new if unit not in self.known]
         for unit, ids in zip(rest, self._ids(rest)):
             self.known[unit] = ids.tobytes()
 
+    def _keep(self, some: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        data, size = ids.tobytes(), ids.itemsize
+        for unit, begin, end in zip(some, (begins * size).tolist(), (ends * size).tolist()):
+            self.known[unit] = data[begin:end]
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(encoding.ids, dtype=self.kind) for encoding in found]
@@ -97,13 +144,18 @@ class Encoder:
 _FRAMED = re.compile(r"( |\n|)([^\W\d_]+)([^\w\s]*)").fullmatch
 
 
+def is_word(unit: str) -> bool:
+    """Whether a unit is a blank and letters; the pre-tokenizer cuts before and behind it."""
+    return unit[:1] == " " and unit[1:].isalpha()
+
+
 def framed(unit: str) -> tuple[str, ...]:
     """A word without the line break before it and the marks behind it, and these.
 
     The pre-tokenizer cuts behind a line break that a letter follows, and between letters and
     marks. Units that look otherwise stay whole.
     """
-    match = _FRAMED(unit)
+    match = None if is_word(unit) else _FRAMED(unit)
     if match is None:
         return (unit,)
     before, letters, behind = match.groups()
@@ -129,9 +181,17 @@ def vocabulary_size(path: str) -> int:
     return max([*config["model"]["vocab"].values(), *added]) + 1
 
 
-def token_table(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, ids)`` of every row of ``docs``; null and empty texts have no ids."""
+def token_table(
+    docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", order: Sequence[str] = ()
+) -> DataFrame:
+    """``(doc_id, ids)`` of every row of ``docs``; null and empty texts have no ids.
+
+    The columns named in ``order`` are kept as ``order_0`` and so on.
+    """
     ship(docs.sparkSession)
+    kept = [F.col(name).alias(f"order_{n}") for n, name in enumerate(order)]
+    schema = docs.select(F.col(key).cast("long").alias("doc_id"), *kept, F.lit(b"").alias("ids")).schema
+    names = [field.name for field in schema]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
@@ -139,13 +199,12 @@ def token_table(docs: DataFrame, vocabulary: str, text: str = "text", key: str =
             for start in range(0, batch.num_rows, 256):
                 some = batch.slice(start, 256)
                 ids = known.encode(some.column("body").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
-                )
+                columns = [some.column(name) for name in names[:-1]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=names)
 
     body = F.coalesce(F.col(text), F.lit("")).alias("body")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), body)
-    return staged(rows.mapInArrow(encode, "doc_id long, ids binary"), "token-ids")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), *kept, body)
+    return staged(rows.mapInArrow(encode, schema), "token-ids")
 
 
 def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
@@ -172,14 +231,21 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, vocabulary: str, limit: int = 16, text: str = "text", key: str = "doc_id"
+    docs: DataFrame,
+    folder: str,
+    vocabulary: str,
+    limit: int = 16,
+    text: str = "text",
+    key: str = "doc_id",
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """Write every document's ids and an end id in ascending order of the key; returns the manifest.
 
     ``folder`` gets the codebook and one file of blocks per task. Rows without a key come first;
-    rows with equal keys are ordered by a hash of their ids. An empty table writes the codebook alone.
+    rows with equal keys are ordered by a hash of their ids. An empty table writes the codebook
+    alone. Columns named in ``order`` go before the key.
     """
-    tokens = token_table(docs, vocabulary, text, key)
+    tokens = token_table(docs, vocabulary, text, key, order)
     size = vocabulary_size(vocabulary)
     lengths = code_lengths(count_ids(tokens, size), max(limit, (size - 1).bit_length()))
     files, root = opened(folder)
@@ -221,11 +287,11 @@ def write_tokens(
             columns[0] = columns[0].cast(pa.int32())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    order = ["doc_id", "same"]
+    places = [*(f"order_{n}" for n in range(len(order))), "doc_id", "same"]
     blocks = (
         tokens.withColumn("same", F.xxhash64("ids"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .repartitionByRange(*places)
+        .sortWithinPartitions(*places)
         .select("doc_id", "ids")
         .mapInArrow(write, MANIFEST)
     )
@@ -280,8 +346,10 @@ def read_tokens(manifest: DataFrame, folder: str, stretch: int = 16 << 20) -> Da
     )
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
+def round_trip(
+    spark: SparkSession, docs: DataFrame, vocabulary: str, order: Sequence[str] = ()
+) -> DataFrame:
     """Documents written as token ids in the shared folder and read back."""
     folder = new_folder(spark, "token-files")
-    manifest = write_tokens(docs, folder, vocabulary)
+    manifest = write_tokens(docs, folder, vocabulary, order=order)
     return read_tokens(manifest, folder)
