@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,22 @@ def staged(rows: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows with ``(part, file, row)``, the place where each one is written.
+
+    Places are those of the Parquet files that are read, and so they grow in the order in which
+    the files were written. Rows that do not come from files are staged and numbered.
+    """
+    try:
+        found = rows.select("*", "_metadata.file_name", "_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        numbered = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        return numbered.select("*", F.lit(0).cast("long").alias("part"), F.lit("").alias("file"))
+    part = F.regexp_extract("file_name", r"^part-(\d+)", 1).try_cast("long")
+    renamed = found.withColumnsRenamed({"file_path": "file", "row_index": "row"})
+    return renamed.withColumn("part", part).drop("file_name")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python this package, once per application."""
     context = spark.sparkContext

@@ -87,6 +87,7 @@ def mix(
     key: str = "doc_id",
     source: str = "source",
     carried: Sequence[str] = (),
+    size: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: how often and when the mix takes it.
 
@@ -95,14 +96,18 @@ def mix(
     target to the word; with ``whole`` a copy is taken as a whole if its middle lies before the
     target. A null source is a source, a null text has no words and is never taken, repeated rows
     stand behind one another, and an empty table gives no row. Columns named in ``carried`` are
-    kept, others are not read.
+    kept, others are not read. Where the words have been counted, ``size`` names their column; the
+    text is not read then, and rows of one key are told apart by what is carried.
     """
+    words = count_words(F.col(text)) if size is None else F.col(size)
+    same = F.xxhash64(text) if size is None else F.xxhash64(*carried)
+    name = F.coalesce(F.col(key).cast("string"), same.cast("string"))
     rows = docs.select(
         F.col(key).alias("doc_id"),
         F.col(source).alias("source"),
-        count_words(F.col(text)).alias("size"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("turn"),
-        F.xxhash64(text).alias("same"),
+        words.alias("size"),
+        F.md5(name.cast("binary")).alias("turn"),
+        same.alias("same"),
         *(F.col(name).alias(f"carried_{name}") for name in carried),
     ).withColumn("bucket", F.substring("turn", 1, 3))
 

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barloom.llm import decontam, mix, neardup, toxicity
+from barloom.llm.common import staged
 from tests.llm.helpers import documents, frame, odd_rows, prose, row
 
 FOLDER = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ def test_stages_take_effect(spark):
     kept = {}
     stages = dict(corpus_pipeline.STAGES)
     for name in ("toxicity", "near-duplicates", "decontamination", "mixing"):
-        docs = stages[name](spark, docs, FOLDER).cache()
+        docs = staged(stages[name](spark, docs, FOLDER), "stage")
         assert docs.columns == columns
         kept[name] = [r.asDict() for r in docs.collect()]
         assert kept[name]
@@ -59,7 +60,7 @@ def test_odd_rows_pass_every_stage(spark):
     wanted = list(corpus_pipeline.COLUMNS)
     docs = frame(spark, odd_rows())
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, FOLDER)
+        docs = staged(stage(spark, docs, FOLDER), "stage")
         assert docs.columns == wanted
     assert docs.where(F.col("doc_id").isNull()).count() >= 1
     assert corpus_pipeline.write_token_files(spark, docs, FOLDER).count() == docs.count()
@@ -82,5 +83,29 @@ def test_near_copies_by_row(spark):
 def test_empty_table_stays_empty(spark):
     docs = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, FOLDER)
+        docs = staged(stage(spark, docs, FOLDER), "stage")
     assert docs.collect() == []
+
+
+def test_token_files_stand_in_training_order(spark):
+    """The files hold the copies by the positions that the mix gave them."""
+    docs = documents(spark)
+    mixed = staged(corpus_pipeline.mix_sources(spark, docs, FOLDER), "stage")
+    found = corpus_pipeline.write_token_files(spark, mixed, FOLDER).collect()
+    got = [r.doc_id for r in sorted(found, key=lambda r: r.start)]
+    due = sorted((c.position, r.doc_id) for r in mix.mix(docs, whole=True).collect() for c in r.copies)
+    assert got == [doc_id for _, doc_id in due]
+    assert got != sorted(got)
+    numbered = mix.mix(docs.repartition(3), whole=True).where("size(copies) = 2").count()
+    assert numbered > 0 and len(got) > len(set(got))
+
+
+def test_stages_discard_the_scratch_of_the_one_before(spark):
+    from barloom.sources.shared import exists
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = staged(stages["mixing"](spark, documents(spark), FOLDER), "stage")
+    names = list(corpus_pipeline._scratch[spark.sparkContext.applicationId])
+    assert names and all(exists(spark, name) for name in names)
+    assert staged(stages["token files"](spark, docs, FOLDER), "stage").count() == docs.count()
+    assert not any(exists(spark, name) for name in names)
