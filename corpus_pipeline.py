@@ -1,17 +1,22 @@
 """From raw documents to token files: five stages, each written and read again by the next.
 
 Every stage gets all its predecessor kept and, but for the last, returns the columns of
-``documents``. Rows without text or key pass through all stages; an empty table stays empty.
+``documents``. Rows without text or key pass through all stages; an empty table stays empty. What
+a stage returns must be written before the next one is called, which discards its scratch folders.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import binary, decontam, mix, neardup, toxicity
-from barloom.llm.common import staged, table
+from barloom.llm.common import count_words, placed, staged, table
+from barloom.sources.shared import discard, recorded_folders
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: SQL can express neither the classifier nor the tokenizer.
@@ -56,22 +61,53 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of whole documents as the mix takes them, in training order."""
-    carried = [name for name in COLUMNS if name not in ("doc_id", "source")]
-    return mix.training_order(mix.mix(docs, whole=True, carried=carried)).select(*COLUMNS)
+    """Copies of whole documents as the mix takes them, in training order.
+
+    The mix sees the number of words of each row and where it lies; the texts join its copies, once,
+    and are range-sorted by position. The order of the rows written is the order of training.
+    """
+    rows = placed(docs)
+    place = ["file", "row"]
+    sizes = staged(rows.select("doc_id", "source", count_words(F.col("text")).alias("size"), *place), "sizes")
+    copies = mix.mix(sizes, whole=True, size="size", carried=place).select(
+        *(F.col(name).alias(f"its_{name}") for name in place), F.explode("copies.position").alias("position")
+    )
+    its = (F.col("file") == F.col("its_file")) & (F.col("row") == F.col("its_row"))
+    order = ["position", "doc_id", *place]
+    taken = rows.select(*COLUMNS, *place).join(staged(copies, "copies"), its)
+    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select(*COLUMNS)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files of all copies, read back: one row per copy."""
-    return binary.round_trip(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The token files of all copies, in the order in which their rows were written, read back: one
+    row per copy."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return binary.round_trip(spark, placed(docs), vocabulary, order=["part", "file", "row"])
+
+
+_scratch: dict[str, list[str]] = {}
+
+
+def tidy(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that first discards what the one before it staged: its output has been written since."""
+
+    @wraps(stage)
+    def tidied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = _scratch.setdefault(spark.sparkContext.applicationId, [])
+        while names:
+            discard(spark, names.pop())
+        with recorded_folders(names):
+            return stage(spark, docs, sf_dir)
+
+    return tidied
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near-duplicates", drop_near_copies),
-    ("decontamination", drop_leaks),
-    ("mixing", mix_sources),
-    ("token files", write_token_files),
+    ("toxicity", tidy(drop_toxic)),
+    ("near-duplicates", tidy(drop_near_copies)),
+    ("decontamination", tidy(drop_leaks)),
+    ("mixing", tidy(mix_sources)),
+    ("token files", tidy(write_token_files)),
 ]
 
 
