@@ -165,6 +165,12 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col("reason").isNotNull()).select(*REJECT_COLUMNS)
 
 
+def outcome(judged: DataFrame) -> DataFrame:
+    """Judged rows with what storing and rejecting them needs."""
+    version = [name for name in ("version",) if name in judged.columns]
+    return judged.select("symbol", *S.BAR_KEY, *S.VALUE_COLUMNS, *version, "reason")
+
+
 def refused(rejects: DataFrame) -> DataFrame:
     """The rejects that are wrong, not merely skipped."""
     return rejects.where(~F.col("reason").isin(*SKIPPED))

@@ -72,20 +72,23 @@ def _rebuild_near(warehouse: Warehouse, changed: DataFrame, first: date, last: d
 
 def store(
     warehouse: Warehouse, judged: DataFrame, batch: str, own: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """Store the accepted rows of a delivery; returns what was stored and what was not.
-
-    Both are written to the batch folder first, and the folder is entered as pending before any
-    table changes. A run that broke off is finished from there by the next load, whoever starts
-    it; repeating a batch changes nothing. A folder that is the load's ``own`` is removed then.
+) -> tuple[DataFrame, DataFrame, dict[str, object]]:
+    """Store the accepted rows of a delivery; returns what was stored, what was not, and metrics.
+
+    The delivery is judged once: its rows are written to the batch folder with their reasons, the
+    accepted ones then with one row per key, and both writes observe what the record counts. The
+    folder is entered as pending before any table changes. A run that broke off is finished from
+    there by the next load, whoever starts it; repeating a batch changes nothing. A folder that is
+    the load's ``own`` is removed then.
     """
-    stored = warehouse.stage("accepted", upsert.one_per_key(validate.accepted(judged)), batch)
-    rejects = warehouse.stage("rejects", validate.rejected(judged), batch)
-    if not stored.isEmpty():
+    rows, left = warehouse.stage_counted("judged", validate.outcome(judged), batch, *R.left_out())
+    kept = upsert.one_per_key(validate.accepted(rows))
+    stored, written = warehouse.stage_counted("accepted", kept, batch, *R.written())
+    if written["rows"]:
         warehouse.begin(batch, own)
         _apply(warehouse, stored, batch)
         warehouse.finish(batch)
-    return stored, rejects
+    return stored, validate.rejected(rows), {**left, **written}
 
 
 def _apply(warehouse: Warehouse, stored: DataFrame, batch: str) -> None:
@@ -99,7 +102,8 @@ def resume(warehouse: Warehouse) -> None:
     for batch, own in warehouse.pending():
         stored = spark.read.schema(S.DAILY_PRICES).parquet(f"{batch}/accepted")
         _apply(warehouse, stored, batch)
-        warehouse.keep_rejects(spark.read.parquet(f"{batch}/rejects"), batch)
+        judged = spark.read.parquet(f"{batch}/judged")
+        warehouse.keep_rejects(validate.rejected(judged), batch)
         if exists(spark, f"{batch}/files/_SUCCESS"):
             warehouse.take(spark.read.schema(S.LANDED_FILES).parquet(f"{batch}/files"), batch)
         warehouse.finish(batch)
@@ -123,7 +127,7 @@ def bulk_load(
     checked = validate.check(landed, warehouse.table("stocks"), zone)
     judged = validate.asked(checked, F.lit(as_of or date.today()), days)
     folder = batch or new_folder(warehouse.spark, "load")
-    _, rejects = store(warehouse, judged, folder, batch is None)
+    _, rejects, _ = store(warehouse, judged, folder, batch is None)
     warehouse.keep_rejects(rejects, folder)
     if batch is None:
         discard(warehouse.spark, folder)
@@ -156,13 +160,11 @@ def refresh(
     asked = validate.asked(checked, today, days, active_universe(stocks))
     judged = validate.newer(asked, warehouse.table("daily_prices"), mode, warehouse.newest())
     folder = batch or new_folder(spark, "refresh")
-    stored, rejects = store(warehouse, judged, folder, batch is None)
-    record = R.result(stored, rejects, F.lit(False))
-    found = spark.createDataFrame(record.collect(), record.schema)  # one row
+    _, rejects, metrics = store(warehouse, judged, folder, batch is None)
     kept = warehouse.keep_rejects(rejects, folder)
     if batch is None:
         discard(spark, folder)
-    return found, R.errors(kept)
+    return R.record(spark, metrics), R.errors(kept)
 
 
 def untaken(warehouse: Warehouse, folder: str) -> tuple[list[str], str] | None:

@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from datetime import date, timedelta
 from hashlib import sha256
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,6 +211,19 @@ class Warehouse:
             rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def stage_counted(
+        self, name: str, rows: DataFrame, batch: str, *metrics: Column
+    ) -> tuple[DataFrame, dict[str, object]]:
+        """Staged rows and metrics of them, which the write observes as the rows pass by.
+
+        Only rows that were staged by an earlier run are read once more for it.
+        """
+        if exists(self.spark, f"{batch}/{name}/_SUCCESS"):
+            staged = self.stage(name, rows, batch)
+            return staged, staged.agg(*metrics).first().asDict()
+        seen = Observation()
+        return self.stage(name, rows.observe(seen, *metrics), batch), seen.get
+
     def keep_rejects(self, rejects: DataFrame, batch: str) -> DataFrame:
         """Rejects of a batch moved to the table of rejects, which keeps them by batch."""
         path = f"{self.path('rejects')}/{batch.rstrip('/').rsplit('/', 1)[-1]}"

@@ -153,12 +153,14 @@ def _judged(m: Market) -> DataFrame:
 
 
 def refresh_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The record of a refresh; its rows are judged once and then counted both ways."""
+    """The record of a refresh, observed while its judged rows are written."""
     m = ticks.TickMarket(spark, folder)
     store = Warehouse(spark, new_folder(spark, "judged"))
-    judged = store.stage("judged", _judged(m), new_folder(spark, "batch"))
+    metrics = (*refresh.written(F.col("reason").isNull()), *refresh.left_out())
+    judged = validate.outcome(_judged(m))
+    _, seen = store.stage_counted("judged", judged, new_folder(spark, "batch"), *metrics)
     already = refresh.gate(_newest(fixtures.target(m)), m.last_date()).first().already_updated
-    return refresh.result(validate.accepted(judged), validate.rejected(judged), F.lit(already))
+    return refresh.record(spark, seen, already)
 
 
 def _refresh_skipped(m: Market) -> DataFrame:
@@ -273,8 +275,8 @@ def refresh_resumed(spark: SparkSession, folder: str) -> DataFrame:
     )
     judged = validate.newer(checked, warehouse.table("daily_prices"), "global", warehouse.newest())
     batch = new_folder(spark, "refresh")
-    stored = warehouse.stage("accepted", upsert.one_per_key(validate.accepted(judged)), batch)
-    warehouse.stage("rejects", validate.rejected(judged), batch)
+    rows = warehouse.stage("judged", validate.outcome(judged), batch)
+    stored = warehouse.stage("accepted", upsert.one_per_key(validate.accepted(rows)), batch)
     warehouse.begin(batch)
     warehouse.upsert("daily_prices", stored, batch=batch)
     maintain.refresh(warehouse, landed, as_of=today, days=14)
