@@ -93,6 +93,19 @@ WITH texts AS (
 SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM failing
 """
 
+ABLATION = (
+    OP4[: OP4.rindex("SELECT *, failed & 3")].rstrip()
+    + """, rules(rule, bit) AS (
+  VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8),
+    ('word_length', 16), ('capitals', 32)
+), policies(policy, used) AS (VALUES ('base', 3), ('2', 63))
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit <> 0)::BIGINT AS failing,
+  count(*) FILTER (WHERE failed & used = bit)::BIGINT AS only_by_it
+FROM failing, policies JOIN rules ON used & bit <> 0
+GROUP BY policy, rule
+"""
+)
+
 _KEY = "translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9 = f"""
@@ -270,4 +283,5 @@ ORACLES: dict[str, str] = {
     "op10_warc_index_first": OP10,
     "op11_dialogue_repair": OP11,
     "op12_phrase_stripes": OP12,
+    "quality_ablation": ABLATION,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from barloom.llm import (
     toxicity,
     warc,
 )
-from barloom.llm.common import table
+from barloom.llm.common import staged, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 TOKEN_LIMIT = 1024
@@ -51,6 +52,15 @@ def op4_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(quality.ledger(table(spark, folder, "documents")), "2")
 
 
+def quality_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule of either policy removes, from one ledger that is written once."""
+    rows = staged(quality.ledger(table(spark, folder, "documents")), "ledger")
+    found = [
+        quality.ablation(rows, policy).withColumn("policy", F.lit(policy)) for policy in quality.POLICIES
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def op5_token_transducer(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, folder, "documents"), VOCABULARY)
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -110,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_dialogue_repair": op11_dialogue_repair,
     "op12_phrase_stripes": op12_phrase_stripes,
     "op13_language_models": op13_language_models,
+    "quality_ablation": quality_ablation,
 }
