@@ -82,8 +82,14 @@ class Warehouse:
     def between(
         self, name: str, first: Column | date | None, last: Column | date | None
     ) -> DataFrame:
-        """Rows of the days from ``first`` to ``last``, reading only their periods."""
-        rows = self.read(name)
+        """Rows of the days from ``first`` to ``last``, reading only their periods.
+
+        Between plain dates the periods are named, so that no other folder of the table is listed.
+        """
+        if all(day is None or isinstance(day, date) for day in (first, last)):
+            rows = self.of_periods(name, self._spanned(name, first, last))
+        else:
+            rows = self.read(name)
         if first is not None:
             first = anchor(first)
             rows = rows.where(F.col("period") >= self.period(first))
@@ -94,6 +100,14 @@ class Warehouse:
             rows = rows.where(F.col("trade_date") <= last)
         return rows.drop("period")
 
+    def _spanned(self, name: str, first: date | None, last: date | None) -> list[date]:
+        """The periods of a table that hold days from ``first`` to ``last``."""
+        return [
+            period
+            for period in self.periods(name)
+            if (first is None or self.period_end(period) >= first) and (last is None or period <= last)
+        ]
+
     def oldest(self, name: str) -> date | None:
         """The first day of the oldest period that holds rows."""
         return min(self.periods(name), default=None)
