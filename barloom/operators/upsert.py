@@ -11,20 +11,25 @@ from barloom import schema as S
 from barloom.operators import validate
 
 
-def one_per_key(rows: DataFrame, key: Sequence[str] = S.BAR_KEY) -> DataFrame:
+def one_per_key(
+    rows: DataFrame, key: Sequence[str] = S.BAR_KEY, versioned: bool = False
+) -> DataFrame:
     """One row per key from a delivery that may repeat keys.
 
     The highest ``version`` wins, as the sources number the rows in the order of arrival; each
     value is picked by it, which keeps the aggregate a hash aggregate. Rows without that column
     have no order of arrival, and the greater values win, so that the outcome never depends on how
     rows are dealt out. Copies are combined before the shuffle, so a key repeated without end
-    still sends one row per task.
+    still sends one row per task. ``versioned`` keeps the winner's version, null without one.
     """
     values = [name for name in rows.columns if name not in (*key, "version")]
     if "version" in rows.columns:
-        return rows.groupBy(*key).agg(*(F.max_by(name, "version").alias(name) for name in values))
+        picked = [F.max_by(name, "version").alias(name) for name in values]
+        kept = [F.max("version").alias("version")] if versioned else []
+        return rows.groupBy(*key).agg(*picked, *kept)
     best = F.max(F.struct(*values)).alias("best")
-    return rows.groupBy(*key).agg(best).select(*key, *(f"best.{name}" for name in values))
+    found = rows.groupBy(*key).agg(best).select(*key, *(f"best.{name}" for name in values))
+    return found.withColumn("version", F.lit(None).cast(S.VERSION)) if versioned else found
 
 
 def merge(target: DataFrame, updates: DataFrame, key: Sequence[str] = S.BAR_KEY) -> DataFrame:
@@ -32,10 +37,22 @@ def merge(target: DataFrame, updates: DataFrame, key: Sequence[str] = S.BAR_KEY)
 
     Both sides hold a key at most once. Each value is picked by side, so the aggregate keeps
     plain numbers and stays a hash aggregate that combines before the shuffle.
+
+    Where the target has a ``version``, an update that landed before the row it meets changes
+    nothing, so that the same deliveries leave the same table in whatever order they are merged.
+    An update without a version has no place in that order: it overwrites, and the row keeps its
+    version, so that no delivery older than the overwritten one comes back.
     """
-    values = [name for name in target.columns if name not in key]
+    values = [name for name in target.columns if name not in (*key, "version")]
     both = target.withColumn("side", F.lit(0)).unionByName(updates.withColumn("side", F.lit(1)))
-    return both.groupBy(*key).agg(*(F.max_by(name, "side").alias(name) for name in values))
+    if "version" not in target.columns:
+        return both.groupBy(*key).agg(*(F.max_by(name, "side").alias(name) for name in values))
+    # Of one version the update wins: the row was taken in again.
+    last = F.when(F.col("side") == 1, F.lit("9" * 38).cast(S.VERSION)).otherwise(F.lit(-1))
+    order = F.coalesce(F.col("version") * 2 + F.col("side"), last).cast(S.VERSION)
+    picked = (F.max_by(name, "order").alias(name) for name in values)
+    merged = both.withColumn("order", order).groupBy(*key)
+    return merged.agg(*picked, F.max("version").alias("version")).select(target.columns)
 
 
 def new_rows(

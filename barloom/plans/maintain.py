@@ -79,10 +79,11 @@ def store(
     accepted ones then with one row per key, and both writes observe what the record counts. The
     folder is entered as pending before any table changes. A run that broke off is finished from
     there by the next load, whoever starts it; repeating a batch changes nothing. A folder that is
-    the load's ``own`` is removed then.
+    the load's ``own`` is removed then. Bars that landed before the stored ones they meet count as
+    accepted and change nothing.
     """
     rows, left = warehouse.stage_counted("judged", validate.outcome(judged), batch, *R.left_out())
-    kept = upsert.one_per_key(validate.accepted(rows))
+    kept = upsert.one_per_key(validate.accepted(rows), versioned=True)
     stored, written = warehouse.stage_counted("accepted", kept, batch, *R.written())
     if written["rows"]:
         warehouse.begin(batch, own)
@@ -100,7 +101,7 @@ def resume(warehouse: Warehouse) -> None:
     """Finish loads that broke off after they began to change the tables."""
     spark = warehouse.spark
     for batch, own in warehouse.pending():
-        stored = spark.read.schema(S.DAILY_PRICES).parquet(f"{batch}/accepted")
+        stored = spark.read.schema(S.STORED_PRICES).parquet(f"{batch}/accepted")
         _apply(warehouse, stored, batch)
         judged = spark.read.parquet(f"{batch}/judged")
         warehouse.keep_rejects(validate.rejected(judged), batch)

@@ -67,6 +67,10 @@ DAILY_PRICES = T.StructType(
     ]
 )
 
+VERSION = T.DecimalType(38, 0)
+# As stored: with the number that tells when the row landed, null if it did not come from a file.
+STORED_PRICES = T.StructType([*DAILY_PRICES, T.StructField("version", VERSION)])
+
 MOMENTUM = T.StructType(
     [
         T.StructField("stock_id", T.LongType(), False),

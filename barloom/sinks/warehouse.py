@@ -30,10 +30,12 @@ from barloom.sources.shared import (
 
 GRAINS = ("year", "month", "day")
 DATED = {
-    "daily_prices": (S.DAILY_PRICES, S.BAR_KEY),
+    "daily_prices": (S.STORED_PRICES, S.BAR_KEY),
     "momentum_indicators": (S.MOMENTUM, S.BAR_KEY),
     "pair_metrics": (S.PAIR_METRICS, S.PAIR_KEY),
 }
+#: What dated tables carry beside their declared columns.
+HIDDEN = ("period", "version")
 LISTS = {"stocks": S.STOCKS, "stock_pairs": S.STOCK_PAIRS}
 
 
@@ -41,6 +43,14 @@ def _entry(batch: str) -> str:
     return sha256(batch.encode()).hexdigest()[:32]
 
 
+def _complete(name: str, rows: DataFrame) -> DataFrame:
+    """Rows with all stored columns of a dated table; those that have no version get a null."""
+    columns = DATED[name][0].names
+    if "version" in columns and "version" not in rows.columns:
+        rows = rows.withColumn("version", F.lit(None).cast(S.VERSION))
+    return rows.select(*columns)
+
+
 class Warehouse:
     """A folder with one Parquet table per name."""
 
@@ -60,7 +70,8 @@ class Warehouse:
     def read(self, name: str) -> DataFrame:
         """A table in its declared schema, empty if nothing was stored yet.
 
-        Dated tables carry their partition column ``period`` behind the declared columns.
+        Dated tables carry their partition column ``period`` behind the declared columns, prices
+        the ``version`` of each row, too: when it landed.
         """
         schema = self._schema(name)
         if not exists(self.spark, self.path(name)):
@@ -68,7 +79,7 @@ class Warehouse:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def table(self, name: str) -> DataFrame:
-        return self.read(name).drop("period")
+        return self.read(name).drop(*HIDDEN)
 
     def of_periods(self, name: str, periods: Iterable[date]) -> DataFrame:
         """The rows of some periods of a dated table; no other folder is listed."""
@@ -98,7 +109,7 @@ class Warehouse:
             last = anchor(last)
             rows = rows.where(F.col("period") <= self.period(last))
             rows = rows.where(F.col("trade_date") <= last)
-        return rows.drop("period")
+        return rows.drop(*HIDDEN)
 
     def _spanned(self, name: str, first: date | None, last: date | None) -> list[date]:
         """The periods of a table that hold days from ``first`` to ``last``."""
@@ -199,7 +210,8 @@ class Warehouse:
     ) -> None:
         """Merge updates (one row per key) into a dated table, period by period.
 
-        Only the periods of the updates are read and rewritten. The merged periods are first
+        Only the periods of the updates are read and rewritten. Prices that landed before the
+        ones they meet change nothing. The merged periods are first
         written beside the table and only then replace the old ones, so the table is never read
         and overwritten at once. With a ``batch`` folder, a run that broke off in between is
         finished from its complete copy when it is run again.
@@ -208,7 +220,7 @@ class Warehouse:
         staged = f"{batch}/{name}" if batch else new_folder(self.spark, f"staged-{name}")
         if not exists(self.spark, f"{staged}/_SUCCESS"):
             current = self.of_periods(name, self.periods_of(updates)).drop("period")
-            merged = merge(current, updates.select(current.columns), key)
+            merged = merge(current, _complete(name, updates), key)
             self._write(self._placed(name, merged), staged, "static")
         rows = self.spark.read.schema(self._schema(name)).parquet(staged)
         self._write(rows.sortWithinPartitions("period", *key), self.path(name), "dynamic")
@@ -288,7 +300,8 @@ class Warehouse:
     def _placed(self, name: str, rows: DataFrame) -> DataFrame:
         """Rows gathered by period into files of even size, however full a period is."""
         schema, key = DATED[name]
-        dated = rows.select(*schema.names, self.period(F.col("trade_date")).alias("period"))
+        complete = _complete(name, rows)
+        dated = complete.select(*schema.names, self.period(F.col("trade_date")).alias("period"))
         return dated.hint("rebalance", "period").sortWithinPartitions("period", *key)
 
     def _write(self, rows: DataFrame, path: str, overwrite: str) -> None:

@@ -120,6 +120,20 @@ def delivered(market: Market, bars: DataFrame) -> DataFrame:
     )
 
 
+#: By how much each of three deliveries closes higher, and which stocks it has: every n-th.
+STEPS = ((3, 1), (-1, 3), (2, 5))
+
+
+def in_turn(market: Market) -> list[DataFrame]:
+    """Three deliveries of the same days in the order they land, each correcting the one before."""
+    return [
+        delivered(market, market.daily_prices.where(F.col("stock_id") % every == 0)).withColumn(
+            "close", F.col("close") + F.lit(float(step))
+        )
+        for step, every in STEPS
+    ]
+
+
 def repeated(market: Market) -> tuple[DataFrame, DataFrame]:
     """Two deliveries in the order they land.
 

@@ -487,6 +487,14 @@ loaded AS (
 SELECT * FROM tables""",
     "late_bar_stored": f"""{_with(STOCKS, PAIRS, BARS)},
 loaded AS (SELECT * FROM bars),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}
+SELECT * FROM tables""",
+    "late_file_stored": f"""{_with(STOCKS, PAIRS, BARS)},
+loaded AS (
+    SELECT stock_id, trade_date, close_c + step AS close_c,
+           (close_c + step) / 100.0::DOUBLE AS close_price, volume
+    FROM (SELECT *, CASE WHEN stock_id % 5 = 0 THEN 200 WHEN stock_id % 3 = 0 THEN -100
+                    ELSE 300 END AS step FROM bars)
+),{_after(MOMENTUM, "loaded")},{_after(PAIR_METRICS, "loaded")},{TABLES}
 SELECT * FROM tables""",
     "duplicate_delivery": f"""{PRICES}
 SELECT stock_id, trade_date, open_c / 100.0::DOUBLE AS open_price,

@@ -302,6 +302,21 @@ def late_bar_stored(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(warehouse)
 
 
+def late_file_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored tables after three deliveries of the same days, of which the last to land was
+    loaded first, the first next and once more at the end: what landed last is stored."""
+    m = ticks.TickMarket(spark, folder)
+    warehouse = _warehouse(spark, m, m.daily_prices.limit(0), "year")
+    today = m.newest.first().last_date
+    paths = []
+    for delivery in fixtures.in_turn(m):
+        paths.append(new_folder(spark, "landing"))
+        delivery.write.parquet(paths[-1])
+    for number in (2, 0, 1, 0):
+        maintain.bulk_load(warehouse, read_landed(spark, paths[number]), as_of=today)
+    return _stored(warehouse)
+
+
 def landed_once(spark: SparkSession, folder: str) -> DataFrame:
     """The rejects after two refreshes over one landing folder, which takes each file in once."""
     warehouse, m, today = _week_behind(spark, folder)
@@ -413,6 +428,7 @@ WRITES: dict[str, Query] = {
     "refresh_resumed": refresh_resumed,
     "bulk_load_stored": bulk_load_stored,
     "late_bar_stored": late_bar_stored,
+    "late_file_stored": late_file_stored,
     "duplicate_delivery": duplicate_delivery,
     "bar_quality_csv": bar_quality_csv,
     "csv_rejects": csv_rejects,

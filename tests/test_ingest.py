@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -179,6 +180,49 @@ def test_merge_is_idempotent(spark):
     assert same(once.select("stock_id", "trade_date").distinct(), once.select("stock_id", "trade_date"))
 
 
+def versioned(spark, rows):
+    schema = "stock_id long, trade_date date, x int, version decimal(38,0)"
+    exact = [(*row[:3], None if row[3] is None else Decimal(row[3])) for row in rows]
+    return spark.createDataFrame(exact, schema)
+
+
+@pytest.mark.parametrize(
+    "stored, update, kept",
+    [
+        ((5, 7), (6, 8), (6, 8)),
+        ((5, 8), (6, 7), (5, 8)),
+        ((5, 8), (6, 8), (6, 8)),
+        ((5, None), (6, 1), (6, 1)),
+        ((5, 8), (6, None), (6, 8)),
+        ((5, None), (None, None), (None, None)),
+        ((5, 10**37), (None, 3 * 10**37), (None, 3 * 10**37)),
+        ((None, 3 * 10**37), (6, 10**37), (None, 3 * 10**37)),
+    ],
+)
+def test_merge_goes_by_arrival(spark, stored, update, kept):
+    target, updates = (versioned(spark, [(1, day(0), *row)]) for row in (stored, update))
+    merged = upsert.merge(target, updates)
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    row = merged.select("x", "version").first()
+    assert (row.x, None if row.version is None else int(row.version)) == kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_order_of_deliveries_merges_to_one_table(spark, seed):
+    """By brute force: the row with the greatest version of each key."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(4), day(rng.randrange(3)), n, n) for n in range(1, 25)]
+    rng.shuffle(rows)
+    want = {}
+    for key, on, value, version in rows:
+        want[key, on] = max(want.get((key, on), 0), value)
+    table = versioned(spark, [])
+    for at in range(0, len(rows), 8):
+        delivery = upsert.one_per_key(versioned(spark, rows[at : at + 8]), versioned=True)
+        table = upsert.merge(table, delivery)
+    assert {(r.stock_id, r.trade_date): r.x for r in table.collect()} == want
+
+
 def test_merge_may_write_null(spark):
     target = spark.createDataFrame([(1, day(0), 5)], "stock_id long, trade_date date, x int")
     updates = spark.createDataFrame([(1, day(0), None)], target.schema)
