@@ -3,7 +3,9 @@
 A sentence's score is the logistic of the summed weights of its different words; a document is toxic unless
 all its sentences are harmless (noisy-or). Training raises, in toxic documents, the sentences that
 explain the label and lowers every sentence of the others. A word's weight is the sum over itself
-and its beginnings, so that a compound of a known stem is recognised.
+and its beginnings, so that a compound of a known stem is recognised. The noisy-or has a leak:
+sentences without a weighted word say nothing by themselves, and the bias alone stands once for
+whatever they hide, in the last fit as in the score, so that they do not add up in a long text.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from math import exp, expm1, fsum, log1p
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import ship
@@ -24,8 +26,10 @@ from barloom.llm.units import Memo
 
 #: At most so many labelled documents of either label are used for training.
 SAMPLE = 3_000
-#: At most so many feature weights are kept and sent to the tasks.
-FEATURES = 100_000
+#: Longer texts, in bytes, are not used for training; they are scored like all others.
+LONGEST = 1 << 20
+#: At most so many bytes of texts of either label are used for training.
+SAMPLE_BYTES = 1 << 26
 BEGINNINGS = (3, 4, 5, 6)
 
 sentences = re.compile(r"[^.!?\n]+").findall
@@ -42,17 +46,19 @@ class Model:
     bias: float
     weights: dict[str, float]
 
-    def of_word(self, word: str) -> float:
-        return fsum(self.weights.get(name, 0.0) for name in features(word))
+    def of_word(self, word: str) -> float | None:
+        """A word's weight, none if none of its features has one."""
+        found = [self.weights[name] for name in features(word) if name in self.weights]
+        return fsum(found) if found else None
 
     def judge(self, text: str, known: Memo) -> tuple[float, list[int]]:
         """A text's score and the numbers of its sentences that are toxic by themselves.
 
-        Sentences without a word that has a weight say nothing; the bias counts once for them.
+        A text is harmless if its leak and each sentence with a weighted word are.
         """
         harmless, offending = -_softplus(self.bias), []
         for number, sentence in enumerate(sentences(text.lower())):
-            found = [w for w in map(known.__getitem__, set(words(sentence))) if w]
+            found = [w for w in map(known.__getitem__, set(words(sentence))) if w is not None]
             if found:
                 value = self.bias + fsum(found)
                 harmless -= _softplus(value)
@@ -81,9 +87,11 @@ def train(
     """Fit the weights by full-gradient steps on the mean log loss of the documents.
 
     ``penalty`` shrinks weights towards 0, so that words that merely happen to stand in toxic
-    documents end at 0; ``polish`` more rounds then fit the weights that are left without it, so
-    that the harmless sentences of a very long document do not add up. Features found in fewer than ``least`` documents get no weight. Without documents of both
-    labels the model is a constant that says what the labels say.
+    documents end at 0. Meanwhile all sentences count, as any word might get a weight. ``polish``
+    more rounds then fit the weights that are left without a penalty, in the noisy-or that scores:
+    sentences with a weighted word, and the leak. Features found in fewer than ``least`` documents
+    get no weight. Without documents of both labels the model is a constant that says what the
+    labels say.
     """
     truth = np.array(labels, dtype=np.float64)
     if not len(truth) or truth.min() == truth.max():
@@ -122,23 +130,27 @@ def train(
     weights, bias = np.zeros(len(names) + 1), -5.0
     fast, fast_bias = np.zeros_like(weights), 0.0
     mean, mean_bias = np.zeros_like(weights), 0.0
+    speaks, leak = np.ones(len(sizes)), 0.0
     for step in range(1, rounds + polish + 1):
         if step == rounds + 1:
             chosen = weights != 0
+            weighted = chosen[matrix].any(axis=1)
+            speaks, leak = np.logical_or.reduceat(weighted[tokens], sentence_at).astype(np.float64), 1.0
         word_weight = weights[matrix].sum(axis=1)
         scores = bias + np.add.reduceat(word_weight[tokens], sentence_at)
         chance = _logistic(scores)
-        harmless = np.add.reduceat(-np.logaddexp(0, scores), doc_at)  # log of none being toxic
+        # The log of none being toxic.
+        harmless = np.add.reduceat(-np.logaddexp(0, scores) * speaks, doc_at) - leak * np.logaddexp(0, bias)
         toxic = -np.expm1(harmless)
         # d loss / d score: the chance itself, minus chance / toxic where the label is 1.
         pull = 1.0 - truth / np.maximum(toxic, 1e-12)
-        slope = chance * np.repeat(pull, docs) / len(docs)
+        slope = speaks * chance * np.repeat(pull, docs) / len(docs)
         by_word = np.bincount(tokens, np.repeat(slope, sizes), minlength=len(number))
         grad = np.bincount(
             matrix.ravel(), np.repeat(by_word, width), minlength=len(weights)
         )
         grad[-1] = 0.0
-        grad_bias = slope.sum()
+        grad_bias = slope.sum() + leak * _logistic(bias) * pull.sum() / max(len(docs), 1)
         mean = 0.9 * mean + 0.1 * grad
         fast = 0.99 * fast + 0.01 * grad * grad
         mean_bias = 0.9 * mean_bias + 0.1 * grad_bias
@@ -151,16 +163,15 @@ def train(
         else:
             weights = np.sign(weights) * np.maximum(np.abs(weights) - scale * penalty, 0.0)
         bias -= rate * (mean_bias / a) / (np.sqrt(fast_bias / b) + 1e-6)
-    kept = np.argsort(-np.abs(weights[:-1]), kind="stable")[:FEATURES]
-    found = {names[at]: float(weights[at]) for at in kept if abs(weights[at]) > 1e-3}
-    return Model(float(bias), found)
+    return Model(float(bias), {names[at]: float(weights[at]) for at in np.flatnonzero(chosen[:-1])})
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str) -> DataFrame:
-    """At most ``SAMPLE`` labelled documents of either label: the first by a hash of their key.
+    """A bounded sample of labelled documents of either label: the first by a hash of their key.
 
-    Held-out keys are left out. A key with several labels counts as toxic if one of them says so,
-    one with several texts has the smallest of them.
+    At most ``SAMPLE`` of them, none longer than ``LONGEST`` and together at most ``SAMPLE_BYTES``,
+    whole texts always. Held-out keys are left out. A key with several labels counts as toxic if one
+    of them says so, one with several texts has the smallest of them and the size of the longest.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -169,10 +180,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, key: str) -> Da
         .where(~held_out(F.col("doc_id")))
     )
     texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    there = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length("body").cast("long")).alias("n_bytes"))
+    there = known.join(sizes.where(F.col("n_bytes") <= LONGEST), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     either = [there.where(F.col("toxic") == label).orderBy(*order).limit(SAMPLE) for label in (0, 1)]
-    chosen = either[0].unionByName(either[1])  # at most 2 * SAMPLE rows
+    first = either[0].unionByName(either[1])  # at most 2 * SAMPLE rows, so a window may take them
+    upto = F.sum("n_bytes").over(Window.partitionBy("toxic").orderBy(*order))
+    chosen = first.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).select("doc_id", "toxic")
     return (
         texts.join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id", "toxic")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 
 from barloom.llm import toxicity
@@ -38,6 +40,38 @@ def test_finds_documents_and_their_sentences():
     assert right >= 196
 
 
+def plainly(model, text):
+    """The leaky noisy-or by its definition."""
+    def chance(value):
+        return 1 / (1 + math.exp(-value))
+
+    clean = 1 - chance(model.bias)
+    for sentence in re.split(r"[.!?\n]", text.lower()):
+        weights = [
+            [model.weights[name] for name in toxicity.features(word) if name in model.weights]
+            for word in set(re.findall("[a-z]+", sentence))
+        ]
+        if any(weights):
+            clean *= 1 - chance(model.bias + sum(map(sum, weights)))
+    return 1 - clean
+
+
+def test_scores_are_the_noisy_or_that_was_fitted():
+    texts, labels = corpus(1, 300)
+    labels = [1 - label if n % 11 == 0 else label for n, label in enumerate(labels)]  # not separable
+    model = toxicity.train(texts, labels)
+
+    def loss(its):
+        scores = [min(max(plainly(its, text), 1e-9), 1 - 1e-9) for text in texts]
+        return -sum(math.log(s if label else 1 - s) for s, label in zip(scores, labels))
+
+    known = Memo(model.of_word)
+    for text in texts:
+        assert abs(model.judge(text, known)[0] - plainly(model, text)) < 1e-9
+    for step in (-0.7, 0.7):
+        assert loss(toxicity.Model(model.bias + step, model.weights)) > loss(model)
+
+
 def test_a_long_clean_text_stays_clean():
     model = toxicity.train(*corpus(1, 400))
     assert model.judge(prose(random.Random(8), 60_000), Memo(model.of_word))[0] < 0.5
@@ -70,6 +104,18 @@ def test_frames(spark):
     assert kept.count() == sum(r.predicted == 0 for r in found)
 
 
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Long texts are not learned from, and no more texts than the bytes allow; all are scored."""
+    monkeypatch.setattr(toxicity, "LONGEST", 60)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 150)
+    rows = frame(spark, [row(n, "w" * (100 if n % 4 == 0 else 40)) for n in range(80)])
+    marks = spark.createDataFrame([(n, n % 2, 1) for n in range(80)], LABELS)
+    chosen = toxicity.training_rows(rows, marks, "text", "doc_id").collect()
+    assert sorted(r.toxic for r in chosen) == [0, 0, 0, 1, 1, 1]
+    assert all(len(r.body) == 40 for r in chosen)
+    assert toxicity.score(rows, marks).count() == 80
+
+
 def test_held_out_labels_teach_nothing(spark):
     texts, labels = corpus(4, 60)
     rows = frame(spark, [row(n, text) for n, text in enumerate(texts)])
