@@ -4,19 +4,23 @@ A window begins at every byte of a benchmark item. A window found in a text with
 shares at least ``length - q + 1 - k q`` of its q-grams with it, and those lie on diagonals at
 most k apart. Hits are sorted by band of diagonals, overlapping by k, and place in the item; where
 so many places lie within a window, the windows that hold them are verified by an alignment.
+
+Items too short for the lemma are looked for as they are, as whole words, by one automaton.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship, staged
+from barloom.llm.common import placed, ship, staged
 
 Q = 6
 #: At most 57, so that a window lies in eight bytes of bits from any bit of the first on.
@@ -25,7 +29,7 @@ WINDOW = 48
 STRIDE = 1
 #: Edits allowed for each hundred bytes of a window.
 EDITS = 13
-#: Items with fewer bytes say too little to call a text contaminated.
+#: Items with fewer bytes must be found without any edit, as whole words.
 SHORTEST = 32
 #: Benchmarks are searched in blocks of about so many bytes.
 BLOCK = 1 << 19
@@ -271,6 +275,55 @@ class Index:
         return found
 
 
+class Short:
+    """The items of a block with fewer than ``SHORTEST`` bytes, found exactly and as whole words."""
+
+    @staticmethod
+    def of(texts: list[str]) -> dict[bytes, list[int]]:
+        """The normalised short items among the texts, with their numbers."""
+        numbers: dict[bytes, list[int]] = {}
+        for n, data in enumerate(map(normal, texts)):
+            if 0 < len(data) < SHORTEST:
+                numbers.setdefault(data, []).append(n)
+        return numbers
+
+    def __init__(self, numbers: dict[bytes, list[int]]) -> None:
+        self.numbers = numbers
+        self.automaton = ahocorasick.Automaton()
+        for data in self.numbers:
+            self.automaton.add_word(data.decode("latin-1"), data)
+        if self.numbers:
+            self.automaton.make_automaton()
+
+    def search(self, text: bytes) -> set[int]:
+        """The numbers of the items in a normalised text."""
+        found: set[bytes] = set()
+        if self.numbers:
+            for last, item in self.automaton.iter(text.decode("latin-1")):  # a letter is a byte
+                if item not in found and whole(text, last + 1 - len(item), last + 1):
+                    found.add(item)
+        return {n for item in found for n in self.numbers[item]}
+
+
+def whole(text: bytes, start: int, end: int) -> bool:
+    """Whether no word goes on across either end."""
+
+    def joined(at: int) -> bool:
+        before = text[max(at - 4, 0) : at].decode("utf-8", "ignore")[-1:]
+        behind = text[at : at + 4].decode("utf-8", "ignore")[:1]
+        return spaced(before) and spaced(behind)
+
+    return not joined(start) and not joined(end)
+
+
+def spaced(letter: str) -> bool:
+    """Whether this is a letter or digit of a script that parts its words.
+
+    Thai and Lao, and what lies from the radicals of Chinese on, do not.
+    """
+    return letter.isalnum() and not ("\u0e00" <= letter <= "\u0eff" or letter >= "\u2e80")
+
+
 def letters_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each byte value where its bits begin, and 64 bits from every byte of them on.
 
@@ -318,16 +371,20 @@ def together(texts: Iterable[str]) -> Iterator[tuple[list[int], list[bytes]]]:
 def items_in(spark: SparkSession, text: Column, ids: list, texts: list[str]) -> Column:
     """The ids of the items of a block that a text contains, ascending."""
     ship(spark)
-    shared = spark.sparkContext.broadcast((ids, Index.of(texts)))
+    shared = spark.sparkContext.broadcast((ids, Index.of(texts), Short.of(texts)))
 
     @F.pandas_udf("array<long>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ids, index = shared.value
+        ids, index, its_short = shared.value
+        short = Short(its_short)
         for batch in batches:
             found: list[set[int]] = [set() for _ in batch]
             for numbers, parts in together(batch):
                 for number, its in zip(numbers, index.search(parts)):
                     found[number].update(ids[n] for n in its)
+            if short.numbers:
+                for number, body in enumerate(batch):
+                    found[number].update(ids[n] for n in short.search(normal(body)))
             yield pd.Series([sorted(its) for its in found], dtype=object)
 
     return find(F.coalesce(text, F.lit("")))
@@ -344,24 +401,39 @@ def contaminated(
     """``docs`` with a column ``into``: the ids of the benchmark items that the text contains.
 
     An item is contained if 48 bytes of it in a row, or all of it if it is shorter, are found with
-    at most 13 edits per hundred bytes (six in 48, so that 42 bytes in a row always do), upper and lower case and kinds of white space aside. The
-    benchmark is searched in blocks of bounded size, one pass over the documents each. Null and
-    empty texts contain nothing; items without text or id are left out, and so are those of fewer
-    than 32 bytes. Other columns of ``docs`` are kept; ``into`` must not be one of them.
+    at most 13 edits per hundred bytes (six in 48, so that 42 bytes in a row always do), upper and
+    lower case and kinds of white space aside. An item of fewer than 32 bytes is contained if it
+    stands there without any edit, as whole words; one of white space alone never is. The benchmark
+    is searched in blocks of bounded size, one pass over the texts each, which keeps the places of
+    the rows that contain an item, and no texts. Null and empty texts contain nothing; items without
+    text or id are left out. Other columns of ``docs`` are kept; a column that is called as ``into``
+    is refused with a ``ValueError``.
     """
+    if into.lower() in (name.lower() for name in docs.columns):
+        raise ValueError(f"the documents have a column {into!r} already: name another one with into=")
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("id"), F.col(item_text).alias("body")).where(
         "id IS NOT NULL AND body IS NOT NULL"
     )
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = size // BLOCK + 1
-    found = docs.withColumn(into, F.array().cast("array<long>"))
-    for block in range(blocks):
+
+    def those_of(block: int) -> Column:
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda row: (row.id, row.body))
-        ids, texts = [row.id for row in rows], [row.body for row in rows]
-        more = items_in(spark, F.col(text), ids, texts)
-        found = found.withColumn(into, F.array_sort(F.array_distinct(F.concat(into, more))))
-        if block + 1 < blocks:
-            found = staged(found, "contaminated")
-    return found
+        return items_in(spark, F.col(text), [row.id for row in rows], [row.body for row in rows])
+
+    if blocks == 1:
+        return docs.withColumn(into, those_of(0))
+    # The names of the places must not clash with columns of the documents.
+    rows = placed(staged(docs.select(F.struct("*").alias("its")), "rows"))
+    texts = rows.select("file", "row", F.col(f"its.{text}").alias(text))
+    hits = [
+        staged(texts.select("file", "row", those_of(block).alias("hits")).where(F.size("hits") > 0), "hits")
+        for block in range(blocks)
+    ]
+    every = reduce(DataFrame.unionByName, hits)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits"))))
+    merged = every.groupBy("file", "row").agg(ids.alias("hits"))
+    none = F.array().cast("array<long>")
+    return rows.join(merged, ["file", "row"], "left").select("its.*", F.coalesce("hits", none).alias(into))

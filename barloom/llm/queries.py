@@ -71,9 +71,8 @@ def op6_token_huffman(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontam.contaminated(
-        table(spark, folder, "documents"), table(spark, folder, "benchmark")
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from barloom.llm import decontam
-from tests.llm.helpers import documents, frame, odd_rows, prose, row
+from tests.llm.helpers import documents, frame, lower, odd_rows, prose, row
 
 
 def distance_in(window: bytes, text: bytes) -> int:
@@ -138,6 +138,68 @@ def test_frames_and_blocks(spark, monkeypatch, block):
     assert [r["items"] for r in found if r.doc_id is None and r["items"]] == [[2]]
 
 
+SHORT_ITEMS = ["Capital of  France is\nParis", "42", "Ünïcode", "a.b", "  ", "", "capital of france is paris", "x" * 31, "首都是巴黎"]
+
+
+def by_words(text: str, item: str) -> bool:
+    """By hand: the item stands in the text, and no word goes on at either end."""
+    text, item = (" ".join(lower(t).split()) for t in (text, item))
+    places = [at for at in range(len(text)) if item and text.startswith(item, at)]
+
+    def joined(at):
+        return 0 < at < len(text) and all(c.isalnum() and c < "\u2e80" for c in text[at - 1 : at + 1])
+
+    return any(not joined(at) and not joined(at + len(item)) for at in places)
+
+
+SHORT_TEXTS = [
+    "They say the capital of france is PARIS.",
+    "capital of france is parish",
+    "the subcapital of france is paris",
+    "(42) and 420",
+    "420 142",
+    "42",
+    "an ünïcode text",
+    "an ünïcode text, “Ünïcode”—42",
+    "an Ünïcoded text; a.b",
+    "法国的首都是巴黎。",
+    "aa.b a.bb",
+    "x" * 31,
+    "x" * 32,
+    "x" * 30 + " " + "42-42" * 40,
+    "",
+]
+
+
+def test_short_items_are_found_as_whole_words():
+    short = decontam.Short(decontam.Short.of(SHORT_ITEMS))
+    for text in SHORT_TEXTS:
+        want = {n for n, item in enumerate(SHORT_ITEMS) if by_words(text, item)}
+        assert short.search(decontam.normal(text)) == want, text
+    assert short.search(decontam.normal(SHORT_TEXTS[0])) == {0, 6}
+
+
+@pytest.mark.parametrize("block", [decontam.BLOCK, 40])
+def test_short_and_long_items_together(spark, monkeypatch, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    long = prose(random.Random(3), 30)
+    texts = [*SHORT_TEXTS, long, f"42 {long} a.b", None]
+    items = [*SHORT_ITEMS, long]
+    found = decontam.contaminated(frame(spark, [row(n, text) for n, text in enumerate(texts)]), bench(spark, items))
+    assert found.columns[-1] == "items" and found.columns[:-1] == frame(spark, []).columns
+    for r in found.collect():
+        text = r.text or ""
+        want = [n for n, item in enumerate(SHORT_ITEMS) if by_words(text, item)]
+        assert r["items"] == want + [len(SHORT_ITEMS)] * (long in text)
+
+
+def test_a_clash_of_the_new_column_is_refused(spark):
+    docs = frame(spark, [row(1, "text")])
+    with pytest.raises(ValueError, match="size"):
+        decontam.contaminated(docs, bench(spark, []), into="size")
+    assert decontam.contaminated(docs, bench(spark, []), into="found").first().size == 7
+
+
 def test_long_texts_are_searched_in_parts(monkeypatch):
     monkeypatch.setattr(decontam, "TOGETHER", 500)
     rng = random.Random(4)
