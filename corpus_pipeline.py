@@ -56,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), into="leaked_items")
+    found = decontam.contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), into="leaked_items")
     return found.where(F.size("leaked_items") == 0).select(*COLUMNS)
 
 
