@@ -6,10 +6,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from barloom.llm import binary, tokens
-from barloom.llm.bpe import TokenCounter
+from barloom.llm.bpe import TokenCounter, packed, unpacked
 from barloom.llm.units import units
 from tests.llm.helpers import documents, frame, odd_rows, odd_texts, prose, row
 
@@ -44,10 +46,23 @@ def test_transducer_counts_like_the_library(counter, text):
     assert "".join(units(text)) == text
 
 
+#: Long runs of one kind, which are cut within a piece, and special strings among them.
+RUNS = [
+    "x" * 400,
+    "ab" * 300 + "'" * 90 + "ll" + "7" * 200,
+    "=" * 300 + "<|endoftext|>" + "|" * 50 + "<|endoftext|>" * 9 + "<" * 40,
+    " " * 100 + "<|endoftext|>" + " " * 100 + "y" + "\n" * 90 + "'re" + "\t" * 80,
+    "語" * 200 + "、" + "日本語テキスト" * 60,
+    "\xa0" * 60 + " " * 60 + "\x85" * 9 + "q",
+]
+
+
 @pytest.mark.parametrize("size", [1, 5, 64])
 def test_chunk_maps_compose(counter, size):
-    for text in [*HARD, prose(random.Random(3), 300), "x" * 400]:
-        maps = [counter.chunk_map(text[at : at + size]) for at in range(0, max(len(text), 1), size)]
+    for text in [*HARD, *RUNS, prose(random.Random(3), 300)]:
+        chunks = list(counter.cut(text, size))
+        assert "".join(chunk.body for chunk in chunks) == text
+        maps = [unpacked(packed(counter.chunk_map(chunk))) for chunk in chunks]
         assert counter.total(counter.scan(maps)) == len(ids(text))
         left = maps[0]
         for chunk in maps[1:]:
@@ -55,6 +70,26 @@ def test_chunk_maps_compose(counter, size):
         assert counter.total(left) == len(ids(text))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abst'é語7 \n\xa0=<|>", max_size=80), st.integers(1, 12), st.integers(1, 30))
+def test_chunk_maps_of_any_text(counter, text, size, times):
+    text = text + text[:1] * times + "<|endoftext|>" + text[-1:] * times
+    maps = [counter.chunk_map(chunk) for chunk in counter.cut(text, size)]
+    assert counter.total(counter.scan(maps)) == len(ids(text))
+
+
+def test_long_runs_are_cut(counter):
+    for text in ["x" * 5000, "語" * 5000, "=" * 5000, " " * 5000, "aGVsbG8" * 700]:
+        assert max(len(chunk.body) for chunk in counter.cut(text, 500)) <= 1000
+
+
+def test_unforeseen_states_give_no_total(monkeypatch):
+    monkeypatch.setattr(TokenCounter, "states_behind", lambda self, before: set())
+    chunks = list(TokenCounter(PATH).cut("x" * 400, 50))
+    lost = TokenCounter(PATH)
+    assert lost.total(lost.scan([lost.chunk_map(chunk) for chunk in chunks])) is None
+
+
 def test_small_memory_counts_the_same():
     small = TokenCounter(PATH)
     small.machine.limit, small.known.limit, small.machine.known.limit = 50, 5, 5
@@ -64,7 +99,7 @@ def test_small_memory_counts_the_same():
 
 @pytest.mark.parametrize("chunk", [1 << 15, 50])
 def test_counts(spark, chunk):
-    rows = odd_rows() + [row(99, text) for text in HARD]
+    rows = odd_rows() + [row(99, text) for text in HARD + RUNS]
     found = tokens.count_tokens(frame(spark, rows), PATH, chunk_chars=chunk, run=4).collect()
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in found)
     want = sorted((str(r[0]), len((r[1] or "").encode()), len(ids(r[1]))) for r in rows)
