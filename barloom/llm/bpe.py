@@ -218,6 +218,7 @@ class TokenCounter:
     def __init__(self, path: str) -> None:
         self.machine = Machine(path)
         self.known = Memo(self.machine.count_unit)
+        self.behind = Memo(self._states_behind, limit=1_000)
         specials = (f"(?={regex.escape(special)})" for special in self.machine.specials)
         self._places = regex.compile("|".join([self._borders, *specials])).finditer
 
@@ -270,7 +271,9 @@ class TokenCounter:
     def states_behind(self, before: str) -> set[State]:
         """The states a chunk may begin in: those that the text before it leads to, read from each
         of the places where a token that matters may have begun."""
-        last = self.machine.pieces(before)[-1]
+        return self.behind[self.machine.pieces(before)[-1]]
+
+    def _states_behind(self, last: str) -> set[State]:
         return {
             self.machine.run(START, last[at:].encode())[0]
             for at in range(min(len(last), self.machine.longest))
