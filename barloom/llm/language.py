@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import ship, staged
@@ -27,10 +27,14 @@ HASH_BITS = 22
 STRETCH = 1 << 18
 #: A task sends its counts on, or forgets what it knows of grams, when it holds so many.
 HELD = 1 << 21
-#: The certainty is set by at most so many learned documents of each language, the first by a hash.
-SAMPLE = 300
-#: A text that needs more bits per letter than this share of them is marked as strange.
+#: How sharply a difference of bits may tell languages apart; the certainty is set by the best.
+SHARPNESSES = tuple(2.0**k for k in range(-1, 6))
+#: A loss is summed in whole numbers of this fraction.
+LOSS_UNITS = 1 << 20
+#: A text that needs more bits per letter than this share of the learned ones is marked as strange.
 USUAL = 0.995
+#: Bits per letter are told apart to this fraction of a bit.
+BINS = 1 << 10
 UNKNOWN = "und"
 
 
@@ -298,53 +302,51 @@ def _arrays(rows: DataFrame, value: str, langs: list[str]) -> dict[int, list[tup
     return found
 
 
+def _learnable() -> Column:
+    """Whether a row with a text may be learned from."""
+    return learned(F.col("doc_id")) & F.col("lang").isNotNull()
+
+
 def fit(docs: DataFrame) -> Models:
     """Models of every language of ``(doc_id, lang, body)``, over all rows that may be learned from."""
-    known = docs.where(learned(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("body").isNotNull())
+    known = docs.where(_learnable() & F.col("body").isNotNull())
     counts = staged(count_grams(known.select("lang", "body")), "gram-counts")
     langs = sorted(row.lang for row in counts.select("lang").distinct().collect())
     if not langs:
         return Models([], {}, {})
     terms, rests = estimates(counts)
-    models = Models(langs, _arrays(terms, "term", langs), _arrays(rests, "rest", langs))
-    return _calibrated(models, known)
+    return Models(langs, _arrays(terms, "term", langs), _arrays(rests, "rest", langs))
 
 
-def _calibrated(models: Models, known: DataFrame) -> Models:
-    """Sharpness and usual bits by a bounded sample of learned documents of each language.
+def calibrate(models: Models, costs: DataFrame) -> None:
+    """Set the sharpness and the usual bits by ``(lang, costs)`` of all learned texts with letters.
 
-    Documents are chosen by a hash of their keys; their bits are computed by tasks.
+    The sharpness is that of the least loss over all of them. The usual bits of a language are the
+    most that ``USUAL`` of its texts need, from counts by ``BINS`` to a bit: tasks send a row per
+    language and bin, and no text is left out.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = None
-    for lang in models.langs:
-        some = known.where((F.col("lang") == lang) & F.col("doc_id").isNotNull()).select("doc_id", "lang").distinct()
-        some = some.orderBy(*order).limit(SAMPLE)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    sample = (
-        known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # SAMPLE rows a language
-        .groupBy("doc_id", "lang")
-        .agg(F.min("body").alias("body"))
+    names = F.array(*map(F.lit, models.langs))
+    own = F.get("costs", F.array_position(names, F.col("lang")).cast("int") - 1)
+    least = F.array_min("costs")
+
+    def loss(sharpness: float) -> Column:
+        odds = F.aggregate(
+            "costs", F.lit(0.0), lambda total, cost: total + F.exp(F.lit(-sharpness) * (cost - least))
+        )
+        # Whole numbers, whose sum does not depend on the order in which it is taken.
+        return F.sum(F.round((F.lit(sharpness) * (own - least) + F.log(odds)) * LOSS_UNITS).cast("long"))
+
+    losses = costs.agg(*(loss(s).alias(str(at)) for at, s in enumerate(SHARPNESSES))).first()
+    if losses[0] is not None:
+        models.sharpness = SHARPNESSES[min(range(len(SHARPNESSES)), key=lambda at: losses[at])]
+    binned = costs.groupBy("lang", F.floor(own * BINS).alias("bin")).agg(
+        F.count("*").alias("n"), F.max(own).alias("most")
     )
-    rows = sample.select("lang", _read(known.sparkSession, models)(F.col("body")).alias("bits")).toArrow()
-    costs = [value for value in rows.column("bits").to_pylist()]
-    truth = [models.langs.index(lang) for lang in rows.column("lang").to_pylist()]
-    pairs = [(t, np.array(c)) for t, c in zip(truth, costs) if c is not None]
-    if not pairs:
-        return models
-    matrix = np.array([c for _, c in pairs])
-    truth = np.array([t for t, _ in pairs])
-    behind = matrix - matrix.min(axis=1, keepdims=True)
-    mine = behind[np.arange(len(truth)), truth]
-
-    def loss(sharpness: float) -> float:
-        return float(np.mean(sharpness * mine + np.log(np.exp(-sharpness * behind).sum(axis=1))))
-
-    models.sharpness = min((2.0**k for k in range(-1, 6)), key=loss)
-    own = matrix[np.arange(len(truth)), truth]
-    usual = [own[truth == at] for at in range(len(models.langs))]
-    models.limits = tuple(float(np.quantile(o, USUAL)) if len(o) else float("inf") for o in usual)
-    return models
+    upto = Window.partitionBy("lang").orderBy("bin")  # bins are bounded by the bits that a letter can cost
+    share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("lang"))
+    usual = binned.withColumn("share", share).where(F.col("share") >= USUAL)
+    limits = dict(usual.groupBy("lang").agg(F.min("most")).collect())
+    models.limits = tuple(limits.get(lang, float("inf")) for lang in models.langs)
 
 
 def _read(spark: SparkSession, models: Models):
@@ -373,22 +375,27 @@ def identify(
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("body"))
     models = fit(rows)
+    costs = F.lit(None).cast("array<double>")
+    if models.langs:
+        costs = _read(docs.sparkSession, models)(F.col("body"))
+    read = rows.select("doc_id", "lang", costs.alias("costs"))
+    if models.langs:
+        # Texts are read once: what they cost serves the calibration and the result.
+        read = staged(read, "bits")
+        # A null text has no costs.
+        calibrate(models, read.where(_learnable() & F.col("costs").isNotNull()))
     names = F.array(*map(F.lit, models.langs)) if models.langs else F.array().cast("array<string>")
     limits = F.array(*map(F.lit, models.limits or [float("inf")] * len(models.langs)))
-    costs = _read(docs.sparkSession, models)(F.col("body")) if models.langs else F.lit(None).cast("array<double>")
     least = F.array_min("costs")
     place = F.array_position("costs", least).cast("int") - 1
     odds = F.aggregate(
         "costs", F.lit(0.0), lambda total, cost: total + F.exp(F.lit(-models.sharpness) * (cost - least))
     )
-    return (
-        rows.select("doc_id", costs.alias("costs"))
-        .select(
-            "doc_id",
-            (~learned(F.col("doc_id"))).alias("held_out"),
-            F.coalesce(F.get(names, place), F.lit(UNKNOWN)).alias("lang_pred"),
-            F.coalesce(F.lit(1.0) / odds, F.lit(0.0)).alias("score"),
-            least.alias("bits"),
-            F.coalesce(least > F.get(limits.cast("array<double>"), place), F.lit(True)).alias("strange"),
-        )
+    return read.select(
+        "doc_id",
+        (~learned(F.col("doc_id"))).alias("held_out"),
+        F.coalesce(F.get(names, place), F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce(F.lit(1.0) / odds, F.lit(0.0)).alias("score"),
+        least.alias("bits"),
+        F.coalesce(least > F.get(limits.cast("array<double>"), place), F.lit(True)).alias("strange"),
     )

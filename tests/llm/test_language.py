@@ -139,3 +139,28 @@ def test_strange_texts_are_marked(spark):
     found = {r.doc_id: r.strange for r in language.identify(frame(spark, rows)).collect()}
     assert all(strange for key, strange in found.items() if key >= 900)
     assert sum(strange for key, strange in found.items() if key < 900) < 20
+
+
+def test_calibration_takes_all_learned_texts(spark):
+    rng = random.Random(9)
+    keys = [key for key in range(10_000) if zlib.crc32(str(key).encode()) % 5][:1_000]
+    bits = [rng.uniform(1, 9) for _ in keys]
+    costs = [[own, own + rng.uniform(-0.5, 2)] for own in bits]
+    models = language.Models(["xx", "yy"], {}, {})
+    rows = spark.createDataFrame([("xx", cost) for cost in costs], "lang string, costs array<double>")
+    language.calibrate(models, rows.repartition(7))
+    assert models.limits == (pytest.approx(sorted(bits)[994], abs=2 / language.BINS), float("inf"))
+    found = np.array(costs) - np.min(costs, axis=1, keepdims=True)
+    losses = {s: np.mean(s * found[:, 0] + np.log(np.exp(-s * found).sum(axis=1))) for s in language.SHARPNESSES}
+    assert models.sharpness == min(losses, key=losses.get)
+
+
+def test_long_tails_are_usual_beyond_a_sample(spark):
+    """Of 2,000 learned texts 1 in 100 is odd: a share that the usual bits of all texts do not reach."""
+    rng = random.Random(10)
+    plain, odd = texts_of(rng, ["ka", "lo", "mi"], 1_980), texts_of(rng, ["xq", "jw", "vz"], 20)
+    keys = [key for key in range(10_000) if zlib.crc32(str(key).encode()) % 5]
+    found = language.identify(frame(spark, [row(n, text) for n, text in zip(keys, plain + odd)]))
+    marked = {r.doc_id for r in found.where("strange").collect()}
+    # 0.995 of 2,000: exactly the ten that need the most bits lie above.
+    assert len(marked) == 10 and len(marked & set(keys[1_980:2_000])) >= 8
