@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from barloom import schema as S
 from barloom.operators import lookup, refresh, upsert, validate
 from barloom.sources.landing import read_landed, read_landed_csv
+from barloom.sources.market import Market
+from contract import fixtures
 from tests.helpers import bar, bars, column, day, raw, same, stocks
 
 NAN = float("nan")
@@ -266,3 +268,30 @@ def test_windows(spark):
     recent = refresh.recent(prices, listed, F.lit(day(15)))
     assert column(recent, "trade_date", "trade_date") == [day(n) for n in range(8, 16)]
     assert refresh.history(prices, F.lit(day(15)), days=3).count() == 8
+
+
+def test_malformed_rows_are_landed_by_all_tasks(spark, tmp_path):
+    """Every file of malformed rows has its own header: none has to be written by one task."""
+    stocks = spark.createDataFrame([(n, f"SYM{n}", "x", True) for n in (1, 11, 21)], S.STOCKS)
+    days = spark.range(40).select(F.date_add(F.lit(date(2000, 1, 3)), F.col("id").cast("int")).alias("trade_date"))
+    price = [F.lit(Decimal("5.0000")).cast(S.PRICE).alias(name) for name in S.PRICE_COLUMNS]
+    bars = days.crossJoin(stocks.select("stock_id")).select(*S.BAR_KEY, *price, F.lit(7).cast("long").alias("volume"))
+    folder = str(tmp_path / "landing")
+    fixtures.land_csv(Market(stocks, bars.repartition(6), stocks.limit(0)), folder)
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    bad = lines.where("value RLIKE '^[A-Za-z0-9]+,[^,]+(,1,2,1,1,7,8,9)?$'")
+    assert bad.select("file").distinct().count() > 1
+    assert bad.count() == 2 * bars.count()
+    checked = validate.check(read_landed_csv(spark, folder), stocks)
+    assert checked.where(F.col("reason") == validate.BAD_ROW).count() == bad.count()
+    assert checked.count() == bars.count() + bad.count()
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("symbol,ts,close\nSYM1,2000-01-03,5\n")
+    (tmp_path / "b.csv").write_text("close,symbol,ts\n6,SYM2,2000-01-04\n")
+    rows = read_landed_csv(spark, str(tmp_path))
+    assert {(r.symbol, r.close) for r in rows.collect()} == {("SYM1", "5"), ("SYM2", "6")}
+    rows.explain()
+    plan = capsys.readouterr().out
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
