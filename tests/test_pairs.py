@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+from datetime import date
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import schema as S
 from barloom.functions import signals
-from barloom.operators import excursions, pairs
+from barloom.operators import excursions, pairs, tail
 from tests.helpers import bars, column, day, same, stock_pairs
 
 
@@ -120,3 +122,22 @@ def test_correlation(spark):
     first, second = rows.orderBy("pair_id").collect()
     assert (first.correlation, first.tradable) == (pytest.approx(1.0), True)
     assert (second.correlation, second.tradable) == (pytest.approx(-1.0), False)
+
+
+def test_tasks_do_not_merge_under_aggregates(spark):
+    """Small exchanges are merged by adaptive execution, but not those that hash maps are built on."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = F.lit(Decimal("1.0000")).cast(S.PRICE)
+    days = spark.range(6).select(
+        (F.col("id") % 2 + 1).alias("stock_id"),
+        F.date_add(F.lit(date(2000, 1, 3)), F.floor(F.col("id") / 2).cast("int")).alias("trade_date"),
+        *(one.alias(name) for name in S.PRICE_COLUMNS),
+        F.lit(1).cast("long").alias("volume"),
+    )
+    listed = spark.createDataFrame([(1, "A-B", 1, 2)], S.STOCK_PAIRS)
+    ratios = pairs.pair_ratios(days, listed)
+    assert ratios.rdd.getNumPartitions() == tasks and ratios.count() == 3
+    changed = days.select(*S.BAR_KEY).limit(2)
+    assert tail.momentum_tail(days, changed).rdd.getNumPartitions() == tasks
+    moved = tail.changed_pairs(changed, listed)
+    assert tail.pair_tail(days, listed, moved, pairs.pair_metrics(days, listed)).rdd.getNumPartitions() == tasks
