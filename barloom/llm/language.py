@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import ship, staged
@@ -34,7 +34,7 @@ LOSS_UNITS = 1 << 20
 #: A text that needs more bits per letter than this share of the learned ones is marked as strange.
 USUAL = 0.995
 #: Bits per letter are told apart to this fraction of a bit.
-BINS = 1 << 10
+BINS = 1 << 14
 UNKNOWN = "und"
 
 
@@ -322,8 +322,8 @@ def calibrate(models: Models, costs: DataFrame) -> None:
     """Set the sharpness and the usual bits by ``(lang, costs)`` of all learned texts with letters.
 
     The sharpness is that of the least loss over all of them. The usual bits of a language are the
-    most that ``USUAL`` of its texts need, from counts by ``BINS`` to a bit: tasks send a row per
-    language and bin, and no text is left out.
+    quantile ``USUAL`` of its texts' bits, told apart to a fraction of a bit, so that tasks send
+    bounded counts and no text is left out.
     """
     names = F.array(*map(F.lit, models.langs))
     own = F.get("costs", F.array_position(names, F.col("lang")).cast("int") - 1)
@@ -339,13 +339,8 @@ def calibrate(models: Models, costs: DataFrame) -> None:
     losses = costs.agg(*(loss(s).alias(str(at)) for at, s in enumerate(SHARPNESSES))).first()
     if losses[0] is not None:
         models.sharpness = SHARPNESSES[min(range(len(SHARPNESSES)), key=lambda at: losses[at])]
-    binned = costs.groupBy("lang", F.floor(own * BINS).alias("bin")).agg(
-        F.count("*").alias("n"), F.max(own).alias("most")
-    )
-    upto = Window.partitionBy("lang").orderBy("bin")  # bins are bounded by the bits that a letter can cost
-    share = F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy("lang"))
-    usual = binned.withColumn("share", share).where(F.col("share") >= USUAL)
-    limits = dict(usual.groupBy("lang").agg(F.min("most")).collect())
+    binned = (F.ceil(own * BINS) / BINS).alias("bits")  # so few values that a map holds their counts
+    limits = dict(costs.select("lang", binned).groupBy("lang").agg(F.percentile("bits", F.lit(USUAL))).collect())
     models.limits = tuple(limits.get(lang, float("inf")) for lang in models.langs)
 
 
