@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ END = 0
 BLOCK_IDS = 1 << 19
 UNITS = 600_000
 JOINED = 2_000
+CHUNK = 4 << 20
 MANIFEST = "part int, file string, offset long, length long, first long, n_ids long"
 
 
@@ -59,6 +61,7 @@ class Encoder:
         self.marks = [token.content for token in added.values()]
         self.mark = min((key for key, token in added.items() if token.special), default=None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.tokenize = plain_model(self.tokenizer, self.marks)
         # Byte-level tokens have one character for each byte they stand for.
         self.widths = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
@@ -67,48 +70,83 @@ class Encoder:
 
     def _forget(self) -> None:
         self.numbers = Numbers()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.pool = np.empty(0, dtype=self.kind)
         self.starts, self.lengths = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Units that are new are given to the tokenizer together."""
+    def encode(self, texts: Sequence[str] | pa.Array) -> list[bytes]:
+        """The ids of each text. Units that are new are given to the tokenizer together.
+
+        Texts whose only white space are single blanks and line breaks are cut before these, and
+        equal units of all of them are looked up once; the others are cut by ``units``.
+        """
         if len(self.numbers) >= UNITS:
             self._forget()
-        parts = [units(text) for text in texts]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(texts, _ODD)
+        parts = list(map(units, texts.filter(odd).to_pylist()))
         sizes = np.array([len(part) for part in parts], dtype=np.int64)
         every = map(self.numbers.__getitem__, chain.from_iterable(parts))
         numbers = np.fromiter(every, dtype=np.int64, count=int(sizes.sum()))
+        plain = texts.filter(pc.invert(odd)).cast(pa.large_string())
+        for sign in (" ", "\n"):
+            plain = pc.replace_substring(plain, sign, f"\0{sign}")
+        cut = pc.split_pattern(plain, "\0")
+        found = cut.flatten().dictionary_encode()
+        distinct = np.array([self.numbers[unit] for unit in found.dictionary.to_pylist()], dtype=np.int64)
+        numbers = np.concatenate([numbers, distinct[found.indices.to_numpy()]])
+        sizes = np.concatenate([sizes, pc.list_value_length(cut).to_numpy()])
         self._grow()
         lengths = self.lengths[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        shift = np.repeat(self.starts[numbers] - ends[:-1], lengths)
-        data = self.pool[shift + np.arange(len(shift))].tobytes()
+        # Places in the pool, and of a chunk's ids, are below 2**31.
+        places = np.repeat((self.starts[numbers] - ends[:-1]).astype(np.int32), lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        data = self.pool[places].tobytes()
         borders = (ends[np.concatenate([[0], np.cumsum(sizes)])] * self.pool.itemsize).tolist()
-        return [data[begin:end] for begin, end in zip(borders, borders[1:])]
+        ids = [data[begin:end] for begin, end in zip(borders, borders[1:])]
+        order = np.argsort(~odd.to_numpy(zero_copy_only=False), kind="stable")
+        return [ids[place] for place in np.argsort(order).tolist()]
 
     def _grow(self) -> None:
         """Learn the units that wait, and put their ids into the pool."""
         new, self.numbers.waiting = self.numbers.waiting, []
         if not new:
             return
-        cut = [framed(unit) for unit in new]
+        places = [n for n, unit in enumerate(new) if _LATIN(unit)] if self.tokenize is not None else []
+        lengths = np.zeros(len(new), dtype=np.int64)
+        direct, lengths[places] = self._model([new[n] for n in places])
+        others = np.ones(len(new), dtype=bool)
+        others[places] = False
+        cut = [framed(new[n]) for n in np.flatnonzero(others).tolist()]
         known = self.known
         self._learn(list(set(chain.from_iterable(cut)).difference(known)))
         ids = [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        lengths = np.array([len(part) for part in ids], dtype=np.int64) // self.pool.itemsize
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(lengths) - lengths)
+        lengths[others] = np.array([len(part) for part in ids], dtype=np.int64) // self.pool.itemsize
+        # The words of the model come first in the pool, the others behind them.
+        starts = np.empty(len(new), dtype=np.int64)
+        order = np.argsort(others, kind="stable")
+        starts[order] = len(self.pool) + np.cumsum(lengths[order]) - lengths[order]
+        self.starts = np.append(self.starts, starts)
         self.lengths = np.append(self.lengths, lengths)
-        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), dtype=self.kind))
+        self.pool = np.concatenate([self.pool, direct, np.frombuffer(b"".join(ids), dtype=self.kind)])
 
     def _learn(self, new: list[str]) -> None:
         """Have the library encode new units: many in one text, parted again by the bytes of its
         tokens.
 
-        Words behind one blank are parts of their own to the pre-tokenizer, so they need nothing
-        between them; other units are set apart by a special string, which it cuts out before it
-        looks at what stands on either side.
+        Words of Latin letters are one part each to the pre-tokenizer, so they go straight to the
+        library's model, as the characters that stand for their bytes. Other words behind one blank
+        are parts of their own, too, and need nothing between them; other units are set apart by a
+        special string, which it cuts out before it looks at what stands on either side.
         """
+        if self.tokenize is not None:
+            latin = [unit for unit in new if _LATIN(unit)]
+            ids, lengths = self._model(latin)
+            ends = np.cumsum(lengths)
+            self._keep(latin, ids, ends - lengths, ends)
+            new = [unit for unit in new if unit not in self.known]
         words = [unit for unit in new if is_word(unit)]
         for start in range(0, len(words), JOINED):
             some = words[start : start + JOINED]
@@ -131,6 +169,16 @@ class Encoder:
         for unit, ids in zip(rest, self._ids(rest)):
             self.known[unit] = ids.tobytes()
 
+    def _model(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, one after another, and their numbers, of words that the pre-tokenizer leaves
+        whole: the library's model alone encodes them."""
+        tokenize, ids, ends = self.tokenize, [], [0]
+        signs = "\n".join(words).encode().decode("latin-1").translate(_BYTE_SIGNS)
+        for word in signs.split("\n") if words else ():
+            ids += [token.id for token in tokenize(word)]
+            ends.append(len(ids))
+        return np.array(ids, dtype=self.kind), np.diff(np.array(ends, dtype=np.int64))
+
     def _keep(self, some: list[str], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
         data, size = ids.tobytes(), ids.itemsize
         for unit, begin, end in zip(some, (begins * size).tolist(), (ends * size).tolist()):
@@ -141,6 +189,39 @@ class Encoder:
         return [np.array(encoding.ids, dtype=self.kind) for encoding in found]
 
 
+#: A word of Latin letters, with the blank before it or without; every version of Unicode that a
+#: library may know takes them for letters.
+_LATIN = re.compile("(?: ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)").fullmatch
+#: The characters by which byte-level models name the bytes that are not printable; the line break
+#: is left out.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = {
+    byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in _PRINTED) if byte != 0x0A
+}
+
+
+def plain_model(tokenizer, marks: Sequence[str]) -> Callable | None:
+    """The function that encodes a part of a text, if the tokenizer does no more to a word than
+    cut it out and name its bytes; None for any other tokenizer."""
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cutter, model = tokenizer.pre_tokenizer, tokenizer.model
+    if not isinstance(cutter, ByteLevel) or not cutter.use_regex or cutter.add_prefix_space:
+        return None
+    if not isinstance(model, BPE) or model.dropout or tokenizer.normalizer is not None:
+        return None
+    if any(_LATIN(mark.strip()) for mark in marks):
+        return None
+    return model.tokenize
+
+
+#: Two blanks or line breaks in a row, any other white space, and the sign that marks the cuts.
+_ODD = (
+    r"[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
 _FRAMED = re.compile(r"( |\n|)([^\W\d_]+)([^\w\s]*)").fullmatch
 
 
@@ -181,6 +262,17 @@ def vocabulary_size(path: str) -> int:
     return max([*config["model"]["vocab"].values(), *added]) + 1
 
 
+def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, some ``CHUNK`` bytes of a text column at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(int(np.searchsorted(ends, done + CHUNK, "right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def token_table(
     docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", order: Sequence[str] = ()
 ) -> DataFrame:
@@ -196,9 +288,8 @@ def token_table(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(vocabulary)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                ids = known.encode(some.column("body").to_pylist())
+            for some in chunks(batch, "body"):
+                ids = known.encode(some.column("body"))
                 columns = [some.column(name) for name in names[:-1]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())], names=names)
 
@@ -216,8 +307,8 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
         for batch in batches:
             column = batch.column("ids")
             total[END] += len(column)
-            for value in column:
-                total += np.bincount(np.frombuffer(value.as_buffer(), dtype=kind), minlength=size)
+            values = np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+            total += np.bincount(values, minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"]

@@ -141,26 +141,27 @@ def decode_block(
 
     keys, known, counts = part("<i8", n_docs), part("u1", n_docs), part("<u4", n_docs)
     position = part("<u8", n_points).astype(np.int64)
-    raw = np.zeros(n_bytes + 8, dtype=np.uint64)
+    raw = np.zeros(n_bytes + 12, dtype=np.uint8)
     raw[:n_bytes] = part("u1", n_bytes)
     # The 40 bits from each byte on hold every code that begins in that byte.
-    window = raw[:-4] << np.uint64(32)
-    for shift in range(1, 5):
-        window |= raw[shift : len(raw) - 4 + shift] << np.uint64(32 - 8 * shift)
+    window = np.ndarray(n_bytes + 4, dtype=">u8", buffer=raw, strides=(1,)).astype(np.uint64)
+    window >>= np.uint64(24)
     symbols, lengths = table
+    entries = symbols.astype(np.int64) << 8 | lengths  # one look-up for both
     mask, reach = np.int64((1 << longest) - 1), 40 - longest
-    out = np.zeros((n_points, STEP), dtype=np.uint32)
+    out = np.zeros((STEP, n_points), dtype=np.uint32)
     last = n_ids - (n_points - 1) * STEP  # ids of the last stretch
-    window = window.astype(np.int64)
+    window = window.view(np.int64)
     for step in range(STEP):
         lanes = n_points if step < last else n_points - 1
         if lanes <= 0:
             break
         here = position[:lanes]
         index = (window[here >> 3] >> (reach - (here & 7))) & mask
-        out[:lanes, step] = symbols[index]
-        here += lengths[index]
-    ids = out.reshape(-1)[:n_ids]
+        entry = entries[index]
+        out[step, :lanes] = entry >> 8
+        here += entry & 255
+    ids = out.T.reshape(-1)[:n_ids]
     ends = np.cumsum(counts.astype(np.int64))
     return (
         [int(k) if there else None for k, there in zip(keys, known)],

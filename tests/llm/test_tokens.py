@@ -144,3 +144,22 @@ def test_files_of_odd_rows(spark):
         (str(w[0]), w[2], w[3]) for w in want
     )
     assert binary.round_trip(spark, frame(spark, []), PATH).collect() == []
+
+
+def test_plain_words_go_to_the_model_once(monkeypatch):
+    """Words of Latin letters are not sent through the pre-tokenizer, nor twice to the model."""
+    encoder, sent, modelled = binary.Encoder(PATH), [], []
+    plain, model = encoder._ids, encoder.tokenize
+    monkeypatch.setattr(encoder, "_ids", lambda texts: sent.extend(texts) or plain(texts))
+    monkeypatch.setattr(encoder, "tokenize", lambda word: modelled.append(word) or model(word))
+    texts = ["Größe straße Größe", "a größe straße ñandú"] * 3
+    assert encoder.encode(texts) == [np.array(ids(text), "<u2").tobytes() for text in texts]
+    assert not any(any(map(str.isalpha, text)) for text in sent)
+    assert len(modelled) == len(set(modelled)) == 6
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="abÉ'語7 \n\t\0\xa0=<.", max_size=30), max_size=6))
+def test_encoder_gives_the_library_ids(texts):
+    found = binary.encoder(PATH).encode(texts)
+    assert found == [np.array(ids(text), "<u2").tobytes() for text in texts]
