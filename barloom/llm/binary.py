@@ -77,26 +77,26 @@ class Encoder:
     def encode(self, texts: Sequence[str] | pa.Array) -> list[bytes]:
         """The ids of each text. Units that are new are given to the tokenizer together.
 
-        Texts whose only white space are single blanks and line breaks are cut before these, and
-        equal units of all of them are looked up once; the others are cut by ``units``.
+        Texts whose only white space are single blanks and line breaks are cut by ``pieces``, and
+        equal ones of all texts are looked up once; the others are cut by ``units``, and so are
+        texts that hold an added token.
         """
         if len(self.numbers) >= UNITS:
             self._forget()
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         odd = pc.match_substring_regex(texts, _ODD)
+        for mark in self.marks:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
         parts = list(map(units, texts.filter(odd).to_pylist()))
         sizes = np.array([len(part) for part in parts], dtype=np.int64)
         every = map(self.numbers.__getitem__, chain.from_iterable(parts))
         numbers = np.fromiter(every, dtype=np.int64, count=int(sizes.sum()))
-        plain = texts.filter(pc.invert(odd)).cast(pa.large_string())
-        for sign in (" ", "\n"):
-            plain = pc.replace_substring(plain, sign, f"\0{sign}")
-        cut = pc.split_pattern(plain, "\0")
-        found = cut.flatten().dictionary_encode()
+        cut, counts = pieces(texts.filter(pc.invert(odd)))
+        found = cut.dictionary_encode()
         distinct = np.array([self.numbers[unit] for unit in found.dictionary.to_pylist()], dtype=np.int64)
         numbers = np.concatenate([numbers, distinct[found.indices.to_numpy()]])
-        sizes = np.concatenate([sizes, pc.list_value_length(cut).to_numpy()])
+        sizes = np.concatenate([sizes, counts])
         self._grow()
         lengths = self.lengths[numbers]
         ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -114,7 +114,7 @@ class Encoder:
         new, self.numbers.waiting = self.numbers.waiting, []
         if not new:
             return
-        places = [n for n, unit in enumerate(new) if _LATIN(unit)] if self.tokenize is not None else []
+        places = np.flatnonzero(latin(new)) if self.tokenize is not None else []
         lengths = np.zeros(len(new), dtype=np.int64)
         direct, lengths[places] = self._model([new[n] for n in places])
         others = np.ones(len(new), dtype=bool)
@@ -142,10 +142,10 @@ class Encoder:
         special string, which it cuts out before it looks at what stands on either side.
         """
         if self.tokenize is not None:
-            latin = [unit for unit in new if _LATIN(unit)]
-            ids, lengths = self._model(latin)
+            some = [new[n] for n in np.flatnonzero(latin(new)).tolist()]
+            ids, lengths = self._model(some)
             ends = np.cumsum(lengths)
-            self._keep(latin, ids, ends - lengths, ends)
+            self._keep(some, ids, ends - lengths, ends)
             new = [unit for unit in new if unit not in self.known]
         words = [unit for unit in new if is_word(unit)]
         for start in range(0, len(words), JOINED):
@@ -173,7 +173,8 @@ class Encoder:
         """The ids, one after another, and their numbers, of words that the pre-tokenizer leaves
         whole: the library's model alone encodes them."""
         tokenize, ids, ends = self.tokenize, [], [0]
-        signs = "\n".join(words).encode().decode("latin-1").translate(_BYTE_SIGNS)
+        data = np.frombuffer("\n".join(words).encode(), dtype=np.uint8)
+        signs = _BYTE_SIGNS[data].tobytes().decode("utf-16-le")
         for word in signs.split("\n") if words else ():
             ids += [token.id for token in tokenize(word)]
             ends.append(len(ids))
@@ -191,13 +192,42 @@ class Encoder:
 
 #: A word of Latin letters, with the blank before it or without; every version of Unicode that a
 #: library may know takes them for letters.
-_LATIN = re.compile("(?: ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)").fullmatch
-#: The characters by which byte-level models name the bytes that are not printable; the line break
-#: is left out.
+_LATIN = "^ ?[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+$"
+#: The characters by which byte-level models name the bytes: those that are not printable have
+#: others. The line break stays itself.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_SIGNS = {
-    byte: 256 + n for n, byte in enumerate(b for b in range(256) if b not in _PRINTED) if byte != 0x0A
-}
+_BYTE_SIGNS = np.arange(256, dtype="<u2")
+for _n, _byte in enumerate(b for b in range(256) if b not in _PRINTED):
+    _BYTE_SIGNS[_byte] = _byte if _byte == 0x0A else 256 + _n
+
+
+def latin(units: list[str]) -> np.ndarray:
+    """Which of the units are words of Latin letters."""
+    found = pc.match_substring_regex(pa.array(units, pa.string()), _LATIN)
+    return found.to_numpy(zero_copy_only=False)
+
+
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Parts that the pre-tokenizer always cuts, of texts whose only white space are single blanks
+    and line breaks: all parts of all texts, joined they are the texts, and their number by text.
+
+    Cuts are before a blank, around a line break, and behind an ASCII letter before another sign of
+    ASCII: no part of the pre-tokenizer goes on from a letter to anything else.
+    """
+    if not len(texts):
+        return texts, np.zeros(0, dtype=np.int64)
+    _, offsets, data = texts.buffers()
+    borders = np.frombuffer(offsets, dtype=np.int32, count=len(texts) + 1)
+    signs = np.frombuffer(data or b"", dtype=np.uint8, count=int(borders[-1]))
+    cuts = (signs == 0x20) | (signs == 0x0A)
+    letter = ((signs | 0x20) - np.uint8(0x61)) < 26
+    cuts[1:] |= (letter[:-1] & ~letter[1:] & (signs[1:] < 0x80)) | (signs[:-1] == 0x0A)
+    starts = borders[:-1]
+    cuts[starts[starts < borders[1:]]] = True
+    begins = np.flatnonzero(cuts)
+    counts = np.diff(np.searchsorted(begins, borders))
+    bounds = pa.py_buffer(np.append(begins, len(signs)).astype(np.int32))
+    return pa.StringArray.from_buffers(len(begins), bounds, data or pa.py_buffer(b"")), counts
 
 
 def plain_model(tokenizer, marks: Sequence[str]) -> Callable | None:
@@ -211,14 +241,14 @@ def plain_model(tokenizer, marks: Sequence[str]) -> Callable | None:
         return None
     if not isinstance(model, BPE) or model.dropout or tokenizer.normalizer is not None:
         return None
-    if any(_LATIN(mark.strip()) for mark in marks):
+    if latin([mark.strip() for mark in marks]).any():
         return None
     return model.tokenize
 
 
-#: Two blanks or line breaks in a row, any other white space, and the sign that marks the cuts.
+#: Two blanks or line breaks in a row, and any other white space.
 _ODD = (
-    r"[ \n][ \n]|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 

@@ -158,6 +158,17 @@ def test_plain_words_go_to_the_model_once(monkeypatch):
     assert len(modelled) == len(set(modelled)) == 6
 
 
+def test_marks_behind_words_make_no_new_words(monkeypatch):
+    """A word is one word to the encoder whatever sign of ASCII stands behind it."""
+    encoder, modelled = binary.Encoder(PATH), []
+    model = encoder.tokenize
+    monkeypatch.setattr(encoder, "tokenize", lambda word: modelled.append(word) or model(word))
+    texts = ["", "so beta, beta. beta\nbeta\nso beta's (beta)beta7", "beta.<|endoftext|>beta,so", "é, beta! b\x00eta"]
+    assert encoder.encode(texts[:2]) == [np.array(ids(text), "<u2").tobytes() for text in texts[:2]]
+    assert sorted(modelled) == sorted(["so", "\u0120beta", "beta"])
+    assert encoder.encode(texts) == [np.array(ids(text), "<u2").tobytes() for text in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abÉ'語7 \n\t\0\xa0=<.", max_size=30), max_size=6))
 def test_encoder_gives_the_library_ids(texts):
