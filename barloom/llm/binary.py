@@ -6,7 +6,6 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import ship, staged
+from barloom.llm.common import chunks, kept, ship, staged
 from barloom.llm.files import Writer, opened, read_ranges
 from barloom.llm.huffman import Codebook, code_lengths, decode_block, encode_block
 from barloom.llm.units import units
@@ -27,7 +26,6 @@ END = 0
 BLOCK_IDS = 1 << 19
 UNITS = 600_000
 JOINED = 2_000
-CHUNK = 4 << 20
 MANIFEST = "part int, file string, offset long, length long, first long, n_ids long"
 
 
@@ -279,10 +277,9 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-@cache
 def encoder(path: str) -> Encoder:
     """One per Python worker, kept from task to task."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary_size(path: str) -> int:
@@ -292,17 +289,6 @@ def vocabulary_size(path: str) -> int:
     return max([*config["model"]["vocab"].values(), *added]) + 1
 
 
-def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in turn, some ``CHUNK`` bytes of a text column at a time."""
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        done = int(ends[start - 1]) if start else 0
-        stop = max(int(np.searchsorted(ends, done + CHUNK, "right")), start + 1)
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def token_table(
     docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", order: Sequence[str] = ()
 ) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship
+from barloom.llm.common import release, ship
 from barloom.llm.units import Memo
 
 #: At most so many labelled documents of either label are used for training.
@@ -211,6 +211,7 @@ def judged(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("score double, offending array<int>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         its = shared.value
         known = Memo(its.of_word)
         for batch in batches:

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from barloom.llm import neardup
+from barloom.llm import binary, neardup
 from barloom.llm.components import components
 from tests.llm.helpers import documents, frame, lower, odd_rows, prose, row, words_of
 
@@ -105,3 +107,29 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {n: 100 for n in range(100, 161)} | {n: 5 for n in [5, *range(200, 260)]}
     assert found == want | {300: 300, 301: 300, 302: 300}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sketching_leaves_a_worker_little_to_hold(monkeypatch):
+    """What another operator kept in the worker goes, and long batches are sketched in parts."""
+
+    class Rows:
+        sparkSession, function = None, None
+
+        def mapInArrow(self, function, schema):
+            self.function = function
+            return self
+
+    rows = Rows()
+    monkeypatch.setattr(neardup, "ship", lambda spark: None)
+    monkeypatch.setattr(neardup, "staged", lambda found, purpose: found)
+    monkeypatch.setattr(neardup, "_named", lambda *named: rows)
+    sketch = neardup.sketches(rows, 3, 85, "text", "doc_id").function
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = binary.encoder(path)
+    assert binary.encoder(path) is encoder
+    texts = [f"{n} " + "some words and more " * 60_000 for n in range(4)]
+    columns = [pa.array(range(4), pa.int64()), pa.array(range(4), pa.int64()), pa.array(texts)]
+    found = list(sketch(iter([pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "body"])])))
+    assert len(found) > 1
+    assert [key for batch in found for key in batch.column("doc_id").to_pylist()] == [0, 1, 2, 3]
+    assert binary.encoder(path) is not encoder
