@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import chunks, kept, ship, staged
+from barloom.llm.common import TEXTS, chunks, kept, ship, staged
 from barloom.llm.files import Writer, opened, read_ranges
 from barloom.llm.huffman import Codebook, code_lengths, decode_block, encode_block
 from barloom.llm.units import units
@@ -311,7 +311,7 @@ def token_table(
 
     body = F.coalesce(F.col(text), F.lit("")).alias("body")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), *kept, body)
-    return staged(rows.mapInArrow(encode, schema), "token-ids")
+    return staged(rows.mapInArrow(encode, schema), "token-ids", TEXTS)
 
 
 def count_ids(tokens: DataFrame, size: int) -> np.ndarray:

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import binary, neardup
+from barloom.llm.common import BATCH_ROWS, staged
 from barloom.llm.components import components
 from tests.llm.helpers import documents, frame, lower, odd_rows, prose, row, words_of
 
@@ -121,7 +122,7 @@ def test_sketching_leaves_a_worker_little_to_hold(monkeypatch):
 
     rows = Rows()
     monkeypatch.setattr(neardup, "ship", lambda spark: None)
-    monkeypatch.setattr(neardup, "staged", lambda found, purpose: found)
+    monkeypatch.setattr(neardup, "staged", lambda found, *how: found)
     monkeypatch.setattr(neardup, "_named", lambda *named: rows)
     sketch = neardup.sketches(rows, 3, 85, "text", "doc_id").function
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -133,3 +134,14 @@ def test_sketching_leaves_a_worker_little_to_hold(monkeypatch):
     assert len(found) > 1
     assert [key for batch in found for key in batch.column("doc_id").to_pylist()] == [0, 1, 2, 3]
     assert binary.encoder(path) is not encoder
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    usual = spark.conf.get(BATCH_ROWS)
+    rows = spark.range(0, 5_000, 1, 1).mapInArrow(count, "n long")
+    assert [r.n for r in staged(rows, "counts", 2_000).collect()] == [2_000, 2_000, 1_000]
+    assert spark.conf.get(BATCH_ROWS) == usual
