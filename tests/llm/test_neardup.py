@@ -10,6 +10,7 @@ import pytest
 from barloom.llm import binary, neardup
 from barloom.llm.common import BATCH_ROWS, staged
 from barloom.llm.components import components
+from barloom.sources.shared import exists, new_folder, recorded_folders
 from tests.llm.helpers import documents, frame, lower, odd_rows, prose, row, words_of
 
 
@@ -145,3 +146,36 @@ def test_texts_go_to_python_in_small_batches(spark):
     rows = spark.range(0, 5_000, 1, 1).mapInArrow(count, "n long")
     assert [r.n for r in staged(rows, "counts", 2_000).collect()] == [2_000, 2_000, 1_000]
     assert spark.conf.get(BATCH_ROWS) == usual
+
+
+def test_sketch_values_are_shuffled_once(spark):
+    rows = [(1, 3, 1, [10, 20, 30]), (2, 2, 1, [20, 40]), (3, 3, 2, [20, 30, 50])]
+    classes = spark.createDataFrame(rows, "id long, n long, needed int, sketch array<long>")
+    found = neardup.shared_values(classes)
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in planned and planned.count("Exchange hashpartitioning") == 1
+    got = sorted((r.v, r.id, r.n, r.needed, r.m) for r in found.collect())
+    assert got == [(20, 1, 3, 1, 3), (20, 2, 2, 1, 3), (20, 3, 3, 2, 3), (30, 1, 3, 1, 2), (30, 3, 3, 2, 2)]
+
+
+def test_folders_are_recorded_by_lists_that_are_equal(spark):
+    outer, inner = [], []
+    with recorded_folders(outer):
+        with recorded_folders(inner):
+            first = new_folder(spark, "first")
+        second = new_folder(spark, "second")
+    assert (outer, inner) == ([first, second], [first])
+
+
+def test_scratch_that_nothing_reads_again_is_discarded(spark):
+    rng = random.Random(5)
+    text = prose(rng, 120)
+    rows = [row(n, edited(rng, text, 1)) for n in range(12)] + [row(20, prose(rng, 120)), row(21, text)]
+    made = []
+    with recorded_folders(made):
+        found = neardup.near_duplicates(frame(spark, rows), 3, 85)
+    for purpose in ("sketches-", "hopeful-", "candidates-"):
+        its = [path for path in made if path.rsplit("/", 1)[1].startswith(purpose)]
+        assert its and not any(exists(spark, path) for path in its)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str)
+    assert got == brute([(r[0], r[1]) for r in rows], 3, 85)
