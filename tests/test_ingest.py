@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import date, datetime, timezone
 from decimal import Decimal
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom import schema as S
 from barloom.operators import lookup, refresh, upsert, validate
-from barloom.sources.landing import read_landed, read_landed_csv
+from barloom.sources.landing import _cells, read_landed, read_landed_csv
 from barloom.sources.market import Market
 from contract import fixtures
 from tests.helpers import bar, bars, column, day, raw, same, stocks
@@ -295,3 +296,43 @@ def test_headers_are_found_without_sorting_lines(spark, tmp_path, capsys):
     rows.explain()
     plan = capsys.readouterr().out
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_cells_of_any_line(spark):
+    """Against one pattern for a comma outside quotes, on lines of all signs that matter."""
+    rng = random.Random(7)
+    lines = ["".join(rng.choices('ab,," \r\0\ufeff', k=rng.randrange(24))) for _ in range(2000)]
+    lines += ["", ",", "a,b", '"a,b",c', ' "a" ,"b""c"', "\ufeffa,b\r", 'a"b,c']
+
+    outside_quotes = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    cells = F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), outside_quotes, -1)
+    bare = F.transform(cells, lambda cell: F.regexp_replace(cell, r'^\s*"|"\s*$', ""))
+    want = F.transform(bare, lambda cell: F.regexp_replace(cell, '""', '"'))
+    frame = spark.createDataFrame([(line,) for line in lines], "value string")
+    both = frame.select("value", _cells(F.col("value")).alias("got"), want.alias("want"))
+    assert both.where("got <> want OR got IS NULL").collect() == []
+
+
+@pytest.mark.parametrize("cell", ["1", '"1"'])
+def test_a_line_is_cut_in_time_that_grows_with_its_length(spark, tmp_path, cell):
+    wide = ",".join([cell] * 60_000)
+    (tmp_path / "bars.csv").write_text(f"symbol,ts,close\n{wide}\nSYM1,2000-01-03,5\n")
+    began = time.monotonic()
+    rows = read_landed_csv(spark, str(tmp_path)).collect()
+    assert time.monotonic() - began < 8
+    assert sorted((r.symbol, r.bad_row == wide) for r in rows if r.bad_row) == [(None, True)]
+    assert [r.symbol for r in rows if not r.bad_row] == ["SYM1"]
+
+
+def test_csv_files_are_landed_from_bars_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(volume):
+        made.add(1)
+        return volume
+
+    listed = stocks(spark, 1, 11)
+    prices = bars(spark, {1: [5] * 20, 11: [6] * 20}).withColumn("volume", count("volume"))
+    fixtures.land_csv(Market(listed, prices, listed.limit(0)), str(tmp_path / "landing"))
+    assert made.value == 40
