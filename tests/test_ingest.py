@@ -336,3 +336,13 @@ def test_csv_files_are_landed_from_bars_made_once(spark, tmp_path):
     prices = bars(spark, {1: [5] * 20, 11: [6] * 20}).withColumn("volume", count("volume"))
     fixtures.land_csv(Market(listed, prices, listed.limit(0)), str(tmp_path / "landing"))
     assert made.value == 40
+
+
+def test_merge_marks_what_it_alters(spark):
+    rows = [(1, day(0), 5, 8), (1, day(1), 5, 8), (1, day(2), 5, 8), (1, day(3), None, 8), (1, day(4), 5, None)]
+    new = [(1, day(0), 6, 7), (1, day(1), 5, 9), (1, day(2), 6, 9), (1, day(3), None, None), (1, day(5), None, None)]
+    merged = upsert.merge(versioned(spark, rows), versioned(spark, new), marked=True).orderBy("trade_date")
+    assert [(r.x, r.altered) for r in merged.collect()] == [
+        (5, False), (5, False), (6, True), (None, False), (5, False), (None, True)
+    ]
+    assert [r.version for r in merged.collect()] == [8, 9, 9, 8, None, None]

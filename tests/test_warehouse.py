@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 from pathlib import Path
 
@@ -415,3 +416,32 @@ def test_text_bars_stream(spark, warehouse, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_a_file_loaded_again_rebuilds_nothing(spark, warehouse, tmp_path):
+    """Bars that alter no stored price leave the indicators as they are; one that does is carried on."""
+    for name, rows in (("old", landed(spark, 1, walk(2))), ("new", [*landed(spark, 1, walk(1)), *landed(spark, 2, walk(2))])):
+        land_bars(spark, tmp_path / name, *rows)
+    maintain.bulk_load(warehouse, read_landed(spark, str(tmp_path / "new")), as_of=day(LENGTH))
+    derived = ("momentum_indicators", "pair_metrics")
+    before = [stored_files(warehouse, name) for name in derived]
+    for name in ("old", "new"):
+        maintain.bulk_load(warehouse, read_landed(spark, str(tmp_path / name)), as_of=day(LENGTH))
+    assert [stored_files(warehouse, name) for name in derived] == before
+    land_bars(spark, tmp_path / "last", *landed(spark, 2, [7], start=100))
+    maintain.bulk_load(warehouse, read_landed(spark, str(tmp_path / "last")), as_of=day(LENGTH))
+    assert [stored_files(warehouse, name) for name in derived] != before
+    consistent(warehouse)
+
+
+def test_tails_sort_every_series_once(spark, warehouse):
+    filled(spark, warehouse)
+    changed = tail.changed_days(bars(spark, {1: [1]}, start=LENGTH - 5))
+    listed, prices = warehouse.table("stock_pairs"), warehouse.table("daily_prices")
+    pair_days = tail.changed_pairs(changed, listed)
+    momentum = tail.momentum_tail(prices, changed)
+    ratios = tail.pair_tail(prices, listed, pair_days, warehouse.table("pair_metrics"))
+    for rows, key in ((momentum, "stock_id"), (ratios, "pair_id")):
+        text = rows._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(rf"Sort \[{key}#\w+ \w+ NULLS \w+, trade_date#", text)) == 1
+        assert "SortAggregate" not in text
